@@ -31,8 +31,9 @@ from .vector_dedup import Forest
 
 #: Parameters: words of a shingle, similarity in hundredths, common shingles put last at most (8 bytes each, broadcast),
 #: sets among HELD shingles of a task that make a shingle a candidate for that list, sets of a tile, sets whose pairs are
-#: compared at once, shingles of a bucket, bits of the longest bitmap.
-WORDS, PERCENT, COMMON, LOCAL, HELD, TILE, FEW, BUCKET_SHINGLES, MOST_BITS = 5, 75, 1 << 16, 4, 4_000_000, 2048, 8, 1_000_000, 1 << 16
+#: compared at once, prefix shingles of a bucket (a set's bitmap goes to each bucket where it meets others, so few large
+#: buckets are cheaper), shingles of a cluster's group, bits of the longest bitmap.
+WORDS, PERCENT, COMMON, LOCAL, HELD, TILE, FEW, BUCKET_SHINGLES, GROUP_SHINGLES, MOST_BITS = 5, 75, 1 << 16, 4, 4_000_000, 2048, 8, 3_000_000, 1_000_000, 1 << 16
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
@@ -295,16 +296,17 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     tiles = met.join(sets.select("name", "n", "bits"), "name")
     maybe = tiles.groupBy("bucket", "tile", "i", "j").applyInPandas(lambda p: tile_links(p, percent), "a long, b long")
     clusters = components(maybe).select(F.col("node").alias("name"), F.col("component").alias("cluster"))
-    # Clusters share groups of about BUCKET_SHINGLES shingles; one that is larger is cut into chunks and all pairs of them.
+    # Clusters share groups of about GROUP_SHINGLES shingles; one that is larger is cut into chunks and all pairs of them.
     known = clusters.join(sets.select("name", "rep", "n"), "name")
-    sizes = known.groupBy("cluster").agg(F.ceil(F.sum("n") / BUCKET_SHINGLES).cast("int").alias("chunks"))
+    sizes = known.groupBy("cluster").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("chunks"))
     known = known.join(sizes, "cluster").withColumn("c", F.expr("cast(pmod(xxhash64(name), chunks) as int)")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    group = F.when(F.col("chunks") > 1, F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(buckets)) - buckets)
+    groups = max(1, ceil(total / GROUP_SHINGLES))
+    group = F.when(F.col("chunks") > 1, F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(groups)) - groups)
     known = known.select("rep", "name", "cluster", group.alias("group"), F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("t")).join(known, "rep")
     links = texts.groupBy("group", "i", "j").applyInPandas(lambda p: verified(p, words, percent), "a long, b long")
-    groups = components(links)
-    named = sets.select("name", "rep").join(groups, F.col("name") == F.col("node"), "left").withColumn("component", F.coalesce("component", "name"))
+    found = components(links)
+    named = sets.select("name", "rep").join(found, F.col("name") == F.col("node"), "left").withColumn("component", F.coalesce("component", "name"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     labels = named.join(least, "component").select("name", "component_id")
     out = rows.join(labels, "name", "left")
