@@ -105,15 +105,19 @@ def by_strategy(found: dict[str, DataFrame]) -> DataFrame:
 
 def lexical_score(query: Column, doc: Column) -> Column:
     """0.55 word recall + 0.25 Jaccard + 0.20 character recall, lifted for a contained query or a shared four-gram; 0 to 1."""
-    q, d = F.lower(T.strip(query)), F.lower(T.strip(doc))
-    qw, dw = F.array_distinct(T.terms(q)), F.array_distinct(T.terms(d))
-    both = F.size(F.array_intersect(qw, dw))
     chars = lambda c: F.array_distinct(F.regexp_extract_all(F.replace(c, F.lit(" "), F.lit("")), F.lit("(?s)."), F.lit(0)))
-    qc, dc = chars(q), chars(d)
-    base = 0.55 * both / F.size(qw) + 0.25 * both / F.size(F.array_union(qw, dw)) + F.when(F.size(qc) > 0, 0.20 * F.size(F.array_intersect(qc, dc)) / F.size(qc)).otherwise(0.0)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(q) - 3, F.lit(1))), lambda i: F.substring(q, i, F.lit(4)))
-    lifted = F.when(d.contains(q), F.least(F.lit(1.0), base + 0.2)).when((F.length(q) > 4) & F.exists(grams, lambda g: d.contains(g)), F.least(F.lit(1.0), base + 0.1)).otherwise(base)
-    return F.when((F.size(qw) > 0) & (d != ""), F.round(lifted, 4)).otherwise(0.0)
+    # Texts, then their words and characters, are bound once by a function over a one-element array: nothing is computed twice.
+    texts = F.array(F.struct(F.lower(T.strip(query)).alias("q"), F.lower(T.strip(doc)).alias("d")))
+    sets = F.transform(texts, lambda x: F.struct(x["q"].alias("q"), x["d"].alias("d"), F.array_distinct(T.terms(x["q"])).alias("qw"), F.array_distinct(T.terms(x["d"])).alias("dw"), chars(x["q"]).alias("qc"), chars(x["d"]).alias("dc")))
+    sizes = F.transform(sets, lambda x: F.struct(x["q"].alias("q"), x["d"].alias("d"), F.size(x["qw"]).alias("n"), F.size(x["dw"]).alias("m"), F.size(F.array_intersect(x["qw"], x["dw"])).alias("both"), F.when(F.size(x["qc"]) > 0, F.size(F.array_intersect(x["qc"], x["dc"])) / F.size(x["qc"])).otherwise(0.0).alias("c")))
+    bases = F.transform(sizes, lambda x: F.struct(x["q"].alias("q"), x["d"].alias("d"), x["n"].alias("n"), (0.55 * x["both"] / F.greatest(x["n"], F.lit(1)) + 0.25 * x["both"] / F.greatest(x["n"] + x["m"] - x["both"], F.lit(1)) + 0.20 * x["c"]).alias("base")))
+
+    def lifted(x: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(x["q"]) - 3, F.lit(1))), lambda i: F.substring(x["q"], i, F.lit(4)))
+        more = F.when(x["d"].contains(x["q"]), 0.2).when((F.length(x["q"]) > 4) & F.exists(grams, lambda g: x["d"].contains(g)), 0.1)
+        return F.when((x["n"] > 0) & (x["d"] != ""), F.round(F.when(more.isNull(), x["base"]).otherwise(F.least(F.lit(1.0), x["base"] + more)), 4)).otherwise(0.0)
+
+    return F.coalesce(F.element_at(F.transform(bases, lifted), 1), F.lit(0.0))
 
 
 def rerank(hits: DataFrame, score: Column, k: int, window: int = 15) -> DataFrame:
@@ -194,7 +198,11 @@ def faq_search(faq: DataFrame, keywords: DataFrame, limit: int = 3) -> DataFrame
     width = lambda c: F.least(F.length(c), F.lit(3))
     kw = keywords.select("keyword").distinct().filter("keyword <> ''").withColumn("gram", F.substring(F.col("keyword"), F.lit(1), width(F.col("keyword"))))
     size = F.length(text)
-    grams = F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(size - (w - 1), F.lit(1))), lambda i, w=w: F.substring(text, i, F.lit(w))) for w in (1, 2, 3)])))
+
+    def runs(w: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(size - (w - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(w)))
+
+    grams = F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
     rows = faq.filter(text != "").select("id", "question", "answer", F.explode(grams).alias("gram"))
     hit = rows.join(kw, "gram").filter("contains(question, keyword) or contains(answer, keyword)")
     return top(hit.select("keyword", "id"), ["keyword"], [F.col("id")], limit)
@@ -205,7 +213,7 @@ def confidence(scores: DataFrame, least: float = 0.25) -> DataFrame:
     g = scores.groupBy("query").agg(F.max("score").alias("s0"), F.sum((F.col("score") >= least).cast("int")).alias("n"), F.count("score").alias("all"), F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2).alias("two"))
     margin = F.when(F.col("all") > 1, F.greatest(F.element_at("two", 1) - F.try_element_at("two", F.lit(2)), F.lit(0.0))).otherwise(0.5 * F.col("s0"))
     value = 0.60 * F.col("s0") + 0.25 * F.least(F.col("n") / 3.0, F.lit(1.0)) + 0.15 * margin
-    return g.select("query", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), F.lit(0.0)).alias("confidence"))
+    return g.select("query", F.when(F.col("s0").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).alias("confidence"))
 
 
 def gate(confident: Column, least: float = GATE) -> Column:

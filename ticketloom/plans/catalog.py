@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_queries, kb_queries, label_queries, mining_queries, report_queries, retrieval_queries
+from . import context_queries, kb_queries, label_queries, mining_queries, report_queries, retrieval_queries, stream_queries
 
-_PARTS = (context_queries, kb_queries, label_queries, mining_queries, report_queries, retrieval_queries)
+_PARTS = (context_queries, kb_queries, label_queries, mining_queries, report_queries, retrieval_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import classifier as V
@@ -45,7 +45,8 @@ def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy(F.element_at("labels", 1).alias("label"), "split").agg(F.count("*").alias("n"))
 
 
-_SPLIT = F.when(F.col("doc_id") % 10 < 8, "train").when(F.col("doc_id") % 10 == 8, "val").otherwise("test")
+def split_of(id: str) -> Column:
+    return F.when(F.col(id) % 10 < 8, "train").when(F.col(id) % 10 == 8, "val").otherwise("test")
 
 
 @add(
@@ -56,7 +57,7 @@ _SPLIT = F.when(F.col("doc_id") % 10 < 8, "train").when(F.col("doc_id") % 10 ==
     count_if((a and b) or (a and c) or (b and c)) = 0 as passed from g""",
 )
 def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.leakage(read(spark, sf_dir, "documents").withColumn("split", _SPLIT), "text")
+    return D.leakage(read(spark, sf_dir, "documents").withColumn("split", split_of("doc_id")), "text")
 
 
 @add("d5_multi_hot", f"with {LABELLED_SQL} select id, array_to_string(list_transform({CLASSES_SQL}, lambda c: case when list_contains(labels, c) then '1' else '0' end), '') as hot from labelled")
@@ -77,7 +78,7 @@ def d6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("d7_dataset_inventory", "select case when doc_id % 10 < 8 then 'train' when doc_id % 10 = 8 then 'val' else 'test' end as split, count(*) as n, sum(length(text))::bigint as chars from documents group by 1")
 def d7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.inventory(read(spark, sf_dir, "documents").withColumn("split", _SPLIT), "text")
+    return D.inventory(read(spark, sf_dir, "documents").withColumn("split", split_of("doc_id")), "text")
 
 
 _CONF = "conf as (select class, ord, count_if(score >= {t} and truth)::bigint as tp, count_if(score >= {t} and not truth)::bigint as fp, count_if(not score >= {t} and truth)::bigint as fn, count_if(not score >= {t} and not truth)::bigint as tn from scored group by 1, 2)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,8 +16,8 @@ from .tables import Registry, read
 QUERIES = Registry()
 add = QUERIES.add
 
-_TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
-_INDEX = f"tok as (select doc_id as doc, unnest({_TERMS.format('text')}) as term, len({_TERMS.format('text')}) as dl from documents), ix as (select doc, term, count(*) as tf, any_value(dl) as dl from tok group by 1, 2)"
+_TERMS = r"list_filter(string_split(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
+_INDEX = f"ws as (select doc_id as doc, {_TERMS.format('text')} as ws from documents), tok as (select doc, unnest(ws) as term, len(ws) as dl from ws), ix as (select doc, term, count(*) as tf, any_value(dl) as dl from tok group by 1, 2)"
 _BM25 = f"""{_INDEX}, st as (select count(*) as n, avg(dl) as avgdl from (select doc, any_value(dl) as dl from ix group by 1)), dfs as (select term, count(*) as df from ix group by 1),
 qt as (select distinct item_id as query, unnest({_TERMS.format('text')}) as term from benchmark),
 bs as (select query, doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) as score from qt join ix using (term) join dfs using (term), st group by 1, 2),
@@ -241,7 +241,7 @@ def e2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.recall_mrr(E.hit_ranks(samples(spark, sf_dir), hits(spark, sf_dir)))
 
 
-def _answer(i: F.Column) -> F.Column:
+def _answer(i: Column) -> Column:
     said = [f"您好，{p}。" for p, _ in TRIGGERS] + ["抱歉，暂未收录。", "可以。"]
     return F.element_at(F.array(*map(F.lit, said)), (i % len(said) + 1).cast("int"))
 
@@ -286,7 +286,7 @@ def bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BUCKETED = f"{_METRICS}, bu as (select strategy, ['A_policy', 'B_model', 'C_colloquial', 'E_multi', 'D_absent'][sample % 5 + 1] as bucket, recall_3, recall_5, recall_10, mrr, 1.0::double as faithful, (sample % 2)::double as refused from me)"
-_AVG = ", ".join(f"round(avg({c}) filter (bucket <> 'D_absent'), 4) as {c}" for c in ("recall_3", "recall_5", "recall_10", "mrr", "faithful"))
+_AVG = ", ".join(f"round(avg({c}) filter (bucket <> 'D_absent') + 1e-9, 4) as {c}" for c in ("recall_3", "recall_5", "recall_10", "mrr", "faithful"))
 _BY = f"{_BUCKETED}, by_b as (select strategy, bucket, count(*) as n, {_AVG}, round(avg(refused) filter (bucket = 'D_absent'), 4) as refusal_rate from bu group by 1, 2 union all select strategy, 'overall', count(*), {_AVG}, round(avg(refused) filter (bucket = 'D_absent'), 4) from bu group by 1)"
 
 
