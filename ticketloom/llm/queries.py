@@ -52,7 +52,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc_history.histories(_read(spark, sf_dir, "pages"))
+    return warc_history.histories(_read(spark, sf_dir, "pages")).drop("url_key")  # its rules are beyond SQL; the order follows it
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,5 +66,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+_COMPONENTS = """reach(node, other) as (select a, b from sym union select r.node, s.b from reach r join sym s on r.other = s.a)"""
+
+
+def _secret_sql() -> str:
+    """The rules' spans in SQL: starts are the lengths of what stands before, between and within matches."""
+
+    def spans(k: int, r: secret_scan.Rule) -> str:
+        # Only runs long enough are looked for where that is the same: a run of one class can't begin inside another.
+        pattern = (r.pattern.removesuffix("+") + f"{{{r.least},}}" if r.kind == "hex" else r.pattern).replace("'", "''")
+        found = f"select doc_id, regexp_extract_all(t, '{pattern}', 0) as h, regexp_extract_all(t, '{pattern}', {r.group}) as g, string_split_regex(t, '{pattern}') as p from d where regexp_matches(t, '{pattern}')"
+        at = "list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0)"
+        return f"select doc_id, {k} as place, '{r.kind}' as kind, {at} as a, {at} + length(h[i]) as b from (select *, unnest(range(1, len(h) + 1)) as i from ({found})) where length(g[i]) >= {r.least}"
+
+    base = sum(r.base for r in secret_scan.RULES)
+    said = "kind || ':' || a::bigint || ':' || b::bigint, ',' order by a, place, b"
+    counts = ", ".join(f"count(*) filter (place = {k}) as n_{r.kind}" for k, r in enumerate(secret_scan.RULES) if r.base)
+    return f"""with d as (select doc_id, coalesce(text, '') as t from documents), s as ({" union all ".join(spans(k, r) for k, r in enumerate(secret_scan.RULES))})
+    select doc_id, {counts}, sha256(coalesce(string_agg({said}) filter (place < {base}), '')) as base_sha256, coalesce(string_agg({said}) filter (place is not null), '') as spans from d left join s using (doc_id) group by doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what it can say over whole tables; the other queries are tested against brute force in tests/llm."""
+    return {
+        "op2_secret_scan": _secret_sql(),
+        "op5_vector_dedup": f"""with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings where label is not null and embedding is not null),
+        u as (select vec_id, label, e, sqrt(list_dot_product(e, e)) as n from v), p as (select x.vec_id as a, y.vec_id as b from u x join u y on x.label = y.label and x.vec_id < y.vec_id where list_dot_product(x.e, y.e) / (x.n * y.n) >= 0.93),
+        sym as (select a, b from p union all select b, a from p), {_COMPONENTS}, n as (select a, count(*) as n_links from sym group by 1), c as (select node, least(node, min(other)) as component_id from reach group by 1)
+        select vec_id, coalesce(n_links, 0) as n_links, coalesce(component_id, vec_id) as component_id, coalesce(component_id, vec_id) = vec_id as kept from embeddings left join n on a = vec_id left join c on node = vec_id""",
+        "op7_jaccard_join": f"""with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+        s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w),
+        n as (select doc_id, count(*) as n from s group by 1), k as (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y on x.s = y.s and x.doc_id < y.doc_id group by 1, 2),
+        p as (select a, b from k join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)), sym as (select a, b from p union all select b, a from p), {_COMPONENTS}, c as (select node, least(node, min(other)) as component_id from reach group by 1)
+        select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id from documents d left join n on n.doc_id = d.doc_id left join c on node = d.doc_id""",
+        "op10_warc_history": """with d as (select page_id, coalesce(html, '') as h from pages), f as (select h, min(page_id) as first from d group by 1), x as (select page_id, octet_length(encode(h))::bigint as payload_bytes, sha1(h) as hx, first from d join f using (h))
+        select page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hx, (i // 4 * 5 + 1)::bigint, 5))::bigint >> (15 - 5 * (i % 4))::bigint) & 31) + 1, 1)), '') as payload_digest,
+        case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to, 1704067200 + page_id as capture_ts from x""",
+    }
