@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,11 +120,7 @@ def k16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        io.stored(spark.range(1).toDF("n"), "first")
-        base = spark.conf.get("spark.checkpoint.dir")
-    return f"{base.rstrip('/')}/io-{uuid.uuid4().hex}"
+    return io.new_path(spark, "io")
 
 
 @add("s1_labelled_lines", f"with {LABELLED_SQL} select id::varchar as text, array_to_string(labels, ',') as labels from labelled")

@@ -12,14 +12,27 @@ LABELLED = "text string, labels array<string>"
 SCORES = "samples array<struct<text:string,true_labels:array<string>,scores:map<string,double>>>"
 
 
+_fallback: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share; a temporary one where that is unset, as on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not _fallback:
+            _fallback.append(tempfile.mkdtemp(prefix="ticketloom-"))
+        found = _fallback[0]
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the folder that spark.checkpoint.dir names, and read again; a temporary folder where it is unset."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="ticketloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path, schema = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", df.schema
+    """`df` written to the shared folder and read again: cuts lineage, survives lost executors."""
+    spark, schema = df.sparkSession, df.schema
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
