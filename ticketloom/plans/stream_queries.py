@@ -42,7 +42,7 @@ def x1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _folder(spark)
     m = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conversation"), F.col("turn").alias("id"), T.estimated_tokens(F.col("text")).alias("tokens"))
-    got = jobs.summary_triggers(_stream(m, "id"), 200)
+    got = jobs.summary_triggers(_stream(m, "id"), 200, None)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/b={number}")

@@ -53,10 +53,11 @@ def read_store(spark: SparkSession, store: str, schema: str) -> DataFrame:
     return _current(spark, store, schema)[0]
 
 
-def summary_triggers(messages: DataFrame, most: int, idle_ms: int = 1_800_000) -> DataFrame:
+def summary_triggers(messages: DataFrame, most: int, idle_ms: int | None = 1_800_000) -> DataFrame:
     """A stream of (conversation, id, tokens) into (conversation, anchor, kept_tokens), a row whenever old messages must leave layer 1.
 
-    The state is the conversation's messages that still fit, oldest first: bounded by the budget. It goes after `idle_ms` without a message.
+    The state is the conversation's messages that still fit, oldest first: bounded by the budget. It goes after `idle_ms` without a
+    message; None keeps it, for streams that are run to their end (a query with processing-time timeouts never ends).
     """
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -72,11 +73,12 @@ def summary_triggers(messages: DataFrame, most: int, idle_ms: int = 1_800_000) -
             anchor, gone = held.pop(0)
             total -= gone
         state.update(([i for i, _ in held], [t for _, t in held]))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         if anchor is not None:
             yield pd.DataFrame({"conversation": [key[0]], "anchor": [anchor], "kept_tokens": [total]})
 
-    return messages.groupBy("conversation").applyInPandasWithState(fold, "conversation long, anchor long, kept_tokens long", "ids array<long>, tokens array<long>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return messages.groupBy("conversation").applyInPandasWithState(fold, "conversation long, anchor long, kept_tokens long", "ids array<long>, tokens array<long>", "update", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def index_pending(chunks: DataFrame, embed: Callable[[Column], Column], text: Column, store: str, checkpoint: str) -> StreamingQuery:
