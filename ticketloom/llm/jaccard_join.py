@@ -33,7 +33,7 @@ from .vector_dedup import Forest
 #: sets among HELD shingles of a task that make a shingle a candidate for that list, sets of a tile, sets whose pairs are
 #: compared at once, prefix shingles of a bucket (a set's bitmap goes to each bucket where it meets others, so few large
 #: buckets are cheaper), shingles of a cluster's group, bits of the longest bitmap.
-WORDS, PERCENT, COMMON, LOCAL, HELD, TILE, FEW, BUCKET_SHINGLES, GROUP_SHINGLES, MOST_BITS = 5, 75, 1 << 16, 4, 4_000_000, 2048, 8, 3_000_000, 1_000_000, 1 << 16
+WORDS, PERCENT, COMMON, LOCAL, HELD, TILE, FEW, BUCKET_SHINGLES, GROUP_SHINGLES, MOST_BITS = 5, 75, 1 << 16, 4, 4_000_000, 2048, 8, 1_500_000, 1_000_000, 1 << 16
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
@@ -199,8 +199,12 @@ def shared(p: pd.DataFrame, percent: int) -> pd.DataFrame:
     Tile 0 of the bucket holds all of its shingles, but one that more than TILE sets share has tiles of its own.
     """
     key, name, n = (np.frombuffer(b"".join(p[c]), k) for c, k in (("shingles", "<u8"), ("names", "<i8"), ("sizes", "<i4")))
-    order = np.lexsort((name, n, key))
+    order = np.argsort(key, kind="stable")
+    twice = key[order[1:]] == key[order[:-1]]
+    order = order[np.concatenate([[False], twice]) | np.concatenate([twice, [False]])] if len(key) else order  # most shingles come once: the rest is sorted further
     key, name, n = key[order], name[order], n[order].astype(np.int64)
+    order = np.lexsort((name, n, key))
+    key, name, n = key[order], name[order], n[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
     key, name, n = key[new], name[new], n[new]
