@@ -43,7 +43,8 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), body.alias("body")).withColumn("size", F.octet_length("body").cast("long")).withColumn("sha", F.sha1(F.col("body").cast("binary")))
     # A partial minimum before the shuffle: a payload that fills a third of the table sends one row from each task.
     first = rows.filter(f"page_id is not null and size >= {least}").groupBy("sha", "size").agg(F.min("page_id").alias("first_id"))
-    # Only keys and hashes meet here; the bodies stay until the last join, on page_id, which no hot payload skews.
+    # The one shuffle of the bodies. A payload that many pages share makes a large partition, which Spark splits: only its
+    # first record keeps the body.
     rows = rows.join(first, ["sha", "size"], "left")
     revisit = (F.col("first_id") != F.col("page_id")) & F.col("page_id").isNotNull()
     rows = rows.withColumn("refers", F.when(revisit, F.col("first_id")))
@@ -66,9 +67,9 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     return rows.select("page_id", F.concat(head, F.lit(_END), kept).alias("record"))
 
 
-def write_archives(rows: DataFrame, path: str, archives: int) -> None:
-    """About `archives` files of WARC records, gzipped whole."""
-    rows.repartition(archives, F.xxhash64("record")).select("record").write.option("lineSep", _END).option("compression", "gzip").text(path)
+def write_archives(rows: DataFrame, path: str, most: int) -> None:
+    """Files of at most `most` WARC records, gzipped whole, as the rows lie: no further shuffle."""
+    rows.select("record").write.option("maxRecordsPerFile", most).option("lineSep", _END).option("compression", "gzip").text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -187,10 +188,10 @@ def merge_runs(runs: DataFrame, ranges: int) -> DataFrame:
 def histories(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_BYTES) -> DataFrame:
     """Archives of `pages`, written and read back: (page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, capture_ts)."""
     spark = pages.sparkSession
-    size = pages.agg(F.sum(F.octet_length(F.col(html))).alias("n")).first()["n"] or 0
+    sums = pages.agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.col(html))).alias("bytes")).first()
     path = new_path(spark, "warc")
-    archives = max(1, round(size / ARCHIVE_BYTES))
-    write_archives(records(pages, page_id, url, html, least), path, archives)
+    archives = max(1, round((sums["bytes"] or 0) / ARCHIVE_BYTES))
+    write_archives(records(pages, page_id, url, html, least), path, max(1, -(-sums["rows"] // archives)))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
     with batch_rows(spark, 4):  # rows of a whole archive each
         runs = table(read_runs(files), "runs")
