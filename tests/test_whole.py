@@ -1,0 +1,63 @@
+"""Queries over whole texts and all rows, compared with plain recomputations on small tables."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from ticketloom.functions.vocab import TRIGGERS
+from ticketloom.operators import retrieval as R
+from ticketloom.plans import catalog
+
+HEAD = "A common heading of many documents, which says nothing of what they are about. " * 4
+
+
+@pytest.fixture
+def table(spark, tmp_path):
+    """A writer of small tables into a folder of their own."""
+
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        return str(tmp_path)
+
+    return write
+
+
+def run(spark, name, folder):
+    return catalog.queries()[name](spark, folder).collect()
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string"
+
+
+def test_faq_search_reads_whole_texts(spark, table):
+    texts = [HEAD + "the refund is paid in five days", HEAD + "the refund is paid in six days", "short", HEAD + "😀 the refund is paid in five days, twice", None, ""]
+    table("documents", [(i, t, "en", "s") for i, t in enumerate(texts)], DOCUMENTS)
+    keys = ["the refund is paid in five days", "the refund is paid in seven days", HEAD[:12] + "x", "😀", "ix", "", HEAD]
+    folder = table("benchmark", [(i, t) for i, t in enumerate(keys)], "item_id long, text string")
+    want = {(k, i, n) for k in keys if k for n, i in enumerate([i for i, t in enumerate(texts) if k in (t or "")][:3], 1)}
+    assert {(r["keyword"], r["id"], r["rank"]) for r in run(spark, "r17_faq_search", folder)} == want and len(want) == 7
+
+
+def test_faq_search_is_brute_force(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    keys = {r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    want = {(k, i, n) for k in keys for n, i in enumerate(sorted(r["doc_id"] for r in d if k in r["text"])[:3], 1)}
+    assert {(r["keyword"], r["id"], r["rank"]) for r in run(spark, "r17_faq_search", sf_dir)} == want and want
+
+
+def test_evidence_and_answers_are_whole(spark, sf_dir, table):
+    n = len(TRIGGERS) + 2
+    texts = {i: HEAD + TRIGGERS[i % n][0] for i in range(4 * n) if i % n < len(TRIGGERS) and i % 4 in (1, 3)}
+    folder = table("documents", [(i, t, "en", "s") for i, t in texts.items()], DOCUMENTS)
+    assert {r["reason"] for r in run(spark, "e3_faithfulness", folder)} == {"supported"}
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in run(spark, "r11_citations", sf_dir):
+        assert r["answer"] == text[r["chunk_id"] % 1000000]
+    cited, faq = ({r["query"]: r[c] for r in run(spark, q, sf_dir)} for q, c in (("r20_evidence", "evidence"), ("r16_faq_text", "text")))
+    for r in run(spark, "r2_bm25_topk", sf_dir):
+        if r["rank"] <= 3:
+            assert text[r["doc"]] in cited[r["query"]] and text[r["doc"]] in faq[r["query"]]
+
+
+def test_sufficiency_reads_whole_texts(spark, table):
+    folder = table("documents", [(1, "a " * 120 + "refund", "en", "s"), (2, "a b c", "en", "s")], DOCUMENTS)
+    assert {r["doc_id"]: r["sufficient"] for r in run(spark, "e4_sufficiency", folder)} == {1: True, 2: False}

@@ -191,20 +191,19 @@ def faq_text(hits: DataFrame) -> DataFrame:
 def faq_search(faq: DataFrame, keywords: DataFrame, limit: int = 3) -> DataFrame:
     """(keyword, id, rank) of the first rows whose question or answer holds the keyword.
 
-    A keyword of three characters or more meets rows by its first trigram, an equi-join that grows with matches; shorter
-    ones, which any text may hold, meet by single characters.
+    A keyword of three characters or more meets rows by its rarest trigram, an equi-join that grows with matches; shorter
+    ones, which any text may hold, meet by themselves. Only ids and grams are joined, and texts are read for candidates.
     """
     text = F.concat_ws("\n", "question", "answer")
-    width = lambda c: F.least(F.length(c), F.lit(3))
-    kw = keywords.select("keyword").distinct().filter("keyword <> ''").withColumn("gram", F.substring(F.col("keyword"), F.lit(1), width(F.col("keyword"))))
-    size = F.length(text)
-
-    def runs(w: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(size - (w - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(w)))
-
-    grams = F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
-    rows = faq.filter(text != "").select("id", "question", "answer", F.explode(grams).alias("gram"))
-    hit = rows.join(kw, "gram").filter("contains(question, keyword) or contains(answer, keyword)")
+    runs = lambda c, w: F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{w}}}))"), F.lit(1))
+    kw = keywords.select("keyword").distinct().filter("keyword <> ''")
+    own = F.when(F.length("keyword") < 3, F.array("keyword")).otherwise(F.array_distinct(runs(F.col("keyword"), 3)))
+    asked = kw.select("keyword", F.explode(own).alias("gram"))
+    grams = F.array_distinct(F.concat(*[runs(text, w) for w in (1, 2, 3)]))
+    held = faq.select("id", F.explode(grams).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    rare = asked.join(held.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").groupBy("keyword").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    maybe = held.join(rare, "gram").select("keyword", "id").distinct()
+    hit = maybe.join(faq.select("id", "question", "answer"), "id").filter("contains(question, keyword) or contains(answer, keyword)")
     return top(hit.select("keyword", "id"), ["keyword"], [F.col("id")], limit)
 
 

@@ -119,7 +119,7 @@ def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") + 1000000).alias("chunk_id"), F.col("source").alias("section_path"), F.concat(F.lit(" \n"), F.col("lang"), F.lit("\nx")).alias("questions"), F.substring("text", 1, 50).alias("answer"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") + 1000000).alias("chunk_id"), F.col("source").alias("section_path"), F.concat(F.lit(" \n"), F.col("lang"), F.lit("\nx")).alias("questions"), F.col("text").alias("answer"))
     return R.citations(R.edges_first(bm25(spark, sf_dir, 5)).join(d, "doc"))
 
 
@@ -173,7 +173,7 @@ def r15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("r16_faq_text", f"with {_BM25}, h as (select query, rank, lang, substr(text, 1, 30) as a from b join documents on doc = doc_id where rank <= 3) select query, string_agg(rank || '. 问：' || lang || ' 答：' || a, chr(10) || chr(10) order by rank) as text from h group by 1")
 def r16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("lang").alias("question"), F.substring("text", 1, 30).alias("answer"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("lang").alias("question"), F.col("text").alias("answer"))
     return R.faq_text(bm25(spark, sf_dir, 3).join(d, "doc"))
 
 
@@ -182,8 +182,8 @@ def r16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """with k as (select distinct substr(text, 1, 12) as keyword from benchmark), h as (select keyword, doc_id as id, row_number() over (partition by keyword order by doc_id) as rank from k join documents on contains(substr(text, 1, 200), keyword)) select keyword, id, rank from h where rank <= 3""",
 )
 def r17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    faq = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("question"), F.substring("text", 1, 200).alias("answer"))
-    return R.faq_search(faq, read(spark, sf_dir, "benchmark").select(F.substring("text", 1, 12).alias("keyword")))
+    faq = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("question"), F.col("text").alias("answer"))
+    return R.faq_search(faq, read(spark, sf_dir, "benchmark").select(F.col("text").alias("keyword")))
 
 
 _SCORES = "sc as (select user_id as query, value / 200 as score from events where event_id % 50 < 5)"
@@ -258,7 +258,7 @@ _MADE = "case " + " ".join(f"when contains(a, '{p}') and not contains(e, '{p}')
 )
 def e3(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
-    evidence = F.when(i % 4 > 0, F.concat(F.substring("text", 1, 100), F.when(i % 4 == 2, "免单").otherwise("")))
+    evidence = F.when(i % 4 > 0, F.concat(F.col("text"), F.when(i % 4 == 2, "免单").otherwise("")))
     return read(spark, sf_dir, "documents").select("doc_id", E.faithfulness(_answer(i), evidence).alias("r")).select("doc_id", "r.faithful", "r.reason")
 
 
@@ -268,8 +268,8 @@ def e3(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, not oos and coalesce(list_bool_or(list_transform(list_filter(w, lambda x: length(x) >= 2), lambda x: contains(e, x))), false) as sufficient from x""",
 )
 def e4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.concat(F.substring("text", 1, 30), F.when(F.col("doc_id") % 9 == 0, F.lit(OUT_OF_SCOPE[0])).otherwise(""))
-    return read(spark, sf_dir, "documents").select("doc_id", E.sufficient(q, F.substring("text", 20, 200)).alias("sufficient"))
+    q = F.concat(F.col("text"), F.when(F.col("doc_id") % 9 == 0, F.lit(OUT_OF_SCOPE[0])).otherwise(""))
+    return read(spark, sf_dir, "documents").select("doc_id", E.sufficient(q, F.col("text")).alias("sufficient"))
 
 
 @add("e5_judge_json", "select doc_id, doc_id % 4 in (0, 1) as sufficient, case doc_id % 4 when 3 then '' else 'r' || doc_id end as reason from documents")
