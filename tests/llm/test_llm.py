@@ -403,3 +403,14 @@ def test_pipeline(spark, sf_dir, docs, empty):
 def test_registered_names():
     assert [k for k in registered.queries() if k.startswith("op")] == sorted((k for k in registered.queries() if k.startswith("op")), key=lambda k: int(k[2:].split("_")[0]))
     assert len(registered.queries()) == 11
+
+
+@pytest.mark.parametrize("text", ["x <|endoftext|> hi", "X <|ENDOFTEXT|> hi", "<|startoftext|>a<|endoftext|>", "é <|endoftext|>日本", "words <| endoftext |>"])
+def test_added_tokens_keep_their_ids(spark, text):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    want = np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert packing.Encoder(path).encode([text])[0] == want
+    got = packing.pieces(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got["ids_crc32"], got["length"]) == (zlib.crc32(want + int(2).to_bytes(4, "little")), len(want) // 4 + 1)

@@ -26,7 +26,7 @@ from .common import bounded_batches
 #: Parameters: ids in a sequence, id that closes a document, rows of a group on average, words whose ids a task keeps.
 SEQUENCE, CLOSING, GROUP_ROWS, CACHED_WORDS = 4096, 2, 4000, 250_000
 #: Texts of these characters only are split into the tokenizer's own words here, so that a word is encoded once for all
-#: its occurrences; any other text goes to the tokenizer whole.
+#: its occurrences; any other text, and one that holds an added token, goes to the tokenizer whole.
 _plain = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*").fullmatch
 _words = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+").findall
 
@@ -44,7 +44,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Words are encoded alone only where no added token (<|endoftext|>, in any case) stands in the text.
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     @staticmethod
@@ -73,7 +74,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        split = [_words(t.lower()) if t and _plain(t) else None for t in texts]
+        split = [_words(low) if t and _plain(t) and not any(a in (low := t.lower()) for a in self.added) else None for t in texts]
         new = {w for s in split if s for w in s}.difference(self.known)
         self._learn(list(new))
         get = self.known.__getitem__
