@@ -1,10 +1,11 @@
 """Queries over whole texts and all rows, compared with plain recomputations on small tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ticketloom.functions.vocab import TRIGGERS
-from ticketloom.operators import retrieval as R
+from ticketloom.operators import mining as M
 from ticketloom.plans import catalog
 
 HEAD = "A common heading of many documents, which says nothing of what they are about. " * 4
@@ -61,3 +62,21 @@ def test_evidence_and_answers_are_whole(spark, sf_dir, table):
 def test_sufficiency_reads_whole_texts(spark, table):
     folder = table("documents", [(1, "a " * 120 + "refund", "en", "s"), (2, "a b c", "en", "s")], DOCUMENTS)
     assert {r["doc_id"]: r["sufficient"] for r in run(spark, "e4_sufficiency", folder)} == {1: True, 2: False}
+
+
+def test_semantic_dedup_across_labels(spark, table, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(12, 4)).round(3)
+    vectors = [x[i % 12].tolist() for i in range(60)] + [(x[i] * 2 + 0.01).tolist() for i in range(12)] + [[0.0] * 4] * 3
+    folder = table("embeddings", [(i, v, i % 5 if i % 7 else None) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+    unit = np.array(vectors, np.float32).astype(float)
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+    kept = []
+    for i, u in enumerate(unit):
+        if not any(u @ unit[k] >= 0.92 for k in kept):
+            kept.append(i)
+    paired = []
+    pairs = M.similar_pairs
+    monkeypatch.setattr(M, "similar_pairs", lambda rows, *a: paired.append(rows.count()) or pairs(rows, *a))
+    got = {r["id"]: r["status"] for r in run(spark, "m6_semantic_dedup", folder)}
+    assert sorted(i for i, s in got.items() if s == "kept") == kept and len(got) == len(vectors)
+    assert paired == [12 + 12 + 3]

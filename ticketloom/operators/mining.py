@@ -95,16 +95,18 @@ def semantic_dedup(rows: DataFrame, least: float = SIMILAR, by: str | None = Non
 
     Exactly the sequential result, in rounds: a row without an open earlier neighbour is kept, and rules out its later
     neighbours; pairs of rows that are ruled out close. Each round settles at least the first open row of every chain.
-    Rounds are tables in the shared folder.
+    Rounds are tables in the shared folder. Later copies of a vector are discarded with or by its first row, so they are
+    not paired; a vector of zeros is similar to nothing, not even to its copies.
     """
-    open_pairs, gone = stored(similar_pairs(rows, least, by), "pairs"), None
+    firsts = rows.filter(F.exists("vector", lambda x: x != 0)).groupBy(F.col("vector").alias("v"), (F.col(by) if by else F.lit(0)).alias("b")).agg(F.min("place").alias("first"))
+    same = (F.col("vector") == F.col("v")) & ((F.col(by) if by else F.lit(0)).eqNullSafe(F.col("b")))
+    seen = stored(rows.join(firsts, same, "left").withColumn("copy", F.coalesce(F.col("place") > F.col("first"), F.lit(False))).drop("v", "b", "first"), "rows")
+    open_pairs, gone = stored(similar_pairs(seen.filter("not copy"), least, by), "pairs"), seen.filter("copy").select("id")
     while open_pairs.limit(1).count():
         kept = open_pairs.select(F.col("other").alias("o")).distinct().join(open_pairs.select(F.col("id").alias("o")).distinct(), "o", "left_anti")
         out = stored(open_pairs.join(kept, F.col("other") == F.col("o"), "left_semi").select("id").distinct(), "gone")
-        gone = out if gone is None else gone.unionByName(out)
+        gone = gone.unionByName(out)
         open_pairs = stored(open_pairs.join(out, "id", "left_anti").join(out.select(F.col("id").alias("other")), "other", "left_anti"), "pairs")
-    if gone is None:
-        return rows.select("id", F.lit("kept").alias("status"))
     marked = rows.select("id").join(gone.distinct().withColumn("g", F.lit(True)), "id", "left")
     return marked.select("id", F.when(F.col("g"), "discarded").otherwise("kept").alias("status"))
 

@@ -66,7 +66,7 @@ def m5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("m6_semantic_dedup")
 def m6(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
-    return M.semantic_dedup(e.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("place"), F.col("embedding").alias("vector"), "label"), by="label")
+    return M.semantic_dedup(e.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("place"), F.col("embedding").alias("vector")))
 
 
 @add("m7_staging_counts", f"with {_DEDUP} select source as batch_no, case when keep then 'kept' else 'discarded' end as status, count(*) as n from ded group by 1, 2")
