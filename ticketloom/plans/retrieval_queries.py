@@ -191,8 +191,8 @@ _CONF = f"{_SCORES}, g as (select query, max(score) as s0, count_if(score >= 0.2
 
 
 def confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # One in ten events is a retrieval score of its user: what counts as a score here, not a sample of the scores.
-    return R.confidence(read(spark, sf_dir, "events").filter("event_id % 50 < 5").select(F.col("user_id").alias("query"), (F.col("value") / 200).alias("score")))
+    # Every event is a retrieval score of its user.
+    return R.confidence(read(spark, sf_dir, "events").select(F.col("user_id").alias("query"), (F.col("value") / 200).alias("score")))
 
 
 @add("r18_confidence", f"with {_CONF} select query, round(confidence, 6) as confidence from cf")
