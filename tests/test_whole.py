@@ -93,3 +93,42 @@ def test_confidence_takes_all_events(spark, table):
     assert {r["query"]: r["confidence"] for r in run(spark, "r18_confidence", folder)} == want
     assert {r["query"]: r["gate"] for r in run(spark, "r19_gate", folder)} == {u: "pass" if c >= 0.4 else "fallback" for u, c in want.items()}
     assert {r["query"] for r in run(spark, "f1_pool_rows", folder)} == {u for u, c in want.items() if c < 0.4 and u is not None}
+
+
+def same_heads(table, n=40):
+    """Documents of one heading that differ after it, each but the first ten in two copies, the second in upper case."""
+    texts = [HEAD + f"part {i % 10}" for i in range(10)] + [f" {HEAD}part {i}\n".upper() if k else HEAD + f"part {i}" for i in range(10, 25) for k in (0, 1)]
+    return table("documents", [(i, t, "en", f"s{i % 3}") for i, t in enumerate(texts[:n])], DOCUMENTS), texts[:n]
+
+
+def test_dedup_keys_are_whole_texts(spark, table):
+    folder, texts = same_heads(table)
+    status = {r["id"]: r["status"] for r in run(spark, "m5_exact_dedup", folder)}
+    kept = {i for i in range(40) if i < 10 or i % 2 == 0}
+    assert {i for i, s in status.items() if s == "kept"} == kept and len(status) == 40
+    assert sum(r["n"] for r in run(spark, "m7_staging_counts", folder) if r["status"] == "kept") == 25
+    assert {r["questions"] for r in run(spark, "m8_kept_to_chunks", folder)} == {texts[i] for i in kept}
+
+
+def test_gaps_are_whole_texts(spark, table):
+    folder, texts = same_heads(table)
+    key = lambda t: t.strip().lower()
+    matched = run(spark, "f4_match_gaps", folder)
+    groups = {}
+    for r in matched:
+        groups.setdefault(r["matched_review_id"], set()).add(key(texts[r["id"]]))
+    assert len(matched) == 40 and len(groups) == 25 and all(len(g) == 1 for g in groups.values())
+    assert {key(r["normalized_question"]) for r in run(spark, "f4_queue_after", folder)} == set(map(key, texts))
+    # Of the queue's four gaps, 0 and 20 are pending.
+    assert [(r["processed"], r["new"], r["merged"]) for r in run(spark, "f5_processing_counts", folder)] == [(40, 23, 17)]
+    assert all(r["raw_questions"] <= 2 for r in run(spark, "f6_review_list", folder))
+    assert {r["question"] for r in run(spark, "f7_review_detail", folder)} >= set(texts)
+    assert {r["question"] for r in run(spark, "f3_normalise", folder)} == {t.strip() for t in texts}
+    gaps = {r["gap"]: r["occurrence_count"] for r in run(spark, "x1_gap_counters", folder)}
+    assert gaps == {k: sum(key(t) == k for t in texts) for k in map(key, texts)}
+
+
+def test_routes_merge_whole_texts(spark, table):
+    folder = table("documents", [(97 * i, HEAD + f"part {i % 3}", "en", "s") for i in range(12)], DOCUMENTS)
+    got = run(spark, "r12_route_merge", folder)
+    assert sorted(r["doc"] // 97 % 3 for r in got) == [0, 1, 2]

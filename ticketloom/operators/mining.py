@@ -57,8 +57,9 @@ def exact_dedup(rows: DataFrame, id: str, question: str, answer: str) -> DataFra
     """M5: (id, status): of equal cleaned questions the longest trimmed answer is kept, of these the lowest id.
 
     The choice is a maximum with partial aggregation, so a key that many rows share doesn't gather in one task.
+    Questions may be long: their keys are shuffled as hashes.
     """
-    r = rows.select(F.col(id).alias("id"), F.coalesce(T.dedup_key(F.col(question)), F.lit("")).alias("k"), F.coalesce(F.length(T.strip(F.col(answer))), F.lit(0)).alias("n"))
+    r = rows.select(F.col(id).alias("id"), F.sha2(F.coalesce(T.dedup_key(F.col(question)), F.lit("")), 256).alias("k"), F.coalesce(F.length(T.strip(F.col(answer))), F.lit(0)).alias("n"))
     best = r.groupBy("k").agg(F.max(F.struct(F.col("n"), -F.col("id"))).alias("b"))
     kept = best.select((-F.col("b.col2")).alias("id"), F.lit(True).alias("kept"))
     return r.join(kept, "id", "left").select("id", F.when(F.col("kept"), "kept").otherwise("discarded").alias("status"))

@@ -55,7 +55,7 @@ _DEDUP = f"ded as (select doc_id as id, text, source, row_number() over (partiti
 
 
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("question"), F.col("text").alias("answer"), "source")
+    return read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("question"), F.col("text").alias("answer"), "source")
 
 
 @add("m5_exact_dedup", f"with {_DEDUP} select id, case when keep then 'kept' else 'discarded' end as status from ded")
@@ -85,7 +85,7 @@ def m8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.as_chunks(rows.withColumnRenamed("source", "source_ref")).withColumn("answer", F.md5("answer"))
 
 
-# The pool: the first 30 characters of each document are a question; gaps: those of every tenth document.
+# The pool: each document is a question; gaps: those of every tenth document.
 _POOL = "pool as (select doc_id as id, substr(text, 1, 30) as question, null::bigint as m from documents)"
 _QUEUE = f"q as (select id, question as normalized_question, 1::bigint as occurrence_count, case when id % 20 = 0 then '待审' else '通过' end as review_status from pool where id % 10 = 0)"
 _GAP = strip_sql("question").join(["lower(", ")"])
@@ -97,7 +97,7 @@ matched as (select pk.id, question, gap as matched_review_id from pk join ids us
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 30).alias("question"), F.lit(None).cast("long").alias("matched_review_id"))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("question"), F.lit(None).cast("long").alias("matched_review_id"))
 
 
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +157,7 @@ def f8c(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"select doc_id, {strip_sql('substr(text, 1, 30)')} as question, case when doc_id % 2 = 0 then '{{a}}' else '暂无建议' end as answer from documents".replace("{a}", "answer"),
 )
 def f3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = T.strip(F.substring("text", 1, 30))
+    raw = T.strip(F.col("text"))
     said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.regexp_replace(raw, r"\n\s*\n", "\n"), F.lit("\n\nanswer")))
     got = Y.normalised(raw, said, "暂无建议")
     return read(spark, sf_dir, "documents").select("doc_id", got["question"].alias("question"), got["answer"].alias("answer"))

@@ -29,7 +29,7 @@ def _stream(rows: DataFrame, order: str, parts: int = 3) -> DataFrame:
 )
 def x1(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _folder(spark)
-    pool = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 30).alias("question"))
+    pool = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("question"))
     jobs.gap_counters(_stream(pool, "id"), store, _folder(spark)).awaitTermination()
     return jobs.read_store(spark, store, "gap string, question string, first_id long, occurrence_count long").drop("question")
 
