@@ -6,7 +6,8 @@ category of s bits a code of 12 - s bits, so each coefficient takes 12 bits and
 table look-up. Decoding yields the stored bytes again, and by the inverse cosine transform the frame's samples.
 
 Cases: null and empty texts are one frame of 255s; equal texts give equal values; a text of any length is one file, whose
-frames are coded together; a repeated row is stored once per row. Other columns of the input are ignored.
+frames are coded together; a repeated row is stored once per row. Other columns of the input are ignored. Only files of
+this coder are decoded: frames of another size, colour or tables are an error, which fails the job.
 """
 
 from __future__ import annotations
