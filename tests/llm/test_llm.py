@@ -281,11 +281,14 @@ def near_copies(seed=5):
     return list(enumerate(rows + rows[:5]))
 
 
-@pytest.mark.parametrize("small", [False, True])
+#: Many buckets, small chunks and leads that miss; shingles that are hot; bands that no pair of is looked at.
+SMALL = {"BUCKET_SHINGLES": 300, "CHUNK": 400, "EACH": 0, "FEW": 2, "LOCAL": 3, "LEADS": 1}
+
+
+@pytest.mark.parametrize("small", [{}, SMALL, SMALL | {"HOT": 2, "LOCAL": 2}, {"CHUNK": 150, "TILE": 2, "EACH": 10}])
 def test_jaccard(spark, monkeypatch, small):
-    if small:  # many buckets, tiles cut into chunks, clusters cut into chunks; batches that call shingles common
-        for k, v in (("BUCKET_SHINGLES", 300), ("GROUP_SHINGLES", 400), ("FEW", 2), ("LOCAL", 3)):
-            monkeypatch.setattr(jaccard_join, k, v)
+    for k, v in small.items():
+        monkeypatch.setattr(jaccard_join, k, v)
     rows = near_copies()
     extra = [(1000, None), (1001, ""), (1002, " \n"), (1003, "a b"), (1004, "A  b"), (1005, "a b c"), (None, "a b"), (1006, "x " * 5000)]
     got = jaccard_join.join(spark.createDataFrame(rows + extra, "doc_id long, text string")).collect()
@@ -299,6 +302,55 @@ def test_jaccard(spark, monkeypatch, small):
     assert jaccard_join.join(d.limit(0)).count() == 0
 
 
+WORDS_APART = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(40)]
+
+
+COPIES = [(80, WORDS_APART[0][1].upper()), (81, WORDS_APART[3][1])]
+
+
+@pytest.mark.parametrize(("rows", "buckets"), [(WORDS_APART[:1], 1_500_000), (WORDS_APART, 1_500_000), (WORDS_APART, 20), ([WORDS_APART[0], COPIES[0]], 1_500_000), (WORDS_APART + [(90, WORDS_APART[3][1] + " more")], 20), ([(1, None)], 1_500_000), ([(1, "a"), (1, "b"), (1, "a")], 1_500_000)])
+def test_jaccard_without_near_copies(spark, monkeypatch, rows, buckets):
+    monkeypatch.setattr(jaccard_join, "BUCKET_SHINGLES", buckets)
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = jaccard_by_hand(rows)[1]
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((i, want[i]) for i, _ in rows)
+
+
+def test_jaccard_names_that_collide(spark, monkeypatch):
+    """Sets of one first hash stay apart by the second."""
+    real = jaccard_join.set_name
+    monkeypatch.setattr(jaccard_join, "set_name", lambda s: (7, real(s)[1]))
+    rows = WORDS_APART + COPIES
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == jaccard_by_hand(rows)[1] and got[81] == 3 and got[80] == 0
+
+
+def test_jaccard_keeps_other_columns(spark):
+    names = ["gone", "node", "rep", "cluster", "name", "t", "n", "GONE_", "found"]
+    d = spark.createDataFrame(WORDS_APART[:3] + [(50, WORDS_APART[1][1])], "doc_id long, text string").withColumns({c: F.lit(c) for c in names})
+    got = jaccard_join.distinct_documents(d)
+    assert got.columns == d.columns and sorted(r["doc_id"] for r in got.collect()) == [0, 1, 2]
+
+
+def test_large_cluster_spreads(spark, monkeypatch):
+    """No task verifies a whole large cluster, and nothing of it gets lost."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", 2000)
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(40)]
+    rows = [(i, " ".join(x if rng.random() > 0.01 else f"e{rng.random()}" for x in base)) for i in range(300)]
+    seen = []
+    real = jaccard_join._dealt
+
+    def dealt(members):
+        tasks, guests = real(members)
+        seen.append(max(r["count"] for r in tasks.unionByName(guests).groupBy("group", "i", "j").count().collect()))
+        return tasks, guests
+
+    monkeypatch.setattr(jaccard_join, "_dealt", dealt)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == jaccard_by_hand(rows)[1] and seen[0] < 60
+
+
 def test_hot_tiles():
     """A tile in chunks gives the links of a whole one."""
     rng = np.random.default_rng(1)
