@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vocab import CLOSING, KEY_CLAUSES, SENTENCE_ENDS
+from ..sources.io import bounded_batches
+from .mining import numbered
 
 #: Parameters: characters of a chunk and of the overlap, the category of text without heading, how far a cut is moved.
 CHUNK, OVERLAP, NO_CATEGORY, ALIGN = 500, 80, "未分类", 40
@@ -161,6 +162,7 @@ def split_markdown(text: str | None, size: int = CHUNK, overlap: int = OVERLAP)
 def split_documents(docs: DataFrame, doc: str, text: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """K1 over a table: (doc, chunk columns, prev_index, next_index); a document is a row, so its chunks are linked without a shuffle (K8)."""
     kind = dict(docs.dtypes)[doc]
+    bounded_batches(docs.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
@@ -177,6 +179,7 @@ def split_documents(docs: DataFrame, doc: str, text: str, size: int = CHUNK, ove
 
 def sentence_chunks(docs: DataFrame, doc: str, text: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """K3 over a table: (doc, place, chunk)."""
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("array<string>")
     def cut(s: pd.Series) -> pd.Series:
@@ -208,17 +211,15 @@ def key_clause(questions: Column, answer: Column) -> Column:
 def linked(rows: DataFrame, doc: str, order: str, first_id: int = 1) -> DataFrame:
     """K8: ids in order of (document, place) and links to the neighbours within a document.
 
-    Ids come from a sort by ranges and each range's offset, so no task holds all rows.
+    Ids come from a sort by ranges and each range's offset; the neighbours' documents come by their ids, so neither
+    all rows nor those of one document are in one task.
     """
-    cols = rows.columns
-    sorted_rows = rows.sort(doc, order).withColumn("_m", F.monotonically_increasing_id())
-    part = F.shiftright("_m", 33)
-    sizes = sorted_rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
-    out = sorted_rows.withColumn("_p", part).join(F.broadcast(before.select("_p", "_before")), "_p")
-    out = out.withColumn("id", F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1) + first_id)
-    w = W.partitionBy(doc).orderBy(order)
-    return out.select("id", *cols, F.lag("id").over(w).alias("prev_chunk_id"), F.lead("id").over(w).alias("next_chunk_id"))
+    n = numbered(rows, [doc, order], "_at").withColumn("id", F.col("_at") + first_id).drop("_at")
+    before = n.select((F.col("id") + 1).alias("id"), F.col(doc).alias("_doc_before"), F.lit(True).alias("_is_before"))
+    after = n.select((F.col("id") - 1).alias("id"), F.col(doc).alias("_doc_after"), F.lit(True).alias("_is_after"))
+    out = n.join(before, "id", "left").join(after, "id", "left")
+    near = lambda side, at: F.when(F.col(f"_is_{side}") & F.col(f"_doc_{side}").eqNullSafe(F.col(doc)), at)
+    return out.select("id", *rows.columns, near("before", F.col("id") - 1).alias("prev_chunk_id"), near("after", F.col("id") + 1).alias("next_chunk_id"))
 
 
 def embedding_text(category: Column, questions: Column, answer: Column) -> Column:

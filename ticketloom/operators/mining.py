@@ -24,13 +24,17 @@ def transcripts(messages: DataFrame, conversation: str, order: list[str], role:
     return g.select("conversation", F.concat(F.lit("conversation:"), F.col("conversation").cast("string")).alias("source_ref"), F.array_join(F.transform("ls", lambda x: x["l"]), "\n").alias("transcript"), F.size("ls").cast("long").alias("message_count"))
 
 
-def numbered(rows: DataFrame, order: str, name: str = "n") -> DataFrame:
-    """Numbers from 0 in order, by ranges and their offsets: no task holds all rows."""
-    s = rows.sort(order).withColumn("_m", F.monotonically_increasing_id())
-    part = F.shiftright("_m", 33)
-    sizes = s.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
-    return s.withColumn("_p", part).join(F.broadcast(before.select("_p", "_b")), "_p").withColumn(name, F.col("_b") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_b")
+def numbered(rows: DataFrame, order: str | list[str], name: str = "n") -> DataFrame:
+    """Numbers from 0 in order, by ranges and their offsets: no task holds all rows.
+
+    The sorted rows are written once, each with its range and its place there, so that counting the ranges and numbering
+    the rows see the same ranges. Rows of equal order get neighbouring numbers, in any order among them.
+    """
+    inner = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    s = stored(rows.sort(order).withColumn("_range", F.spark_partition_id()).withColumn("_place", inner), "sorted")
+    sizes = s.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
+    return s.join(F.broadcast(before.select("_range", "_before")), "_range", "left").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
 
 
 def batches(rows: DataFrame, order: str, stamp: str, size: int = BATCH) -> DataFrame:

@@ -49,8 +49,8 @@ def x2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     got.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", _folder(spark)).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.schema("conversation long, anchor long, kept_tokens long, batch int").parquet(f"{out}/*")
-    # A conversation's last state: the newest trigger, less messages that came later without one.
-    last = rows.groupBy("conversation").agg(F.max_by("anchor", "batch").alias("anchor"))
+    # A conversation's last anchor is its largest; messages that came later without a trigger count as kept.
+    last = rows.groupBy("conversation").agg(F.max("anchor").alias("anchor"))
     tail = m.join(last, "conversation").filter("id > anchor").groupBy("conversation").agg(F.sum("tokens").alias("kept"))
     return last.join(tail, "conversation", "left").select("conversation", "anchor", F.coalesce("kept", F.lit(0)).alias("kept_tokens"))
 

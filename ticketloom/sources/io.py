@@ -16,9 +16,16 @@ _fallback: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which all executors share; a temporary one where that is unset, as on one machine."""
+    """The folder that spark.checkpoint.dir names, which all executors share.
+
+    Where that is unset, Spark in one process (master local) gets a temporary folder; on a cluster it is an error, since
+    executors would write to disks that others can't read.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _fallback:
             _fallback.append(tempfile.mkdtemp(prefix="ticketloom-"))
         found = _fallback[0]
@@ -29,6 +36,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Lower the number of rows handed to Python at once to at most `rows`, as texts may be long; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read again: cuts lineage, survives lost executors."""
     spark, schema = df.sparkSession, df.schema
@@ -47,17 +62,17 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    """S3: (file, text) of every *.md file, whole."""
-    rows = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
+def read_markdown(spark: SparkSession, folder: str, names: str = "*.md") -> DataFrame:
+    """S3: (file, text) of every file of the given names, whole; sorting by name is the reader's."""
+    rows = spark.read.option("pathGlobFilter", names).text(folder, wholetext=True)
     return rows.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("value").alias("text"))
 
 
-def inventory(spark: SparkSession, folder: str, size: int, overlap: int) -> DataFrame:
-    """(file, bytes, modified, chunks) of every *.md file."""
+def inventory(spark: SparkSession, folder: str, size: int, overlap: int, names: str = "*.md") -> DataFrame:
+    """(file, bytes, modified, chunks) of every file of the given names."""
     from ..operators.kb import split_documents
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("text"))
     counts = split_documents(named, "file", "text", size, overlap).groupBy("doc").agg(F.count("*").alias("chunks"))
     return named.join(counts, F.col("file") == F.col("doc"), "left").select("file", "bytes", "modified", F.coalesce("chunks", F.lit(0)).alias("chunks"))

@@ -56,29 +56,32 @@ def read_store(spark: SparkSession, store: str, schema: str) -> DataFrame:
 def summary_triggers(messages: DataFrame, most: int, idle_ms: int | None = 1_800_000) -> DataFrame:
     """A stream of (conversation, id, tokens) into (conversation, anchor, kept_tokens), a row whenever old messages must leave layer 1.
 
-    The state is the conversation's messages that still fit, oldest first: bounded by the budget. It goes after `idle_ms` without a
-    message; None keeps it, for streams that are run to their end (a query with processing-time timeouts never ends).
+    The anchor is the newest message whose own and all newer tokens are over `most`; it only grows, in whatever order
+    messages come: one that is not newer than the anchor has left already and is ignored. The state is the anchor and the
+    messages behind it that hold tokens: bounded by the budget. It goes after `idle_ms` without a message; None keeps it,
+    for streams that are run to their end (a query with processing-time timeouts never ends).
     """
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held = list(zip(*state.get, strict=True)) if state.exists else []
+        anchor, ids, sizes = state.get if state.exists else (None, [], [])
+        held, moved = list(zip(ids, sizes, strict=True)), False
         for p in parts:
-            held += list(zip(p["id"].tolist(), p["tokens"].tolist(), strict=True))
+            held += [(i, t) for i, t in zip(p["id"].tolist(), p["tokens"].tolist(), strict=True) if t > 0 and (anchor is None or i > anchor)]
         held.sort()
-        total, anchor = sum(t for _, t in held), None
-        while held and total > most:
+        total = sum(t for _, t in held)
+        while total > most:
             anchor, gone = held.pop(0)
-            total -= gone
-        state.update(([i for i, _ in held], [t for _, t in held]))
+            total, moved = total - gone, True
+        state.update((anchor, [i for i, _ in held], [t for _, t in held]))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
-        if anchor is not None:
+        if moved:
             yield pd.DataFrame({"conversation": [key[0]], "anchor": [anchor], "kept_tokens": [total]})
 
-    return messages.groupBy("conversation").applyInPandasWithState(fold, "conversation long, anchor long, kept_tokens long", "ids array<long>, tokens array<long>", "update", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    return messages.groupBy("conversation").applyInPandasWithState(fold, "conversation long, anchor long, kept_tokens long", "anchor long, ids array<long>, tokens array<long>", "update", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def index_pending(chunks: DataFrame, embed: Callable[[Column], Column], text: Column, store: str, checkpoint: str) -> StreamingQuery:
