@@ -50,7 +50,7 @@ def m4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.staged(model_output(spark, sf_dir), M.parsed_pairs(F.col("said")))
 
 
-_KEY = r"regexp_replace(lower(substr(text, 1, 40)), '[^\p{L}\p{N}]+', '', 'g')"
+_KEY = r"regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g')"
 _DEDUP = f"ded as (select doc_id as id, text, source, row_number() over (partition by {_KEY} order by length({strip_sql('text')}) desc, doc_id) = 1 as keep from documents)"
 
 
@@ -77,7 +77,7 @@ def m7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(
     "m8_kept_to_chunks",
-    f"with {_DEDUP} select '历史问答挖掘' as category, substr(text, 1, 40) as questions, md5(text) as answer, '客服对话挖掘 > ' || source as section_path, 'mined_qa' as content_type, false as is_key_clause, 'pending' as vectorize_status from ded where keep",
+    f"with {_DEDUP} select '历史问答挖掘' as category, text as questions, md5(text) as answer, '客服对话挖掘 > ' || source as section_path, 'mined_qa' as content_type, false as is_key_clause, 'pending' as vectorize_status from ded where keep",
 )
 def m8(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = staged(spark, sf_dir)
@@ -86,7 +86,7 @@ def m8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The pool: each document is a question; gaps: those of every tenth document.
-_POOL = "pool as (select doc_id as id, substr(text, 1, 30) as question, null::bigint as m from documents)"
+_POOL = "pool as (select doc_id as id, text as question, null::bigint as m from documents)"
 _QUEUE = f"q as (select id, question as normalized_question, 1::bigint as occurrence_count, case when id % 20 = 0 then '待审' else '通过' end as review_status from pool where id % 10 = 0)"
 _GAP = strip_sql("question").join(["lower(", ")"])
 _MATCH = f"""{_POOL}, {_QUEUE}, pk as (select *, {_GAP} as k from pool), qk as (select {strip_sql('normalized_question').join(['lower(', ')'])} as k, min(id) as gap from q where review_status = '待审' group by 1),
@@ -152,9 +152,12 @@ def f8c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.decide(q, q.filter("id % 30 < 20").select("id", (F.col("id") % 30 == 0).alias("approve"), F.col("normalized_question").alias("answer")))[1]
 
 
+_SAID_SQL = f"regexp_replace({strip_sql('text')}, '\\n[\\s\\x0B]*\\n', chr(10), 'g')"  # the question as the model says it
+
+
 @add(
     "f3_normalise",
-    f"select doc_id, {strip_sql('substr(text, 1, 30)')} as question, case when doc_id % 2 = 0 then '{{a}}' else '暂无建议' end as answer from documents".replace("{a}", "answer"),
+    f"select doc_id, case when doc_id % 2 = 0 then {strip_sql(_SAID_SQL)} else {strip_sql('text')} end as question, case when doc_id % 2 = 0 then '{{a}}' else '暂无建议' end as answer from documents".replace("{a}", "answer"),
 )
 def f3(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = T.strip(F.col("text"))

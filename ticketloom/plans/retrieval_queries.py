@@ -123,7 +123,7 @@ def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.citations(R.edges_first(bm25(spark, sf_dir, 5)).join(d, "doc"))
 
 
-_CITED = f"{_BM25}, h as (select query, doc, case when rank % 2 = 1 then (rank - 1) // 2 else (count(*) over (partition by query)) - 1 - (rank - 2) // 2 end as place from b where rank <= 5), ci as (select query, row_number() over (partition by query order by place) as n, case when doc % 2 = 0 then doc + 1000000 else doc end as chunk_id, source as section_path, {strip_sql('lang')} as question, substr(text, 1, 50) as answer from h join documents on doc = doc_id)"
+_CITED = f"{_BM25}, h as (select query, doc, case when rank % 2 = 1 then (rank - 1) // 2 else (count(*) over (partition by query)) - 1 - (rank - 2) // 2 end as place from b where rank <= 5), ci as (select query, row_number() over (partition by query order by place) as n, case when doc % 2 = 0 then doc + 1000000 else doc end as chunk_id, source as section_path, {strip_sql('lang')} as question, text as answer from h join documents on doc = doc_id)"
 
 
 @add("r11_citations", f"with {_CITED} select * from ci")
@@ -138,7 +138,7 @@ def r20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(
     "r12_route_merge",
-    f"""with r as (select doc_id % 97 as query, doc_id % 3 as route, doc_id as doc, substr(text, 1, 20) as text, (doc_id * 7919 % 100) / 100.0::double as score from documents),
+    f"""with r as (select doc_id % 97 as query, doc_id % 3 as route, doc_id as doc, text, (doc_id * 7919 % 100) / 100.0::double as score from documents),
     o as (select *, row_number() over (partition by query, {strip_sql('text')} order by score desc, route, doc) as k from r), f as (select *, row_number() over (partition by query order by score desc, route, doc) as rank from o where k = 1) select query, doc, score, rank from f where rank <= 5""",
 )
 def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +171,7 @@ def r15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select("item_id", got["standard"].alias("standard"), F.array_join(got["keywords"], ",").alias("keywords"))
 
 
-@add("r16_faq_text", f"with {_BM25}, h as (select query, rank, lang, substr(text, 1, 30) as a from b join documents on doc = doc_id where rank <= 3) select query, string_agg(rank || '. 问：' || lang || ' 答：' || a, chr(10) || chr(10) order by rank) as text from h group by 1")
+@add("r16_faq_text", f"with {_BM25}, h as (select query, rank, lang, text as a from b join documents on doc = doc_id where rank <= 3) select query, string_agg(rank || '. 问：' || lang || ' 答：' || a, chr(10) || chr(10) order by rank) as text from h group by 1")
 def r16(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("lang").alias("question"), F.col("text").alias("answer"))
     return R.faq_text(bm25(spark, sf_dir, 3).join(d, "doc"))
@@ -179,14 +179,14 @@ def r16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(
     "r17_faq_search",
-    """with k as (select distinct substr(text, 1, 12) as keyword from benchmark), h as (select keyword, doc_id as id, row_number() over (partition by keyword order by doc_id) as rank from k join documents on contains(substr(text, 1, 200), keyword)) select keyword, id, rank from h where rank <= 3""",
+    """with k as (select distinct text as keyword from benchmark where text <> ''), h as (select keyword, doc_id as id, row_number() over (partition by keyword order by doc_id) as rank from k join documents on contains(text, keyword)) select keyword, id, rank from h where rank <= 3""",
 )
 def r17(spark: SparkSession, sf_dir: str) -> DataFrame:
     faq = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("question"), F.col("text").alias("answer"))
     return R.faq_search(faq, read(spark, sf_dir, "benchmark").select(F.col("text").alias("keyword")))
 
 
-_SCORES = "sc as (select user_id as query, value / 200 as score from events where event_id % 50 < 5)"
+_SCORES = "sc as (select user_id as query, value / 200 as score from events)"
 _CONF = f"{_SCORES}, g as (select query, max(score) as s0, count_if(score >= 0.25) as n, count(score) as c, list_sort(list(score), 'DESC') as l from sc group by 1), cf as (select query, greatest(0, least(1, 0.60 * s0 + 0.25 * least(n / 3.0, 1) + 0.15 * case when c > 1 then greatest(l[1] - l[2], 0) else 0.5 * s0 end)) as confidence from g)"
 
 
@@ -252,7 +252,7 @@ _MADE = "case " + " ".join(f"when contains(a, '{p}') and not contains(e, '{p}')
 
 @add(
     "e3_faithfulness",
-    f"""with x as (select doc_id, {_SAID}[doc_id % {len(TRIGGERS) + 2} + 1] as a, case when doc_id % 4 > 0 then substr(text, 1, 100) || case when doc_id % 4 = 2 then '免单' else '' end end as e from documents)
+    f"""with x as (select doc_id, {_SAID}[doc_id % {len(TRIGGERS) + 2} + 1] as a, case when doc_id % 4 > 0 then text || case when doc_id % 4 = 2 then '免单' else '' end end as e from documents)
     select doc_id, case when e is null then {' or '.join(f"contains(a, '{r}')" for r in REFUSALS)} else {_MADE} is null end as faithful,
     case when e is null then case when {' or '.join(f"contains(a, '{r}')" for r in REFUSALS)} then 'refused without evidence' else 'answered without evidence' end else coalesce({_MADE}, 'supported') end as reason from x""",
 )
@@ -264,7 +264,7 @@ def e3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(
     "e4_sufficiency",
-    f"""with x as (select doc_id, {_TERMS.format('substr(text, 1, 30)')} as w, lower(substr(text, 20, 200)) as e, doc_id % 9 = 0 as oos from documents)
+    f"""with x as (select doc_id, {_TERMS.format('text')} as w, lower(text) as e, doc_id % 9 = 0 as oos from documents)
     select doc_id, not oos and coalesce(list_bool_or(list_transform(list_filter(w, lambda x: length(x) >= 2), lambda x: contains(e, x))), false) as sufficient from x""",
 )
 def e4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import kb as K
 from ..streaming import jobs
 from .context_queries import tokens_sql
 from .kb_queries import _folder
+from .label_queries import strip_sql
 from .tables import Registry, read
 
 QUERIES = Registry()
@@ -25,7 +26,7 @@ def _stream(rows: DataFrame, order: str, parts: int = 3) -> DataFrame:
 
 @add(
     "x1_gap_counters",
-    "select lower(regexp_replace(regexp_replace(substr(text, 1, 30), '^\\s+', ''), '\\s+$', '')) as gap, min(doc_id) as first_id, count(*) as occurrence_count from documents group by 1",
+    f"select lower({strip_sql('text')}) as gap, min(doc_id) as first_id, count(*) as occurrence_count from documents group by 1",
 )
 def x1(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _folder(spark)
