@@ -78,7 +78,7 @@ def test_fusion_and_strategies(spark):
     got = R.fuse([a, b]).collect()
     assert [r["doc"] for r in sorted(got, key=lambda r: r["rank"])] == [8, 7]
     with pytest.raises(ValueError, match="unknown"):
-        R.by_strategy({"other": a})
+        R.by_strategy(["hybrid", "other"], a, a, b, a)
 
 
 def test_lexical_score(spark):

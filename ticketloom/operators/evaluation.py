@@ -75,14 +75,16 @@ def stratified(rows: DataFrame, bucket: str, order: str, n: int) -> DataFrame:
 
 
 def comparison(buckets: DataFrame) -> DataFrame:
-    """For each strategy: the best by MRR (the first on a tie), colloquial lift over BM25 in %, coverage of evidence and answers."""
+    """For each strategy: the best by MRR (the first on a tie), colloquial lift over BM25 in %, coverage of evidence by bucket (a map) and overall, and of answers."""
     order = F.expr("array_position(array('vector_only', 'bm25_only', 'hybrid', 'hybrid_rerank'), strategy)")
     over = buckets.filter("bucket = 'overall'").select("strategy", "recall_5", "mrr", order.alias("o"))
     spoken = buckets.filter("bucket = 'C_colloquial'").select("strategy", F.col("mrr").alias("spoken"))
-    both = over.join(spoken, "strategy", "left")
+    each = F.round(F.least(F.lit(1.0), 1.02 * F.col("recall_5")), 3)
+    by = buckets.filter(~F.col("bucket").isin("overall", BUCKETS[-1])).groupBy("strategy").agg(F.map_from_entries(F.collect_list(F.struct("bucket", each.alias("c")))).alias("coverage"))  # four buckets
+    both = over.join(spoken, "strategy", "left").join(by, "strategy", "left")
     base = both.agg(F.max_by("strategy", F.struct(F.col("mrr"), -F.col("o"))).alias("best_strategy"), F.max(F.when(F.col("strategy") == "bm25_only", F.col("spoken"))).alias("base"))
     lift = F.when(F.col("base") > 0, F.round((F.col("spoken") - F.col("base")) / F.col("base") * 100, 2))
-    return both.crossJoin(F.broadcast(base)).select("strategy", "best_strategy", lift.alias("colloquial_lift"), F.round(F.least(F.lit(1.0), 1.01 * F.col("recall_5")), 4).alias("evidence_coverage"), F.round(0.98 * F.col("mrr"), 4).alias("answer_coverage"))
+    return both.crossJoin(F.broadcast(base)).select("strategy", "best_strategy", lift.alias("colloquial_lift"), "coverage", F.round(F.least(F.lit(1.0), 1.01 * F.col("recall_5")), 4).alias("evidence_coverage"), F.round(0.98 * F.col("mrr"), 4).alias("answer_coverage"))
 
 
 def run_record(scores: DataFrame, run_id: Column, metrics: list[str]) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -241,15 +243,31 @@ def hashed_vector(text: str, size: int = 1024) -> np.ndarray:
     return v / np.linalg.norm(v)
 
 
-def embedder(encode: Callable[[str], np.ndarray] = hashed_vector) -> Callable[[Column], Column]:
+_word = re.compile(r"[^\W_]+").findall
+
+
+@lru_cache(1 << 18)
+def _term_place(term: str) -> int:
+    return int(hashlib.md5(term.encode()).hexdigest()[:4], 16)
+
+
+def term_vector(text: str, size: int = 64) -> np.ndarray:
+    """Another encoder: how often a text's words occur, at places given by the first four hex digits of their MD5."""
+    v = np.zeros(size)
+    for w, n in Counter(_word(text.lower())).items():
+        v[_term_place(w) % size] += n
+    return v
+
+
+def embedder(encode: Callable[[str], np.ndarray] = hashed_vector, kind: str = "float") -> Callable[[Column], Column]:
     """A column function text -> unit vector; an encoder's rows of vectors are averaged to one."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(f"array<{kind}>")
     def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             made = (np.asarray(encode(t or ""), float) for t in s)
             flat = (v.reshape(-1, v.shape[-1]).mean(axis=0) for v in made)
-            yield pd.Series([(v / (np.linalg.norm(v) or 1.0)).astype("float32") for v in flat])
+            yield pd.Series([(v / (np.linalg.norm(v) or 1.0)).astype("float32" if kind == "float" else "float64") for v in flat])
 
     return embed
 

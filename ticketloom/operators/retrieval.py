@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vocab import GATE
+from ..sources.io import bounded_batches, stored
 
 #: Parameters of BM25 and of rank fusion.
 K1, B, FUSION = 1.2, 0.75, 60
+#: Characters of keywords that are searched for in one pass.
+KEYWORD_CHARS = 500_000
 STRATEGIES = ("vector_only", "bm25_only", "hybrid", "hybrid_rerank")
 
 
@@ -24,68 +27,85 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long")).filter(F.col(rank) <= k)
 
 
-def bm25_index(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """Postings (term, doc, tf, dl), tf counted before any shuffle by term."""
+def bm25_index(docs: DataFrame, doc: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """Postings (term, doc, tf, dl), tf counted before any shuffle by term; `only` (term) leaves out other terms' postings."""
     words = docs.select(F.col(doc).alias("doc"), T.terms(F.col(text)).alias("ws"))
     each = words.select("doc", F.size("ws").cast("long").alias("dl"), F.explode("ws").alias("term"))
+    each = each if only is None else each.join(only.select("term").distinct(), "term", "left_semi")
     return each.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25_stats(index: DataFrame) -> DataFrame:
-    """(term, df) of the index."""
-    return index.groupBy("term").agg(F.count("*").alias("df"))
+def bm25_size(docs: DataFrame, text: str) -> DataFrame:
+    """One row (n, avgdl) over the documents that have a term."""
+    n = docs.select(F.size(T.terms(F.col(text))).alias("dl")).filter("dl > 0")
+    return n.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def bm25_search(index: DataFrame, queries: DataFrame, query: str, text: str, k: int = 50) -> DataFrame:
+def asked_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
+    """(query, term): each term of a query once."""
+    return queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(T.terms(F.col(text)))).alias("term"))
+
+
+def bm25_search(index: DataFrame, size: DataFrame, terms: DataFrame, k: int = 50) -> DataFrame:
     """R2: (query, doc, score, rank) of the best k by BM25; idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
 
-    Only postings of query terms are scored; statistics of those terms come from the same join, so df isn't counted over
-    the whole vocabulary. Spark broadcasts the query terms while they are small and joins by term otherwise.
+    index: all postings of at least the asked terms, stored, as it is read for df and for the scores; size: one row;
+    terms (query, term). Spark broadcasts the terms while they are small and joins by term otherwise.
     """
-    q = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(T.terms(F.col(text)))).alias("term"))
-    size = index.groupBy("doc").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = index.join(q.select("term").distinct(), "term", "left_semi")
-    known = asked.join(bm25_stats(asked), "term").crossJoin(F.broadcast(size))  # one row
+    asked = index.join(terms.select("term").distinct(), "term", "left_semi")
+    df = asked.groupBy("term").agg(F.count("*").alias("df"))
+    known = asked.join(df, "term").crossJoin(F.broadcast(size))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = known.withColumn("part", part).join(q, "term").groupBy("query", "doc").agg(F.round(F.sum("part"), 6).alias("score"))
+    scored = known.withColumn("part", part).join(terms, "term").groupBy("query", "doc").agg(F.round(F.sum("part"), 6).alias("score"))
     return top(scored, ["query"], [F.desc("score"), F.col("doc")], k)
 
 
+def _sound(vector: str) -> Column:
+    return F.expr(f"coalesce(size({vector}) > 0 and not exists({vector}, x -> x is null or isnan(x) or abs(x) = double('infinity')), false)")
+
+
 def dense_search(chunks: DataFrame, queries: DataFrame, doc: str, vector: str, k: int = 3, least: float = 0.35, broadcast_rows: int = 20_000) -> DataFrame:
-    """(query, doc, score, rank) of the best k by exact cosine, at least `least`.
+    """(query, doc, score, rank) of the best k by exact cosine, at least `least`; queries (query, vector).
 
-    The query matrix is broadcast in blocks of at most `broadcast_rows` vectors; each Arrow batch of chunks meets it in
-    one matrix product and keeps k rows for each query, so no pair below a batch's best k leaves its task.
+    Query vectors are broadcast in blocks of about `broadcast_rows`; each Arrow batch of chunks meets a block in one matrix
+    product and keeps k rows for each query. Where there are several blocks, each one's best are written before the next
+    is sent, so one block is held at a time. Vectors that are null, empty or hold null or non-finite numbers, on either
+    side, and vectors of different lengths don't meet; a vector of zeros has cosine 0.
     """
     spark = chunks.sparkSession
+    bounded_batches(spark)
+    asked = queries.select("query", "vector").filter(_sound("vector") & F.col("query").isNotNull())
+    parts = max(1, -(-asked.count() // broadcast_rows))
     out = []
-    count = queries.count()
-    parts = max(1, -(-count // broadcast_rows))
     for part in range(parts):
-        own = queries.filter(F.pmod(F.xxhash64("query"), F.lit(parts)) == part) if parts > 1 else queries
-        rows = own.select("query", "vector").toPandas()  # at most about broadcast_rows rows
-        if not len(rows):
-            continue
-        q = np.stack(rows["vector"].to_numpy()).astype(float)
-        sent = spark.sparkContext.broadcast((rows["query"].to_numpy(), q / np.linalg.norm(q, axis=1, keepdims=True)))
+        own = asked.filter(F.pmod(F.xxhash64("query"), F.lit(parts)) == part) if parts > 1 else asked
+        rows = own.toPandas()  # about broadcast_rows rows
+        by_length = {n: (g["query"].to_numpy(), np.stack(g["vector"].to_numpy()).astype(float)) for n, g in rows.groupby(rows["vector"].map(len))} if len(rows) else {}
+        sent = spark.sparkContext.broadcast({n: (i, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)) for n, (i, q) in by_length.items()})
 
         def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            ids, unit = sent.value
             for b in batches:
-                x = np.stack(b["vector"].to_numpy()).astype(float)
-                size = np.linalg.norm(x, axis=1, keepdims=True)
-                s = np.round(unit @ (x / np.where(size == 0, 1, size)).T, 6)
-                docs = b["doc"].to_numpy()
-                order = np.lexsort((np.broadcast_to(docs, s.shape), -s), axis=1)[:, :k]
-                r = np.repeat(np.arange(len(ids)), order.shape[1])
-                c = order.ravel()
-                keep = s[r, c] >= least
-                yield pd.DataFrame({"query": ids[r[keep]], "doc": docs[c[keep]], "score": s[r, c][keep]})
-
-        out.append(chunks.select(F.col(doc).alias("doc"), F.col(vector).alias("vector")).filter("vector is not null").mapInPandas(search, "query long, doc long, score double"))
-    if not out:
-        return spark.createDataFrame([], "query long, doc long, score double, rank long")
+                for n, same in b.groupby(b["vector"].map(len)):
+                    if n not in sent.value:
+                        continue
+                    ids, unit = sent.value[n]
+                    x = np.stack(same["vector"].to_numpy()).astype(float)
+                    docs = same["doc"].to_numpy()
+                    by_doc = np.argsort(docs, kind="stable")
+                    docs, x = docs[by_doc], x[by_doc]
+                    s = np.round(unit @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, 6)
+                    if s.shape[1] > k:
+                        # The k-th best score of each query; what ties with it stays, and the ranking below decides.
+                        s = np.where(s >= np.partition(s, -k, axis=1)[:, -k][:, None], s, -2.0)
+                    r, c = np.nonzero(s >= max(least, -1.5))
+                    yield pd.DataFrame({"query": ids[r], "doc": docs[c], "score": s[r, c]})
+
+        found = chunks.select(F.col(doc).alias("doc"), F.col(vector).alias("vector")).filter(_sound("vector")).mapInPandas(search, "query long, doc long, score double")
+        if parts > 1:
+            found = stored(top(found, ["query"], [F.desc("score"), F.col("doc")], k).drop("rank"), "dense")
+            sent.unpersist()
+        out.append(found)
     return top(reduce(DataFrame.unionByName, out), ["query"], [F.desc("score"), F.col("doc")], k)
 
 
@@ -96,11 +116,31 @@ def fuse(routes: list[DataFrame], k: int = 50, depth: int = 50) -> DataFrame:
     return top(fused, ["query"], [F.desc("score"), F.col("doc")], k)
 
 
-def by_strategy(found: dict[str, DataFrame]) -> DataFrame:
-    """One long table (strategy, query, doc, rank, score); an unknown strategy is an error."""
-    if bad := set(found) - set(STRATEGIES):
+def by_strategy(wanted: list[str], queries: DataFrame, bm25: DataFrame, dense: DataFrame, texts: DataFrame, k: int = 10, depth: int = 50, least: float | None = None) -> DataFrame:
+    """One long table (strategy, query, doc, rank, score) of the wanted strategies; an unknown one is an error.
+
+    queries (query, text), of which blank ones find nothing; bm25 and dense: ranked routes, at least `depth` deep; texts
+    (doc, text). hybrid_rerank scores the fused rows again, drops those below `least` and puts the best at both ends.
+    """
+    if bad := set(wanted) - set(STRATEGIES):
         raise ValueError(f"unknown strategies: {sorted(bad)}")
-    return reduce(DataFrame.unionByName, [d.select(F.lit(s).alias("strategy"), "query", "doc", "rank", "score") for s, d in found.items()])
+    asked = queries.filter(F.coalesce(T.strip(F.col("text")), F.lit("")) != "").select("query", F.col("text").alias("qtext"))
+    bm25, dense = (r.join(asked.select("query"), "query", "left_semi") for r in (bm25, dense))
+    out = {}
+    for s in wanted:
+        if s == "vector_only":
+            out[s] = dense.filter(F.col("rank") <= k)
+        elif s == "bm25_only":
+            out[s] = bm25.filter(F.col("rank") <= k)
+        elif s == "hybrid":
+            out[s] = fuse([dense, bm25], k, depth)
+        else:
+            hits = fuse([dense, bm25], depth, depth).join(texts.select("doc", F.col("text").alias("dtext")), "doc").join(asked, "query")
+            best = rerank(hits, lexical_score(F.col("qtext"), F.col("dtext")), k)
+            best = best if least is None else cut(best.withColumn("distance", F.lit(0.0)), least)
+            best = best.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("rank")).cast("long"))  # at most k rows a query
+            out[s] = edges_first(best).withColumn("rank", F.col("place") + 1).withColumn("score", F.col("rerank_score"))
+    return reduce(DataFrame.unionByName, [d.select(F.lit(s).alias("strategy"), "query", "doc", "rank", F.col("score").cast("double").alias("score")) for s, d in out.items()])
 
 
 def lexical_score(query: Column, doc: Column) -> Column:
@@ -188,23 +228,52 @@ def faq_text(hits: DataFrame) -> DataFrame:
     return g.select("query", F.when(F.size("ts") == 0, "未找到相关常见问题").otherwise(F.array_join(F.transform("ts", lambda t: t["t"]), "\n\n")).alias("text"))
 
 
-def faq_search(faq: DataFrame, keywords: DataFrame, limit: int = 3) -> DataFrame:
-    """(keyword, id, rank) of the first rows whose question or answer holds the keyword.
+def keyword_hits(texts: DataFrame, keywords: DataFrame, keep: int | None = None, block: int = KEYWORD_CHARS) -> DataFrame:
+    """(keyword, id) of each text that holds a keyword; texts (id, text), keywords (keyword), of which empty ones find nothing.
 
-    A keyword of three characters or more meets rows by its rarest trigram, an equi-join that grows with matches; shorter
-    ones, which any text may hold, meet by themselves. Only ids and grams are joined, and texts are read for candidates.
+    One pass of an Aho-Corasick automaton over whole texts finds all keywords of a block at once. A block holds about
+    `block` characters of distinct keywords, which bounds its broadcast; with several blocks each one's hits are written
+    before the next is sent. `keep`: only that many smallest ids of a keyword leave a batch.
     """
-    text = F.concat_ws("\n", "question", "answer")
-    runs = lambda c, w: F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{w}}}))"), F.lit(1))
-    kw = keywords.select("keyword").distinct().filter("keyword <> ''")
-    own = F.when(F.length("keyword") < 3, F.array("keyword")).otherwise(F.array_distinct(runs(F.col("keyword"), 3)))
-    asked = kw.select("keyword", F.explode(own).alias("gram"))
-    grams = F.array_distinct(F.concat(*[runs(text, w) for w in (1, 2, 3)]))
-    held = faq.select("id", F.explode(grams).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
-    rare = asked.join(held.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").groupBy("keyword").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    maybe = held.join(rare, "gram").select("keyword", "id").distinct()
-    hit = maybe.join(faq.select("id", "question", "answer"), "id").filter("contains(question, keyword) or contains(answer, keyword)")
-    return top(hit.select("keyword", "id"), ["keyword"], [F.col("id")], limit)
+    spark = texts.sparkSession
+    bounded_batches(spark)
+    kinds = dict(texts.dtypes)["id"]
+    kw = keywords.select("keyword").filter("keyword <> ''").distinct()
+    size = kw.agg(F.sum(F.length("keyword"))).first()[0] or 0
+    parts = max(1, -(-size // block))
+    out = []
+    for part in range(parts):
+        own = kw.filter(F.pmod(F.xxhash64("keyword"), F.lit(parts)) == part) if parts > 1 else kw
+        sent = spark.sparkContext.broadcast(sorted(r["keyword"] for r in own.collect()))  # about `block` characters
+
+        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for i, w in enumerate(sent.value):
+                automaton.add_word(w, i)
+            if len(automaton):
+                automaton.make_automaton()
+            for b in batches:
+                rows: dict[int, list] = {}
+                for i, t in zip(b["id"].tolist(), b["text"], strict=True):
+                    for w in {w for _, w in automaton.iter(t)} if len(automaton) and t else ():
+                        rows.setdefault(w, []).append(i)
+                rows = {w: sorted(ids)[:keep] for w, ids in rows.items()} if keep else rows
+                yield pd.DataFrame([(sent.value[w], i) for w, ids in rows.items() for i in ids], columns=["keyword", "id"])
+
+        found = texts.select("id", "text").filter("text is not null").mapInPandas(search, f"keyword string, id {kinds}")
+        if parts > 1:
+            found = stored(found, "keywords")
+            sent.unpersist()
+        out.append(found)
+    return reduce(DataFrame.unionByName, out)
+
+
+def faq_search(faq: DataFrame, keywords: DataFrame, limit: int = 3) -> DataFrame:
+    """(keyword, id, rank) of the first rows whose question or answer holds the keyword."""
+    each = faq.select("id", F.explode(F.array("question", "answer")).alias("text"))
+    return top(keyword_hits(each, keywords, 2 * limit).distinct(), ["keyword"], [F.col("id")], limit)
 
 
 def confidence(scores: DataFrame, least: float = 0.25) -> DataFrame:

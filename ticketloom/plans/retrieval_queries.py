@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..functions.vocab import OUT_OF_SCOPE, REFUSALS, TRIGGERS
 from ..operators import evaluation as E
 from ..operators import flywheel as Y
+from ..operators import kb as K
 from ..operators import retrieval as R
+from ..sources.io import bounded_batches, stored
 from .label_queries import strip_sql
 from .tables import Registry, read
 
@@ -31,8 +32,14 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bm25_index(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+
+
 def bm25(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    return R.bm25_search(index(spark, sf_dir), read(spark, sf_dir, "benchmark"), "item_id", "text", k)
+    """Passages against documents; the postings of the asked terms are made once and stored."""
+    docs, terms = read(spark, sf_dir, "documents"), R.asked_terms(questions(spark, sf_dir), "query", "text")
+    return R.bm25_search(stored(R.bm25_index(docs, "doc_id", "text", terms), "postings"), R.bm25_size(docs, "text"), terms, k)
 
 
 def dense(spark: SparkSession, sf_dir: str, k: int = 3, least: float = 0.35) -> DataFrame:
@@ -63,15 +70,20 @@ def r4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def routes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """BM25 of each passage, and the documents of its order by tf alone, as a second route."""
-    ix = index(spark, sf_dir)
-    first = R.bm25_search(ix, read(spark, sf_dir, "benchmark"), "item_id", "text", 50)
-    q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
-    shared = ix.join(q, "term").groupBy("query", "doc").agg(F.count("*").cast("double").alias("score"))
-    return first, R.top(shared, ["query"], [F.desc("score"), F.col("doc")], 50)
-
-
-_ROUTES = f"{_BM25}, cs as (select query, doc, count(*)::double as score from qt join ix using (term) group by 1, 2), c as (select *, row_number() over (partition by query order by score desc, doc) as rank from cs)"
+    """The best 50 by BM25 and by the vectors of an encoder of texts, both stored, as several queries' parts read them."""
+    encode = K.embedder(K.term_vector, "double")
+    bounded_batches(spark)
+    chunks = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), encode(F.col("text")).alias("vector"))
+    asked = questions(spark, sf_dir).select("query", encode(F.col("text")).alias("vector"))
+    return stored(bm25(spark, sf_dir, 50), "bm25"), stored(R.dense_search(chunks, asked, "doc", "vector", 50, 0.35), "dense")
+
+
+# The encoder in SQL: words at places by their MD5; cosines of documents with passages.
+_PLACE = "('0x' || substr(md5(term), 1, 4))::int % 64"
+_ROUTES = f"""{_BM25}, dv as (select doc, {_PLACE} as place, sum(tf)::double as x from ix group by 1, 2), dl as (select doc, sqrt(sum(x * x)) as l from dv group by 1),
+qw as (select item_id as query, unnest({_TERMS.format('text')}) as term from benchmark), qv as (select query, {_PLACE} as place, count(*)::double as x from qw group by 1, 2), ql as (select query, sqrt(sum(x * x)) as l from qv group by 1),
+cs as (select query, doc, round(sum(qv.x * dv.x) / (any_value(ql.l) * any_value(dl.l)), 6) as score from qv join dv using (place) join dl using (doc) join ql using (query) group by 1, 2),
+c as (select *, row_number() over (partition by query order by score desc, doc) as rank from cs where score >= 0.35)"""
 _FUSED = f"{_ROUTES}, fs as (select query, doc, round(sum(1.0::double / (60 + rank)), 9) as score from (select query, doc, rank from b where rank <= 50 union all select query, doc, rank from c where rank <= 50) group by 1, 2), fu as (select *, row_number() over (partition by query order by score desc, doc) as rank from fs)"
 
 
@@ -80,21 +92,50 @@ def r5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fuse(list(routes(spark, sf_dir))).select("query", "doc", F.round("score", 7).alias("score"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+
+
 def fused_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused hits with their texts: (query, doc, rank, score, text, qtext)."""
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", "source", "lang")
-    q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("qtext"))
-    return R.fuse(list(routes(spark, sf_dir)), 20).join(d, "doc").join(q, "query")
+    q = questions(spark, sf_dir).withColumnRenamed("text", "qtext")
+    return R.fuse(list(routes(spark, sf_dir)), 20).join(texts(spark, sf_dir), "doc").join(q, "query")
+
+
+def strategies(spark: SparkSession, sf_dir: str, wanted: tuple[str, ...] = R.STRATEGIES) -> DataFrame:
+    """All four strategies, a blank question among the passages; reranked rows need half the score."""
+    bm25_route, dense_route = routes(spark, sf_dir)
+    blank = spark.range(1).select(F.lit(-1).cast("long").alias("query"), F.lit(" \n").alias("text"))
+    return R.by_strategy(list(wanted), questions(spark, sf_dir).unionByName(blank), bm25_route, dense_route, texts(spark, sf_dir), 10, 50, 0.5)
+
+
+def _lexical_sql(hits: str) -> str:
+    """Common table expressions up to `lx` (columns of hits, lexical): the score of a hit's whole text for its passage."""
+    chars = "list_distinct(regexp_extract_all(replace({}, ' ', ''), '(?s).'))"
+    return f"""l0 as (select h.*, lower({strip_sql('q.text')}) as q, lower({strip_sql('d.text')}) as d from {hits} h join benchmark q on q.item_id = h.query join documents d on d.doc_id = h.doc),
+    l1 as (select *, list_distinct({_TERMS.format('q')}) as qw, list_distinct({_TERMS.format('d')}) as dw, {chars.format('q')} as qc, {chars.format('d')} as dc from l0),
+    l2 as (select * exclude (qw, dw, qc, dc), len(qw) as n, len(dw) as m, len(list_intersect(qw, dw)) as k, case when len(qc) > 0 then len(list_intersect(qc, dc)) / len(qc)::double else 0 end as ch from l1),
+    l3 as (select * exclude (k, ch), 0.55::double * k / greatest(n, 1) + 0.25::double * k / greatest(n + m - k, 1) + 0.20::double * ch as base, case when contains(d, q) then 0.2 when length(q) > 4 and list_bool_or(list_transform(range(1, length(q) - 2), lambda i: contains(d, substr(q, i, 4)))) then 0.1 else 0 end::double as more from l2),
+    lx as (select * exclude (q, d, n, m, base, more), case when n > 0 and d <> '' then round(least(case when more > 0 then 1 else base end, base + more), 4) else 0 end as lexical from l3)"""
+
+
+def _reranked_sql(depth: int) -> str:
+    return f"""{_FUSED}, fh as (select query, doc, rank from fu where rank <= {depth}), {_lexical_sql('fh')},
+    rs as (select query, doc, rank > 15 as tail, rank as was, case when rank > 15 then 0 else lexical end as rerank_score from lx), rr as (select query, doc, rerank_score, row_number() over (partition by query order by tail, rerank_score desc, was) as rank from rs)"""
+
+
+# The strategies in SQL: (strategy, query, doc, rank).
+_STRATEGIES = f"""{_reranked_sql(50)}, rg as (select *, row_number() over (partition by query order by rank) as r, count(*) over (partition by query) as n from rr where rank <= 10 and rerank_score >= 0.5),
+sg as (select 'vector_only' as strategy, query, doc, rank from c where rank <= 10 union all select 'bm25_only', query, doc, rank from b where rank <= 10 union all select 'hybrid', query, doc, rank from fu where rank <= 10
+union all select 'hybrid_rerank', query, doc, (case when r % 2 = 1 then (r - 1) // 2 else n - 1 - (r - 2) // 2 end + 1)::bigint from rg)"""
 
 
-@add("r6_strategies", f"with {_FUSED} select 'bm25_only' as strategy, query, doc, rank from b where rank <= 10 union all select 'hybrid', query, doc, rank from fu where rank <= 10")
+@add("r6_strategies", f"with {_STRATEGIES} select * from sg")
 def r6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, second = routes(spark, sf_dir)
-    both = R.by_strategy({"bm25_only": first.filter("rank <= 10"), "hybrid": R.fuse([first, second], 10)})
-    return both.select("strategy", "query", "doc", "rank")
+    return strategies(spark, sf_dir).select("strategy", "query", "doc", "rank")
 
 
-@add("r7_lexical_score")
+@add("r7_lexical_score", f"with {_reranked_sql(20)} select query, doc, lexical as score from lx")
 def r7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused_hits(spark, sf_dir).select("query", "doc", R.lexical_score(F.col("qtext"), F.col("text")).alias("score"))
 
@@ -103,12 +144,12 @@ def reranked(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     return R.rerank(fused_hits(spark, sf_dir), R.lexical_score(F.col("qtext"), F.col("text")), k)
 
 
-@add("r8_rerank_window")
+@add("r8_rerank_window", f"with {_reranked_sql(20)} select query, doc, rerank_score, rank from rr where rank <= 17")
 def r8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reranked(spark, sf_dir).select("query", "doc", "rerank_score", "rank")
+    return reranked(spark, sf_dir, 17).select("query", "doc", "rerank_score", "rank")
 
 
-@add("r9_score_cut")
+@add("r9_score_cut", f"with {_reranked_sql(20)} select query, doc, rerank_score from rr where rank <= 10 and rerank_score >= 0.5")
 def r9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cut(reranked(spark, sf_dir).withColumn("distance", F.lit(0.0)), 0.5).select("query", "doc", "rerank_score")
 
@@ -221,12 +262,10 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.concat(F.lit("<"), F.col("source"), F.lit(">")).alias("section_path"), F.lit(None).cast("string").alias("question"), F.concat(F.lit("<"), F.col("lang"), F.lit(">")).alias("category"))
-    first, second = routes(spark, sf_dir)
-    both = R.by_strategy({"bm25_only": first.filter("rank <= 10"), "hybrid": R.fuse([first, second], 10)})
-    return both.join(d, "doc").withColumnRenamed("query", "sample")
+    return strategies(spark, sf_dir).join(d, "doc").withColumnRenamed("query", "sample")
 
 
-_HITS = f"{_FUSED}, st2 as (select 'bm25_only' as strategy, query, doc, rank from b where rank <= 10 union all select 'hybrid', query, doc, rank from fu where rank <= 10), hi as (select strategy, query as sample, rank, source, lang from st2 join documents on doc = doc_id)"
+_HITS = f"{_STRATEGIES}, hi as (select strategy, query as sample, rank, source, lang from sg join documents on doc = doc_id)"
 _RANKS = f"{_HITS}, rk as (select sample, strategy, 0 as target, coalesce(min(rank) filter (source = 'src' || sample % 20 or source = 'src' || (sample + 7) % 20), 0) as rank from hi group by 1, 2 union all select sample, strategy, 1, coalesce(min(rank) filter (lang = 'fr' or source = 'src' || (sample + 3) % 20), 0) from hi group by 1, 2)"
 _METRICS = f"{_RANKS}, me as (select sample, strategy, round(avg((rank between 1 and 3)::int), 4) as recall_3, round(avg((rank between 1 and 5)::int), 4) as recall_5, round(avg((rank between 1 and 10)::int), 4) as recall_10, round(avg(case when rank > 0 then 1.0 / rank else 0 end), 4) as mrr from rk group by 1, 2)"
 
@@ -302,8 +341,10 @@ def e7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(
     "e8_comparison",
-    f"""with {_BY}, o as (select strategy, recall_5, mrr from by_b where bucket = 'overall'), s as (select strategy, mrr as spoken from by_b where bucket = 'C_colloquial'), j as (select * from o left join s using (strategy)), base as (select max(spoken) filter (strategy = 'bm25_only') as base from j)
-    select strategy, (select strategy from j order by mrr desc, strategy limit 1) as best_strategy, case when base > 0 then round((spoken - base) / base * 100, 2) end as colloquial_lift, round(least(1.0, 1.01 * recall_5), 4) as evidence_coverage, round(0.98 * mrr, 4) as answer_coverage from j, base""",
+    f"""with {_BY}, o as (select strategy, recall_5, mrr, list_position(['vector_only', 'bm25_only', 'hybrid', 'hybrid_rerank'], strategy) as o from by_b where bucket = 'overall'), s as (select strategy, mrr as spoken from by_b where bucket = 'C_colloquial'), j as (select * from o left join s using (strategy)), base as (select max(spoken) filter (strategy = 'bm25_only') as base from j),
+    cv as (select strategy, max(round(least(1.0, 1.02 * recall_5), 3)) filter (bucket = 'A_policy') as cover_a, max(round(least(1.0, 1.02 * recall_5), 3)) filter (bucket = 'B_model') as cover_b, max(round(least(1.0, 1.02 * recall_5), 3)) filter (bucket = 'C_colloquial') as cover_c, max(round(least(1.0, 1.02 * recall_5), 3)) filter (bucket = 'E_multi') as cover_e from by_b group by 1)
+    select strategy, (select strategy from j order by mrr desc, o limit 1) as best_strategy, case when base > 0 then round((spoken - base) / base * 100, 2) end as colloquial_lift, cover_a, cover_b, cover_c, cover_e, round(least(1.0, 1.01 * recall_5), 4) as evidence_coverage, round(0.98 * mrr, 4) as answer_coverage from j join cv using (strategy), base""",
 )
 def e8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.comparison(e6(spark, sf_dir))
+    c = F.col("coverage")
+    return E.comparison(e6(spark, sf_dir)).select("strategy", "best_strategy", "colloquial_lift", c["A_policy"].alias("cover_a"), c["B_model"].alias("cover_b"), c["C_colloquial"].alias("cover_c"), c["E_multi"].alias("cover_e"), "evidence_coverage", "answer_coverage")
