@@ -6,9 +6,13 @@ own writer makes the archives, in the shared folder. Reading: each archive is pa
 is sorted by URL key and timestamp; runs are dealt by ranges of (key, timestamp, page_id), and a loser tree merges the
 runs of each range, whose order makes the history's.
 
-Cases: null html is an empty payload; a null url has the key ""; equal keys and times go by page_id; a repeated page_id
-with the same payload is a revisit of itself but once; rows with a null page_id are kept, as responses that nothing
-refers to. Other columns are ignored.
+The table has no capture time, so one is made from the id: FIRST_SECOND plus the id modulo SPAN seconds.
+
+Cases: null html is an empty payload; a null url has the key ""; equal keys and times go by page_id; an id that repeats
+with the payload's smallest id is a response each time, as nothing can revisit itself, and one that repeats with another
+payload is a record for each; rows with a null page_id are kept, as responses that nothing refers to; ids are any 64-bit
+integers, and an id of another type is an error that names it; an empty table gives no archive and no row. Other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import batch_rows, bounded_batches, new_path, table
 
-#: Parameters: bytes of an archive on average, smallest payload that is stored once, first capture's time in Unix seconds, ranges.
-ARCHIVE_BYTES, LEAST_BYTES, FIRST_SECOND = 4 << 20, 0, 1_704_067_200
+#: Parameters: bytes of an archive on average, smallest payload that is stored once, first capture's time in Unix seconds, seconds of all captures.
+ARCHIVE_BYTES, LEAST_BYTES, FIRST_SECOND, SPAN = 4 << 20, 0, 1_704_067_200, 1_000_000_000
 _END = "\r\n\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -39,8 +43,10 @@ def base32(hexed: Column) -> Column:
 
 def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_BYTES) -> DataFrame:
     """(page_id, record): a WARC record without its closing blank line, for each row."""
+    if (kind := dict(pages.dtypes)[page_id]) not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{page_id} is {kind}; record ids are integers of at most 64 bits")
     body = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), body.alias("body")).withColumn("size", F.octet_length("body").cast("long")).withColumn("sha", F.sha1(F.col("body").cast("binary")))
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("body")).withColumn("size", F.octet_length("body").cast("long")).withColumn("sha", F.sha1(F.col("body").cast("binary")))
     # A partial minimum before the shuffle: a payload that fills a third of the table sends one row from each task.
     first = rows.filter(f"page_id is not null and size >= {least}").groupBy("sha", "size").agg(F.min("page_id").alias("first_id"))
     # The one shuffle of the bodies. A payload that many pages share makes a large partition, which Spark splits: only its
@@ -49,7 +55,7 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     revisit = (F.col("first_id") != F.col("page_id")) & F.col("page_id").isNotNull()
     rows = rows.withColumn("refers", F.when(revisit, F.col("first_id")))
     kept = F.when(F.col("refers").isNull(), F.col("body")).otherwise("")
-    at = F.lit(FIRST_SECOND) + F.coalesce(F.col("page_id"), F.lit(0))
+    at = F.lit(FIRST_SECOND) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(SPAN))
     head = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.1"),
@@ -132,6 +138,11 @@ class LoserTree:
             self._play(i)
 
 
+def _order(place: tuple) -> tuple:
+    """A record's (url_key, capture_ts, page_id) for comparing; a null id comes first, as in Spark's order."""
+    return *place[:2], place[2] is not None, place[2] or 0
+
+
 _RUN = "run long, url_key string, capture_ts long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _NAMES = [c.split()[0] for c in _RUN.split(", ")]
 
@@ -155,7 +166,7 @@ def read_runs(archives: DataFrame) -> DataFrame:
         for p in parts:
             for path, data in zip(p["path"], p["content"], strict=True):
                 run = int.from_bytes(hashlib.sha256(path.encode()).digest()[:7], "big")
-                got = sorted(rows(gzip.decompress(data), run), key=lambda r: (r[1], r[2], -1 if r[3] is None else r[3]))
+                got = sorted(rows(gzip.decompress(data), run), key=lambda r: _order(r[1:4]))
                 if got:
                     d = pd.DataFrame(got, columns=_NAMES)
                     yield d.astype({"page_id": "Int64", "refers_to": "Int64"})
@@ -171,7 +182,7 @@ def merge_runs(runs: DataFrame, ranges: int) -> DataFrame:
         held: dict[int, list[tuple]] = {}
         for p in parts:
             for r in p.astype(object).where(p.notna(), None).itertuples(index=False, name=None):
-                held.setdefault(r[0], []).append((r[1], r[2], -1 if r[3] is None else r[3], r))
+                held.setdefault(r[0], []).append((*_order(r[1:4]), r))
         out: list[tuple] = []
         for *_, r in LoserTree([held[k] for k in sorted(held)]):
             out.append(r)
