@@ -4,12 +4,14 @@ A document's ids are cut at multiples of the sequence length; the pieces of a gr
 first sequence that has room. The group of a piece is a hash, so groups need no order and are packed apart; their number
 follows the number of rows, so a group stays small. Ids never leave the task that made them: only lengths are shuffled.
 
-Cases: null and empty texts are the closing id alone; a repeated row is packed once per row; equal lengths are placed in
-the order of id, start and crc. Other columns of the input are ignored.
+Cases: null and empty texts are the closing id alone; a null id is packed like any other; a repeated row is packed once
+per row; equal lengths are placed in the order of id, start and crc; an empty table gives no row. Other columns of the
+input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
@@ -25,8 +27,11 @@ from .common import bounded_batches
 
 #: Parameters: ids in a sequence, id that closes a document, rows of a group on average, words whose ids a task keeps.
 SEQUENCE, CLOSING, GROUP_ROWS, CACHED_WORDS = 4096, 2, 4000, 250_000
-#: Texts of these characters only are split into the tokenizer's own words here, so that a word is encoded once for all
-#: its occurrences; any other text, and one that holds an added token, goes to the tokenizer whole.
+#: The settings of a tokenizer that lower-cases and splits as `_words` does. With them, texts of `_plain`
+#: characters only are split into the tokenizer's own words here, so that a word is encoded once for all its occurrences;
+#: any other text, one that holds an added token, and all texts of other tokenizers go to the tokenizer whole.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 _plain = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*").fullmatch
 _words = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+").findall
 
@@ -46,6 +51,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # Words are encoded alone only where no added token (<|endoftext|>, in any case) stands in the text.
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        settings = json.loads(self.tokenizer.to_str())
+        cut = settings.get("pre_tokenizer") or {}
+        self.by_words = settings.get("normalizer") == _NORMALIZER and [s for s in cut.get("pretokenizers", []) if s["type"] != "ByteLevel"] == [_SPLIT]
         self.known: dict[str, bytes] = {}
 
     @staticmethod
@@ -74,7 +82,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        split = [_words(low) if t and _plain(t) and not any(a in (low := t.lower()) for a in self.added) else None for t in texts]
+        split = [_words(low) if self.by_words and t and _plain(t) and not any(a in (low := t.lower()) for a in self.added) else None for t in texts]
         new = {w for s in split if s for w in s}.difference(self.known)
         self._learn(list(new))
         get = self.known.__getitem__
