@@ -380,11 +380,159 @@ def test_media(spark, docs, rows, empty):
     clips = media_avi.clips(files).collect()
     assert all(c["end_ms"] - c["start_ms"] == 40 * c["frames"] for c in clips) and {c["key"] for c in clips} == set(by)
     flat, noise = np.full((10, 576), 40, np.uint8), rng.integers(0, 256, (10, 576), dtype=np.uint8)
-    assert media_avi.shots(np.concatenate([flat, noise])) == [(0, 10), (10, 10)]
+    assert media_avi.shots(media_avi.histograms(np.concatenate([flat, noise]))) == [(0, 10), (10, 10)]
+    calm = rng.integers(97, 111, (40, 576)).astype(np.uint8)
+    calm[12:], calm[30:] = calm[12:] + 64, calm[30:] - 32
+    assert media_avi.shots(media_avi.histograms(calm)) == [(0, 12), (12, 18), (30, 10)]
     with pytest.raises(ValueError, match="AVI"):
         media_avi.decode(b"none")
 
 
+ORDER = [0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28, 35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63]
+COSINE = np.array([[(math.sqrt(1 / 8) if u == 0 else 0.5) * math.cos((2 * x + 1) * u * math.pi / 16) for x in range(8)] for u in range(8)])
+
+
+def plain_jpeg(f):
+    """Another decoder, bit by bit: coefficients and samples of the blocks of a frame of one component."""
+    at, codes, quant = 2, {}, None
+    while f[at + 1] != 0xDA:
+        n = f[at + 2] * 256 + f[at + 3]
+        body = f[at + 4 : at + 2 + n]
+        if f[at + 1] == 0xDB:
+            quant = list(body[1:65])
+        elif f[at + 1] == 0xC4:
+            code, k = 0, 17
+            for bits in range(1, 17):
+                for _ in range(body[bits]):
+                    codes[body[0] >> 4, f"{code:0{bits}b}"] = body[k]
+                    code, k = code + 1, k + 1
+                code *= 2
+        at += 2 + n
+    at += 2 + f[at + 2] * 256 + f[at + 3]
+    bits = "".join(f"{x:08b}" for x in f[at:-2].replace(b"\xff\0", b"\xff"))
+    p, last, out = 0, 0, []
+
+    def symbol(kind):
+        nonlocal p
+        n = 1
+        while (kind, bits[p : p + n]) not in codes:
+            n += 1
+        p += n
+        return codes[kind, bits[p - n : p]]
+
+    def value(n):
+        nonlocal p
+        p += n
+        v = int(bits[p - n : p] or "0", 2)
+        return v if not n or bits[p - n] == "1" else v - 2**n + 1
+
+    while len(out) < 9:
+        last += value(symbol(0))
+        block, k = [last] + [0] * 63, 1
+        while k < 64:
+            s = symbol(1)
+            if not s:
+                break
+            k += s >> 4
+            block[k] = value(s & 15)
+            k += 1
+        out.append(block)
+    whole = np.zeros((9, 64))
+    whole[:, ORDER] = np.array(out) * quant
+    return np.array(out), np.clip(np.rint(COSINE.T @ whole.reshape(9, 8, 8) @ COSINE + 128), 0, 255)
+
+
+def test_frames_by_another_decoder():
+    data = np.random.default_rng(4).integers(0, 256, 576 * 3, dtype=np.uint8).tobytes()
+    media = media_avi.encode(data)
+    _, back, samples = media_avi.decode(media)
+    for k, f in enumerate(media_avi.read_frames(media)[1]):
+        coefficients, blocks = plain_jpeg(f)
+        stored = np.where(coefficients < 0, coefficients + 128, coefficients + 127).astype(np.uint8)
+        assert stored.tobytes() == data[576 * k : 576 * (k + 1)]
+        assert np.abs(blocks.reshape(9, 64) - samples[k].reshape(9, 64).astype(int)).max() <= 1
+        assert np.abs(media_avi.luminance(f).astype(int) - blocks.reshape(3, 3, 8, 8).transpose(0, 2, 1, 3).reshape(24, 24)).max() <= 1
+
+
+def other_jpeg(y, colour, every):
+    """A frame of another coder: any size, quantised, all codes of 8 bits, colour at half the size, restarts."""
+    h, w = y.shape
+    unit = 16 if colour else 8
+    full = np.pad(y, ((0, -h % unit), (0, -w % unit)), mode="edge").astype(float) - 128
+    quant = np.arange(2, 66)
+    symbols = [0] + [r << 4 | n for r in range(16) for n in range(1, 11)] + [0xF0]
+    code = {s: f"{i:08b}" for i, s in enumerate(symbols)}
+    bits = lambda v: "" if not v else f"{v if v > 0 else v + 2 ** abs(v).bit_length() - 1:0{abs(v).bit_length()}b}"
+
+    def block(x, last):
+        q = np.rint((COSINE @ x @ COSINE.T).reshape(64)[ORDER] / quant).astype(int).tolist()
+        d, out, run = q[0] - last, "", 0
+        out += f"{d.bit_length() if d >= 0 else (-d).bit_length():08b}" + bits(d)
+        for v in q[1:]:
+            if not v:
+                run += 1
+                continue
+            while run > 15:
+                out, run = out + code[0xF0], run - 16
+            out, run = out + code[run << 4 | abs(v).bit_length()] + bits(v), 0
+        return out + (code[0] if run else ""), q[0]
+
+    stretches, text, last, n = [], "", [0, 0, 0], 0
+    for r in range(0, full.shape[0], unit):
+        for c in range(0, full.shape[1], unit):
+            if every and n and n % every == 0:
+                stretches, text, last = stretches + [text], "", [0, 0, 0]
+            places = [(r + i, c + j) for i in range(0, unit, 8) for j in range(0, unit, 8)]
+            for i, j in places:
+                more, last[0] = block(full[i : i + 8, j : j + 8], last[0])
+                text += more
+            for k in (1, 2) if colour else ():
+                more, last[k] = block(np.full((8, 8), 10.0 * k), last[k])
+                text += more
+            n += 1
+    pack = lambda t: bytes(int((t + "1" * (-len(t) % 8))[i : i + 8], 2) for i in range(0, len(t), 8)).replace(b"\xff", b"\xff\0")
+    parts = [pack(t) for t in stretches + [text]]
+    data = parts[0] + b"".join(bytes([255, 0xD0 + i % 8]) + p for i, p in enumerate(parts[1:]))
+    seg = lambda m, b: bytes([255, m]) + (len(b) + 2).to_bytes(2, "big") + b
+    comps = [(1, 0x22 if colour else 0x11)] + [(k, 0x11) for k in (2, 3) if colour]
+    head = seg(0xFE, b"a comment") + seg(0xDB, b"\0" + bytes(quant.tolist())) + seg(0xC0, b"\x08" + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([len(comps)]) + b"".join(bytes([c, f, 0]) for c, f in comps))
+    dc = seg(0xC4, bytes([0, 0, 0, 0, 0, 0, 0, 0, 12]) + bytes(8) + bytes(range(12)))
+    ac = seg(0xC4, bytes([0x10, 0, 0, 0, 0, 0, 0, 0, len(symbols)]) + bytes(8) + bytes(symbols))
+    return b"\xff\xd8" + head + dc + ac + (seg(0xDD, every.to_bytes(2, "big")) if every else b"") + seg(0xDA, bytes([len(comps)]) + b"".join(bytes([c, 0]) for c, _ in comps) + b"\0\x3f\0") + data + b"\xff\xd9", full
+
+
+@pytest.mark.parametrize(("size", "colour", "every"), [((20, 30), True, 0), ((17, 23), False, 2), ((40, 40), True, 3), ((8, 8), False, 0)])
+def test_frames_of_another_coder(size, colour, every):
+    y = np.clip(np.add.outer(np.arange(size[0]) * 3, np.arange(size[1]) * 2) + np.random.default_rng(1).normal(0, 20, size), 0, 255)
+    jpeg, _ = other_jpeg(y, colour, every)
+    got = media_avi.luminance(jpeg)
+    assert got.shape == size and np.abs(got.astype(float) - y).mean() < 12
+
+
+def avi_of(frames, index=True):
+    body = b"movi" + b"".join(media_avi._chunk(b"00dc", f) for f in frames)
+    at, rows = 4, b""
+    for f in frames:
+        rows += b"00dc" + (16).to_bytes(4, "little") + at.to_bytes(4, "little") + len(f).to_bytes(4, "little")
+        at += 8 + len(f) + len(f) % 2
+    main = (40_000).to_bytes(4, "little") + bytes(52)
+    return media_avi._chunk(b"RIFF", b"AVI " + media_avi._chunk(b"LIST", b"hdrl" + media_avi._chunk(b"avih", main)) + media_avi._chunk(b"LIST", body) + (media_avi._chunk(b"idx1", rows) if index else b""))
+
+
+def test_clips_of_any_file(spark):
+    dark, light = (other_jpeg(np.full((20, 30), v), True, 0)[0] for v in (40, 200))
+    frames = [dark] * 6 + [b""] + [light] * 5
+    broken = avi_of([dark[:40], dark])
+    progressive = avi_of([dark.replace(b"\xff\xc0", b"\xff\xc2")])
+    rows = [(1, avi_of(frames)), (2, avi_of(frames, False)), (3, b"none"), (4, broken), (5, progressive), (6, None), (7, avi_of([])), (None, avi_of([dark] * 3)), (8, avi_of(frames)[:700])]
+    got = media_avi.clips(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    clips = lambda k: [(r["clip"], r["start_ms"], r["end_ms"], r["frames"]) for r in got if r["key"] == k]
+    assert clips(1) == clips(2) == [(0, 0, 280, 7), (1, 280, 480, 5)] and clips(None) == [(0, 0, 120, 3)]
+    errors = {r["key"]: r["error"] for r in got if r["error"]}
+    assert set(errors) == {3, 4, 5, 7, 8} and "baseline" in errors[5] and not clips(6)
+    assert all(clips(k) == [(None, None, None, None)] for k in errors)
+
+
 def test_jpeg_frames_are_baseline():
     """Every coefficient takes 12 bits, and no code is a beginning of another or all ones."""
     for cats in (range(0, 10), range(1, 9)):
