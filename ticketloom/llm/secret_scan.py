@@ -89,9 +89,11 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
 
 def postings(docs: DataFrame, trigrams: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(trigram: its place in `trigrams`, doc_id) for each trigram that a text holds, in either case."""
-    low = F.lower(F.col(text))
-    held = F.array_compact(F.array(*[F.when(low.contains(t), F.lit(i)) for i, t in enumerate(trigrams)]))
-    return docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.explode(held).alias("trigram"))
+    low = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("low"))
+    # Projections of their own: inside the generator the lower-case text would be made anew for each trigram. An outer
+    # explode, as Spark would filter by the whole array before an inner one, making all of it twice.
+    held = low.select("doc_id", F.array_compact(F.array(*[F.when(F.col("low").contains(t), F.lit(i)) for i, t in enumerate(trigrams)])).alias("held"))
+    return held.select("doc_id", F.explode_outer("held").alias("trigram")).filter("trigram is not null")
 
 
 def candidates(index: DataFrame, trigrams: list[str], rules: list[Rule]) -> DataFrame:
@@ -140,8 +142,8 @@ def _verify(rows: DataFrame) -> DataFrame:
     indexed = [r for r in RULES if trigram_query(r.pattern)]
     trigrams = sorted({t for r in indexed for ways in trigram_query(r.pattern) for s in ways for t in s})
     may = candidates(postings(rows, trigrams), trigrams, indexed)
-    # The candidates' side of each partition is small: hashing it spares a sort of all texts.
-    both = rows.join(may.hint("shuffle_hash"), "doc_id", "left")
+    # Spark broadcasts the candidates while they are few, by their size as counted at run time, and shuffles both sides beyond that.
+    both = rows.join(may, "doc_id", "left")
     none = F.expr("cast(array() as array<struct<start:int,place:int,end:int>>)")
     found = []
     for k, r in enumerate(RULES):
