@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +99,25 @@ def _groups(dictionaries: dict[str, bytes]) -> list[dict[str, bytes]]:
     return [{k: dictionaries[k] for k in names[i : i + SENT]} for i in range(0, len(names), SENT)] or [{}]
 
 
+_TWO = "array<struct<size:bigint,lang:string>>"
+
+
+def _best(seen: list, more: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    return sorted([*((x["size"], x["lang"]) for x in seen), *more])[:2]
+
+
+def _smallest(model: Broadcast) -> Callable[[Column, Column], Column]:
+    """A column function (text, smallest sizes so far) -> smallest sizes with the model's languages."""
+
+    @F.pandas_udf(_TWO)
+    def smallest(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        measure = sizes(model.value)
+        for t, seen in parts:
+            yield pd.Series([[{"size": n, "lang": k} for n, k in _best(s, measure(x))] for x, s in zip(t, seen, strict=True)], dtype=object)
+
+    return smallest
+
+
 def classified(docs: DataFrame, dictionaries: dict[str, bytes], text: str) -> tuple[DataFrame, str]:
     """`docs` with a column (its name is returned) struct<lang_pred, score, margin>.
 
@@ -110,26 +130,16 @@ def classified(docs: DataFrame, dictionaries: dict[str, bytes], text: str) -> tu
     while name in map(str.lower, docs.columns):
         name += "_"
     *groups, last = _groups(dictionaries)
-    two = "array<struct<size:bigint,lang:string>>"
-    best = lambda s, more: sorted([*((x["size"], x["lang"]) for x in s), *more])[:2]
-    out = docs.withColumn(name, F.expr(f"cast(array() as {two})"))
+    out = docs.withColumn(name, F.expr(f"cast(array() as {_TWO})"))
     for group in groups:
-        model = spark.sparkContext.broadcast(group)
-
-        @F.pandas_udf(two)
-        def smallest(parts: Iterator[tuple[pd.Series, pd.Series]], model=model) -> Iterator[pd.Series]:  # noqa: ANN001
-            measure = sizes(model.value)
-            for t, seen in parts:
-                yield pd.Series([[{"size": n, "lang": k} for n, k in best(s, measure(x))] for x, s in zip(t, seen, strict=True)], dtype=object)
-
-        out = table(out.withColumn(name, smallest(F.col(text), F.col(name))), "languages")
+        out = table(out.withColumn(name, _smallest(spark.sparkContext.broadcast(group))(F.col(text), F.col(name))), "languages")
     model = spark.sparkContext.broadcast(last)
 
     @F.pandas_udf("lang_pred string, score double, margin double")
     def said(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         measure = sizes(model.value)
         for t, seen in parts:
-            yield pd.DataFrame([decided(best(s, measure(x))) for x, s in zip(t, seen, strict=True)], columns=["lang_pred", "score", "margin"])
+            yield pd.DataFrame([decided(_best(s, measure(x))) for x, s in zip(t, seen, strict=True)], columns=["lang_pred", "score", "margin"])
 
     return out.withColumn(name, said(F.col(text), F.col(name))), name
 
