@@ -6,8 +6,9 @@ source then gets its weight of the budget as whole passes over its documents and
 permutes blocks of documents by hash, and the documents of a block by hash; the part takes documents until it is full.
 
 Cases: a null source is a source of its own; null and empty texts have no token and go with whole passes, and with the
-part if they come before its end; ties of a hash go by id; a repeated row is placed once per row; an empty table, or one
-without any token, gives no row. Other columns are ignored by `schedule` and kept by `mixed`.
+part if they come before its end; a source without any token, beside others, has no weight and goes with one pass, its
+share 0; ties of a hash go by id; a repeated row is placed once per row; an empty table, or one without any token, gives
+no row. Other columns, whatever their names, are ignored by `schedule` and kept by `mixed`.
 """
 
 from __future__ import annotations
@@ -27,9 +28,18 @@ def tokens(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def source_sizes(rows: DataFrame) -> DataFrame:
+    """(source, docs, tokens) of rows with source and tokens."""
+    return rows.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
+
+
 def source_shares(rows: DataFrame) -> DataFrame:
-    """(source, docs, tokens, p) of rows with source and tokens."""
-    by = rows.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")).filter("tokens > 0")
+    """(source, docs, tokens, total, p) of the sources that have tokens."""
+    return _shares(source_sizes(rows))
+
+
+def _shares(sizes: DataFrame) -> DataFrame:
+    by = sizes.filter("tokens > 0")
     return by.crossJoin(F.broadcast(by.agg(F.sum("tokens").alias("total")))).withColumn("p", F.col("tokens") / F.col("total"))  # one row is broadcast
 
 
@@ -72,30 +82,50 @@ def quotas(shares: DataFrame, a: float, budget: float = BUDGET) -> DataFrame:
     return w.select("source", "docs", "tokens", "weight", "quota", passes.alias("passes"), (F.col("quota") - passes * F.col("tokens")).alias("part"))
 
 
-def _placed(rows: DataFrame, plan: DataFrame, block_rows: int) -> DataFrame:
-    """`rows` (source, id, tokens, more), once for each pass that takes them, with pass, block, position and share."""
+def _placed(rows: DataFrame, counts: DataFrame, plan: DataFrame, block_rows: int) -> DataFrame:
+    """`rows` (source, id, tokens, more), once for each pass that takes them, with pass, block, position and share; counts: their (source, id, tokens)."""
     side = plan.select(F.col("source").alias("src"), "docs", "quota", "passes", "part", F.col("tokens").alias("whole"))
-    # A row for each source: Spark broadcasts it only while it is small. Splitting by block keeps a hot source spread.
-    blocks = F.greatest(F.lit(1), F.floor(F.col("docs") / block_rows)).cast("long")
-    dealt = rows.join(side, rows["source"].eqNullSafe(side["src"])).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), blocks)).drop("src", "docs")
-    by_block = dealt.groupBy("source", "block").agg(F.sum("tokens").alias("held"), F.first("whole").alias("whole"), F.first("passes").alias("passes"), F.first("part").alias("part"))
+
+    def dealt(some: DataFrame) -> DataFrame:
+        # A row for each source: Spark broadcasts it only while it is small. Splitting by block keeps a hot source spread.
+        block = F.pmod(F.xxhash64("id", F.lit(3)), F.greatest(F.lit(1), F.floor(F.col("docs") / block_rows)).cast("long"))
+        return some.join(side, some["source"].eqNullSafe(side["src"])).withColumn("block", block).drop("src", "docs")
+
+    by_block = dealt(counts).groupBy("source", "block").agg(F.sum("tokens").alias("held"), F.first("passes").alias("passes"), F.first("part").alias("part"))
     runs = by_block.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))))
-    order = W.partitionBy("source", "pass").orderBy(F.xxhash64("block", "pass", F.lit(5)), "block").rowsBetween(W.unboundedPreceding, -1)
-    runs = runs.withColumn("before", F.coalesce(F.sum("held").over(order), F.lit(0)))
+    # Blocks are permuted by hash; what stands before one is summed by ranges of the hash, then within a range.
+    runs = runs.withColumn("h", F.xxhash64("block", "pass", F.lit(5))).withColumn("range", F.shiftright("h", 54))
+    ranges = runs.groupBy("source", "pass", "range").agg(F.sum("held").alias("held"))  # at most 1024 rows a source and pass
+    ahead = lambda *by: F.coalesce(F.sum("held").over(W.partitionBy(*by[:-1]).orderBy(*by[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(F.col("source").alias("src"), F.col("pass").alias("p"), F.col("range").alias("r"), ahead("source", "pass", ["range"]).alias("earlier"))
+    runs = runs.join(ranges, runs["source"].eqNullSafe(ranges["src"]) & (runs["pass"] == ranges["p"]) & (runs["range"] == ranges["r"])).drop("src", "p", "r")
+    runs = runs.withColumn("before", F.col("earlier") + ahead("source", "pass", "range", ["h", "block"]))
     runs = runs.filter((F.col("pass") < F.col("passes")) | (F.col("before") < F.col("part")))
     runs = runs.groupBy("source", "block").agg(F.collect_list(F.struct("pass", "before")).alias("runs"))  # as many as passes
     runs = runs.select(F.col("source").alias("src"), F.col("block").alias("blk"), "runs")
-    taken = dealt.join(runs, dealt["source"].eqNullSafe(runs["src"]) & (dealt["block"] == runs["blk"])).drop("src", "blk")
+    own = dealt(rows)
+    taken = own.join(runs, own["source"].eqNullSafe(runs["src"]) & (own["block"] == runs["blk"])).drop("src", "blk")
     taken = taken.withColumn("run", F.explode("runs")).withColumn("pass", F.col("run.pass")).withColumn("before", F.col("run.before")).drop("run", "runs")
     inner = W.partitionBy("source", "block", "pass").orderBy(F.xxhash64("id", "pass", F.lit(9)), "id").rowsBetween(W.unboundedPreceding, -1)
     taken = taken.withColumn("position", F.col("before") + F.coalesce(F.sum("tokens").over(inner), F.lit(0)))
     taken = taken.filter((F.col("pass") < F.col("passes")) | (F.col("position") < F.col("part")))
-    return taken.withColumn("position", F.col("position") + F.col("pass") * F.col("whole")).withColumn("share", F.col("position") / F.col("quota"))
+    share = F.when(F.col("quota") > 0, (F.col("position") + F.col("pass") * F.col("whole")) / F.col("quota")).otherwise(0.0)
+    return taken.withColumn("share", share).withColumn("position", F.col("position") + F.col("pass") * F.col("whole"))
+
+
+def _plan(counts: DataFrame, budget: float, entropy: float, repetition: float) -> DataFrame:
+    sizes = table(source_sizes(counts), "sources")
+    shares = _shares(sizes)
+    own = quotas(shares, exponent(shares, budget, entropy, repetition), budget)
+    # A source without tokens goes with one pass, if there is any other source.
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    silent = sizes.filter("tokens = 0").crossJoin(F.broadcast(shares.limit(1).select(F.lit(True).alias("any"))))  # one row
+    return own.unionByName(silent.select("source", "docs", "tokens", F.lit(0.0).alias("weight"), zero.alias("quota"), one.alias("passes"), zero.alias("part")))
 
 
-def _plan(docs: DataFrame, source: str, text: str, budget: float, entropy: float, repetition: float) -> DataFrame:
-    shares = table(source_shares(docs.select(F.col(source).alias("source"), tokens(text).alias("tokens"))), "shares")
-    return quotas(shares, exponent(shares, budget, entropy, repetition), budget)
+def _counted(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+    """(source, id, tokens) of each row, written: texts are counted once for the plan, its blocks and what they hold."""
+    return table(docs.select(F.col(source).alias("source"), F.col(doc_id).alias("id"), tokens(text).alias("tokens")), "counts")
 
 
 def schedule(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", budget: float = BUDGET, entropy: float = ENTROPY, repetition: float = REPETITION, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -104,13 +134,13 @@ def schedule(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     position: tokens that its source gives before it; share: that by the source's quota, so ordering by share interleaves
     the sources by their weights.
     """
-    plan = _plan(docs, source, text, budget, entropy, repetition)
-    rows = docs.select(F.col(source).alias("source"), F.col(doc_id).alias("id"), tokens(text).alias("tokens"))
-    return _placed(rows, plan, block_rows).select(F.col("id").alias("doc_id"), "source", "pass", "block", "tokens", "position", F.round("share", 6).alias("share"))
+    counts = _counted(docs, doc_id, text, source)
+    placed = _placed(counts, counts, _plan(counts, budget, entropy, repetition), block_rows)
+    return placed.select(F.col("id").alias("doc_id"), "source", "pass", "block", "tokens", "position", F.round("share", 6).alias("share"))
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", budget: float = BUDGET, entropy: float = ENTROPY, repetition: float = REPETITION, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The documents that the schedule takes, as often as it does, with all their columns."""
-    plan = _plan(docs, source, text, budget, entropy, repetition)
+    counts = _counted(docs, doc_id, text, source)
     rows = docs.select(F.col(source).alias("source"), F.col(doc_id).alias("id"), tokens(text).alias("tokens"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    return _placed(rows, plan, block_rows).select("row.*")
+    return _placed(rows, counts, _plan(counts, budget, entropy, repetition), block_rows).select("row.*")
