@@ -20,6 +20,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import table
+
 
 class Rule(NamedTuple):
     kind: str
@@ -141,8 +143,9 @@ def _verify(rows: DataFrame) -> DataFrame:
     """`rows` (doc_id, text, more) with the column `found`: all spans by start, then kind."""
     indexed = [r for r in RULES if trigram_query(r.pattern)]
     trigrams = sorted({t for r in indexed for ways in trigram_query(r.pattern) for s in ways for t in s})
-    may = candidates(postings(rows, trigrams), trigrams, indexed)
-    # Spark broadcasts the candidates while they are few, by their size as counted at run time, and shuffles both sides beyond that.
+    # Candidates are few and narrow. They are written first, so that Spark knows their size before it plans the join: below
+    # its own limit it broadcasts them and no text is shuffled, beyond it both sides are.
+    may = table(candidates(postings(rows, trigrams), trigrams, indexed), "candidates")
     both = rows.join(may, "doc_id", "left")
     none = F.expr("cast(array() as array<struct<start:int,place:int,end:int>>)")
     found = []
