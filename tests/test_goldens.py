@@ -107,7 +107,12 @@ def test_error_accounting(spark):
     e = V.errors(spark.createDataFrame(rows, "id long, true_labels array<string>, pred_labels array<string>"))
     t = V.error_totals(e).first()
     assert (t["wrong"], t["under"], t["over"], t["displaced"], t["penalty"]) == (3, 1, 1, 1, 4)
-    assert e.filter("id = 1").first()["note"] == "物流管货、运费管钱"
+    notes = {r["id"]: r["note"] for r in e.collect()}
+    assert notes == {1: "物流 ↔ 运费: 物流管货、运费管钱", 2: "—", 3: "—"}
+    rows = [(1, ["退换货", "物流"], ["运费", "保修维修"]), (2, ["物流", "价保"], []), (3, ["支付"], ["物流"]), (4, [], ["物流"])]
+    notes = {r["id"]: r["note"] for r in V.errors(spark.createDataFrame(rows, "id long, true_labels array<string>, pred_labels array<string>")).collect()}
+    assert notes[1].split("；") == ["物流 ↔ 运费: 物流管货、运费管钱", "退换货 ↔ 保修维修: 修归保修维修、退归退换货"] and notes[3] == notes[4] == "—"
+    assert notes[2] == "价保: 价保是补差价、优惠活动是券和满减；物流: 物流管货、运费管钱"
 
 
 def test_positive_weights(spark):

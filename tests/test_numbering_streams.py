@@ -115,3 +115,36 @@ def test_triggers_in_any_order(spark, tmp_path, arrival):
         last[r["conversation"]] = r["anchor"]
     want = anchors(rows, 100)
     assert last == {c: a for c, (a, _) in want.items()}
+
+
+def stream_of(spark, tmp_path, parts, schema):
+    seen = tmp_path / "in"
+    seen.mkdir()
+    for k, p in enumerate(parts):
+        spark.createDataFrame(p, schema).coalesce(1).write.parquet(f"{tmp_path}/w{k}")
+        (file,) = (tmp_path / f"w{k}").glob("*.parquet")
+        os.utime(file.rename(seen / f"f{k:03d}.parquet"), (1_700_000_000 + k, 1_700_000_000 + k))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(seen))
+
+
+def test_gap_store_compacts(spark, tmp_path):
+    rng = random.Random(2)
+    parts = [[(10 * k + i, rng.choice(["a", " A", "b", "c "])) for i in range(4)] for k in range(7)]
+    assert jobs.read_gaps(spark, f"{tmp_path}/none").count() == 0
+    jobs.gap_counters(stream_of(spark, tmp_path, parts, "id long, question string"), f"{tmp_path}/s", f"{tmp_path}/c", 3).awaitTermination()
+    rows = [r for p in parts for r in p]
+    want = {k: (min(i for i, q in rows if q.strip().lower() == k), sum(q.strip().lower() == k for _, q in rows)) for k in {q.strip().lower() for _, q in rows}}
+    assert {r["gap"]: (r["first_id"], r["occurrence_count"]) for r in jobs.read_gaps(spark, f"{tmp_path}/s", 3).collect()} == want
+    assert sorted(p.name for p in (tmp_path / "s" / "bases").iterdir()) == ["n=2", "n=5"]
+    # A batch that runs again changes nothing.
+    again = spark.createDataFrame([(q.strip().lower(), q, i, 1) for i, q in parts[5]], jobs.GAPS)
+    jobs.append_changes(f"{tmp_path}/s", 5, again, jobs.GAPS, jobs.merged_gaps, 3)
+    assert {r["gap"]: (r["first_id"], r["occurrence_count"]) for r in jobs.read_gaps(spark, f"{tmp_path}/s", 3).collect()} == want
+
+
+def test_index_store_takes_the_last_version(spark, tmp_path):
+    parts = [[(1, "a", "pending"), (2, "b", "done")], [(1, "a2", "pending"), (3, "c", "pending")], [(2, "b2", "pending"), (2, "b2", "pending")]]
+    jobs.index_pending(stream_of(spark, tmp_path, parts, "id long, answer string, vectorize_status string"), K.embedder(), F.col("answer"), f"{tmp_path}/s", f"{tmp_path}/c", 2).awaitTermination()
+    got = {r["id"]: r for r in jobs.read_index(spark, f"{tmp_path}/s", 2).collect()}
+    assert {i: r["version"] for i, r in got.items()} == {1: 1, 2: 2, 3: 1} and all(r["vectorize_status"] == "done" for r in got.values())
+    assert abs(got[1]["vector"][0] - float(K.hashed_vector("a2")[0])) < 1e-6

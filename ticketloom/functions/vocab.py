@@ -46,8 +46,9 @@ TRIGGERS = [
 TYPOS = {"降介": "降价", "退款到长": "退款到账", "发标": "发票", "快弟": "快递", "尺玛": "尺码", "换货留程": "换货流程", "运费险低扣": "运费险抵扣"}
 SYNONYMS = [("差价", "差额"), ("便宜", "优惠"), ("退款", "退钱"), ("发货", "寄出"), ("快递", "包裹"), ("质量", "品质"), ("怎么", "如何")]
 PARTICLES = [("吗？", "呀？"), ("呢？", "吗？"), ("呀？", "呢？"), ("请问", "麻烦问下"), ("麻烦问下", "请问")]
-# Status codes in words, phrases of an empty result, errors of one.
+# Status codes in words, keys under which 1 is a status, phrases of an empty result, errors of one.
 STATUS = {"SHIPPED": "已发货", "PENDING": "待支付", "PAID": "已支付", "SIGNED": "已签收", "CANCELLED": "已取消", "COMPLETED": "已完成", "FINISHED": "已完成", "UNPAID": "未支付", "DELIVERING": "派送中", "TRANSPORTING": "运输中", "RECEIVED": "已揽收", "ACTIVE": "在保", "WARRANTY_ACTIVE": "在保", "EXPIRED": "已过保", "WARRANTY_EXPIRED": "已过保", "PROCESSING": "处理中", "REFUNDING": "退款处理中", "REFUNDED": "退款已完成", "AGREED": "已同意", "REJECTED": "已拒绝"}
+STATUS_KEYS = ["status", "state", "order_status", "订单状态", "物流状态", "质保状态", "状态", "sign_status", "warranty_status", "ticket_status"]
 MISSED = ["未找到", "未查到", "查无", "不存在", "无相关", "暂无", "没有找到", "不在保修期", "无退货记录", "无记录", "未查询到", "空结果", "not found"]
 MISSED_ERRORS = ["未找到", "不存在", "查无", "无相关", "未查询到"]
 # Limits of a model's context in tokens, and the least evidence for an answer.

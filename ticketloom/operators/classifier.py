@@ -70,17 +70,20 @@ def redlines(c: DataFrame) -> DataFrame:
 
 
 def errors(rows: DataFrame, truth: str = "true_labels", predicted: str = "pred_labels") -> DataFrame:
-    """V5: each wrong row with its missed and extra labels, displaced pairs, what is over, penalty and a boundary note."""
-    missed, extra = F.array_except(truth, predicted), F.array_except(predicted, truth)
-    notes = F.create_map(*[F.lit(x) for (a, b), v in BOUNDARIES.items() for x in (f"{a}|{b}", v)])
-    alone = F.create_map(*[F.lit(x) for k, v in {a: v for (a, _), v in BOUNDARIES.items()}.items() for x in (k, v)])
-    r = rows.withColumn("missed", missed).withColumn("extra", extra).filter("size(missed) > 0 or size(extra) > 0")
+    """V5: each wrong row with its missed and extra labels in order, displaced pairs, what is under and over, penalty and a boundary note.
+
+    The note joins what is known of each pair (missed, extra), or else of each missed label; — where nothing is known.
+    """
+    table = lambda pairs: F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    of_pair = table({f"{a} ↔ {b}": f"{a} ↔ {b}: {note}" for (a, b), note in BOUNDARIES.items()})
+    alone = table({a: f"{a}: {note}" for (a, _), note in BOUNDARIES.items()})
+    r = rows.withColumn("missed", F.array_sort(F.array_except(truth, predicted))).withColumn("extra", F.array_sort(F.array_except(predicted, truth))).filter("size(missed) > 0 or size(extra) > 0")
     a, b = F.size("missed"), F.size("extra")
-    pair = F.concat(F.try_element_at("missed", F.lit(1)), F.lit("|"), F.try_element_at("extra", F.lit(1)))
-    first = F.coalesce(F.try_element_at("missed", F.lit(1)), F.try_element_at("extra", F.lit(1)))
-    d = F.least(a, b).cast("long")
-    r = r.withColumn("displaced", d).withColumn("under", a - F.col("displaced")).withColumn("over", b - F.col("displaced"))
-    return r.withColumn("penalty", F.col("under") + F.col("over") + 2 * F.col("displaced")).withColumn("note", F.coalesce(notes[pair], alone[first], F.lit("")))
+    r = r.withColumn("displaced", F.least(a, b).cast("long")).withColumn("under", a - F.col("displaced")).withColumn("over", b - F.col("displaced"))
+    pairs = F.flatten(F.transform("missed", lambda m: F.transform("extra", lambda e: of_pair[F.concat(m, F.lit(" ↔ "), e)])))
+    joined = lambda notes: F.nullif(F.array_join(F.array_compact(notes), "；"), F.lit(""))
+    note = F.coalesce(joined(pairs), joined(F.transform("missed", lambda m: alone[m])), F.lit("—"))
+    return r.withColumn("penalty", F.col("under") + F.col("over") + 2 * F.col("displaced")).withColumn("note", note)
 
 
 def error_totals(e: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vocab import COLLOQUIAL, CORE_INTENTS, GREETING_STARTS, GREETINGS, INTENT_ROUTES, REWRITE_PREFIXES
+from .retrieval import keyword_hits
 
 _NAMES = {"user": "用户", "assistant": "客服", "tool": "工具"}
 
@@ -39,11 +40,23 @@ def layer(message_id: Column, summary_upto: Column, layer1_from: Column) -> Colu
     return F.when(message_id <= summary_upto, 3).when(message_id <= layer1_from, 2).otherwise(1).cast("long")
 
 
-def layer1_anchor(messages: DataFrame, conversation: str, order: str, tokens: Column, most: Column) -> DataFrame:
-    """(conversation, anchor, kept_tokens): the last message that must leave layer 1 for the rest to fit; null if all fit."""
-    suffix = F.sum("tok").over(W.partitionBy("conversation").orderBy(F.desc("o")).rowsBetween(W.unboundedPreceding, 0))
-    s = messages.select(F.col(conversation).alias("conversation"), F.col(order).alias("o"), tokens.alias("tok"), most.alias("most")).withColumn("suffix", suffix)
-    return s.groupBy("conversation").agg(F.max(F.when(F.col("suffix") > F.col("most"), F.col("o"))).alias("anchor"), F.coalesce(F.max(F.when(F.col("suffix") <= F.col("most"), F.col("suffix"))), F.lit(0)).alias("kept_tokens"))
+def layer1_anchor(messages: DataFrame, conversation: str, order: str, tokens: Column, most: Column, anchors: DataFrame | None = None) -> DataFrame:
+    """(conversation, anchor, kept_tokens): the last message that must leave layer 1 for the rest to fit; null if all fit.
+
+    anchors (conversation, layer1_from): what had left before; messages up to there are out already, and the anchor stays
+    where nothing more must leave.
+    """
+    m = messages.select(F.col(conversation).alias("conversation"), F.col(order).alias("o"), tokens.alias("tok"), most.alias("most"))
+    if anchors is None:
+        m = m.withColumn("was", F.lit(None).cast(dict(m.dtypes)["o"]))
+    else:
+        m = m.join(anchors.select("conversation", F.col("layer1_from").alias("was")), "conversation", "left")
+    here = F.col("was").isNull() | (F.col("o") > F.col("was"))
+    suffix = F.sum(F.when(here, F.col("tok")).otherwise(0)).over(W.partitionBy("conversation").orderBy(F.desc("o")).rowsBetween(W.unboundedPreceding, 0))
+    s = m.withColumn("suffix", suffix).withColumn("here", here)
+    last = F.max(F.when(F.col("here") & (F.col("suffix") > F.col("most")), F.col("o")))
+    kept = F.max(F.when(F.col("here") & (F.col("suffix") <= F.col("most")), F.col("suffix")))
+    return s.groupBy("conversation").agg(F.coalesce(last, F.max("was")).alias("anchor"), F.coalesce(kept, F.lit(0)).alias("kept_tokens"))
 
 
 def layer2_text(role: Column, content: Column, tool: Column | None = None) -> Column:
@@ -120,10 +133,20 @@ def summary_text(summaries: DataFrame) -> DataFrame:
     return g.select("conversation", F.array_join(F.transform("c", lambda x: x["content"]), "\n\n").alias("summary"), "upto")
 
 
-def conversation_list(messages: DataFrame, conversation: str, order: str, role: str, content: str) -> DataFrame:
-    """(conversation, messages, title, last): the first user text's 25 characters as the title."""
-    first = F.min_by(F.when(F.col(role) == "user", F.col(content)), F.when(F.col(role) == "user", F.col(order)))
-    return messages.groupBy(F.col(conversation).alias("conversation")).agg(F.count("*").alias("messages"), F.coalesce(F.nullif(F.substring(first, 1, 25), F.lit("")), F.lit("新会话")).alias("title"), F.max(order).alias("last"))
+def conversation_list(conversations: DataFrame, messages: DataFrame, conversation: str, order: str, role: str, content: str) -> DataFrame:
+    """(user, conversation, status, messages, title, has_summary, updated), each user's newest first: one aggregate, not a query for each row.
+
+    conversations (conversation, user, status, summary, summary_upto, updated); the title is 25 characters of the first
+    user text.
+    """
+    said = F.col(role) == "user"
+    first = F.min_by(F.when(said, F.col(content)), F.when(said, F.col(order)))
+    m = messages.groupBy(F.col(conversation).alias("conversation")).agg(F.count("*").alias("messages"), first.alias("first"))
+    both = conversations.join(m, "conversation", "left")
+    title = F.coalesce(F.nullif(F.substring(T.strip(F.col("first")), 1, 25), F.lit("")), F.lit("新会话"))
+    summed = (F.coalesce(T.strip(F.col("summary")), F.lit("")) != "") | (F.coalesce("summary_upto", F.lit(0)) > 0)
+    rows = both.select("user", "conversation", F.coalesce("status", F.lit("进行中")).alias("status"), F.coalesce("messages", F.lit(0)).alias("messages"), title.alias("title"), summed.alias("has_summary"), "updated")
+    return rows.orderBy("user", F.desc("updated"), F.desc("conversation"))
 
 
 def timeline(messages: DataFrame, tool_calls: str = "tool_calls") -> DataFrame:
@@ -205,13 +228,25 @@ def order_of(state: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def product_lookup(products: DataFrame, asked: DataFrame) -> DataFrame:
-    """(asked, id): the first product whose name holds the text or lies in it.
+    """(asked, id): the first product (id, name) whose id is the text, or whose name holds it or lies in it.
 
-    The asked texts are few and made distinct; Spark broadcasts the smaller side of this containment join.
+    Names are searched for asked texts and asked texts for names, each in one pass for a block of them; ids are joined.
     """
-    a = asked.select("asked").distinct().filter("asked <> ''")
-    hit = products.join(a, F.col("name").contains(F.col("asked")) | F.col("asked").contains(F.col("name")))
-    return hit.groupBy("asked").agg(F.min("id").alias("id"))
+    a = asked.select("asked").filter("asked <> ''").distinct()
+    within = keyword_hits(products.select("id", F.col("name").alias("text")), a.select(F.col("asked").alias("keyword")), 1).select(F.col("keyword").alias("asked"), "id")
+    names = products.filter("name <> ''").groupBy("name").agg(F.min("id").alias("first"))
+    around = keyword_hits(a.select(F.col("asked").alias("id"), F.col("asked").alias("text")), names.select(F.col("name").alias("keyword")))
+    around = around.join(names, F.col("keyword") == F.col("name")).select(F.col("id").alias("asked"), F.col("first").alias("id"))
+    exact = products.select("id", F.lower(F.col("id").cast("string")).alias("k")).join(a.withColumn("k", F.lower("asked")), "k").select("asked", "id")
+    return within.unionByName(around).unionByName(exact).groupBy("asked").agg(F.min("id").alias("id"))
+
+
+def order_lookup(orders: DataFrame, asked: DataFrame, key: str = "order_id") -> DataFrame:
+    """(asked, the order's columns, error): each asked number, blanks aside, with its order; an error where it is blank, nulls where there is none."""
+    a = asked.select("asked").withColumn("k", F.coalesce(T.strip(F.col("asked")), F.lit("")))
+    o = orders.withColumn("k", F.col(key).cast("string"))
+    found = a.filter("k <> ''").join(o, "k", "left").drop("k").withColumn("error", F.lit(None).cast("string"))
+    return found.unionByName(a.filter("k = ''").drop("k").withColumn("error", F.lit("订单号不能为空")), allowMissingColumns=True)
 
 
 #: Phrases that decide what a reply says about a refund, in the order in which they count.
@@ -244,6 +279,11 @@ SENTENCE_YES = [
     r"在(?:7天|七天)内",
 ]
 PHRASES_NO = ["不支持退", "不支持申请退", "无法退", "无法办理退", "无法申请退", "不能退", "不可退", "不予退", "不符合退", "拒绝退", "超出退货", "超出退换", "超过退货", "超过退换", "超出售后", "超过售后", "不满足退", "不满足7天", "超过7天", "无法支持", "不支持该"]
+# Words that take a sentence out of the count: a double negation, or an exception with its negation.
+NOT_OF, REFUSED = "不属于", ["不支持", "不可", "无法"]
+EXCEPTIONS, DENIED = ["特殊品类", "除外", "免责", "例如定制", "定制商品"], ["不属于", "并非"]
+SENTENCE_NEGATED = "(?:不|无法|不能|不可|不予)支持(?:7天|七天|退)"
+SENTENCE_BREAK = "[。！!\n；;]+"
 PHRASES_YES = ["支持退", "可以退", "符合退", "允许退", "申请退款", "办理退款", "可退", "支持7天", "支持七天"]
 
 
@@ -251,10 +291,10 @@ def refund_supported(reply: Column) -> Column:
     """Whether a reply supports a refund: leading refusal, guidance to the button, leading approval, sentences, phrases."""
     text = T.strip(reply)
     rlike = lambda c, ps: reduce(lambda a, b: a | b, [c.rlike(p) for p in ps])
-    exempt = lambda s: (s.contains("不属于") & T.contains_any(s, ["不支持", "不可", "无法"])) | (T.contains_any(s, ["特殊品类", "除外", "免责", "例如定制", "定制商品"]) & T.contains_any(s, ["不属于", "并非"]))
-    parts = F.filter(F.split(text, "[。！!\n；;]+"), lambda s: (T.strip(s) != "") & ~exempt(s))
+    exempt = lambda s: (s.contains(NOT_OF) & T.contains_any(s, REFUSED)) | (T.contains_any(s, EXCEPTIONS) & T.contains_any(s, DENIED))
+    parts = F.filter(F.split(text, SENTENCE_BREAK), lambda s: (T.strip(s) != "") & ~exempt(s))
     no = F.exists(parts, lambda s: rlike(s, SENTENCE_NO))
-    yes = F.exists(parts, lambda s: rlike(s, SENTENCE_YES) & ~s.rlike("(?:不|无法|不能|不可|不予)支持(?:7天|七天|退)"))
+    yes = F.exists(parts, lambda s: rlike(s, SENTENCE_YES) & ~s.rlike(SENTENCE_NEGATED))
     verdict = F.when(rlike(text, REJECT_FIRST), False).when(text.rlike(GUIDE), True).when(rlike(text, APPROVE_FIRST), True)
     verdict = verdict.when(no & ~yes, False).when(yes & ~no, True).when(T.contains_any(text, PHRASES_NO), False).otherwise(T.contains_any(text, PHRASES_YES))
     return F.coalesce(F.when(text == "", False).otherwise(verdict), F.lit(False))

@@ -10,12 +10,18 @@ from ..functions import text as T
 from ..functions.vocab import OTHER, PARTICLES, SYNONYMS, TAXONOMY, TYPOS
 
 
+# How phones, order numbers and names behind a cue are written.
+PHONE = r"(?:(?:\+|00)86)?(?<!\d)1[3-9]\d{9}(?!\d)"
+ORDER_NUMBER = r"(?<!\d)\d{14,24}(?!\d)"
+NAME = r"(我叫|我是|姓名[：:\s]*|用户[：:\s]*)([\u4e00-\u9fa5]{2,4})"
+
+
 def cleaned(c: Column) -> Column:
     """Phones, order numbers and names masked, misspellings mended, white space to single blanks."""
     c = F.coalesce(c, F.lit(""))
-    c = F.regexp_replace(c, r"(?:(?:\+|00)86)?(?<!\d)1[3-9]\d{9}(?!\d)", "[手机号]")
-    c = F.regexp_replace(c, r"(?<!\d)\d{14,24}(?!\d)", "[订单号]")
-    c = F.regexp_replace(c, r"(我叫|我是|姓名[：:\s]*|用户[：:\s]*)([一-龥]{2,4})", "$1[姓名]")
+    c = F.regexp_replace(c, PHONE, "[手机号]")
+    c = F.regexp_replace(c, ORDER_NUMBER, "[订单号]")
+    c = F.regexp_replace(c, NAME, "$1[姓名]")
     for wrong, right in TYPOS.items():
         c = F.replace(c, F.lit(wrong), F.lit(right))
     return T.strip(F.regexp_replace(c, f"{T.SPACE}+", " "))
@@ -81,5 +87,9 @@ def positive_weights(rows: DataFrame, labels: str, classes: list[str] = TAXONOMY
 
 
 def inventory(rows: DataFrame, text: str, split: str = "split") -> DataFrame:
-    """(split, rows, labels a row, characters)."""
-    return rows.groupBy(split).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars"))
+    """(split, n, chars, bytes, leaked, passed): of each split its rows, characters and bytes of text, texts that it shares with other splits, and whether no split shares any."""
+    own = rows.groupBy(split).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars"), F.sum(F.octet_length(text)).alias("bytes"))
+    leak = leakage(rows, text, split)
+    shared = {"train": F.col("train_val") + F.col("train_test"), "val": F.col("train_val") + F.col("val_test"), "test": F.col("train_test") + F.col("val_test")}
+    each = leak.select(F.explode(F.array(*[F.struct(F.lit(k).alias(split), v.alias("leaked")) for k, v in shared.items()])).alias("s"), "passed").select("s.*", "passed")  # three rows
+    return own.join(F.broadcast(each), split)

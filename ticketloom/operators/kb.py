@@ -6,8 +6,9 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate, groupby
 
 import numpy as np
 import pandas as pd
@@ -18,16 +19,18 @@ from ..functions import text as T
 from ..functions.vocab import CLOSING, KEY_CLAUSES, SENTENCE_ENDS
 from ..sources.io import bounded_batches
 from .mining import numbered
+from .retrieval import bm25_index
 
 #: Parameters: characters of a chunk and of the overlap, the category of text without heading, how far a cut is moved.
 CHUNK, OVERLAP, NO_CATEGORY, ALIGN = 500, 80, "未分类", 40
 CHUNK_SCHEMA = "category string, questions string, answer string, section_path string, content_type string, is_key_clause boolean, order_index int"
 
 _end = re.compile(f"(?:[{re.escape(SENTENCE_ENDS)}]|(?<![0-9])\\.|\\.(?![0-9]))[{re.escape(CLOSING)}]*")
-_heading = re.compile(r"\s{0,3}(#{1,6})\s+(.+?)\s*#*").fullmatch
-_question = re.compile(r"\s*(?:问|Q|q)[：:]\s*(.+)").fullmatch
-_answer = re.compile(r"\s*(?:答|A|a)[：:]\s*(.+)").fullmatch
-_rule_cell = re.compile(r":?-+:?").fullmatch
+# How a heading, a question, its answer and a cell of the rule below a table's header are written.
+_heading = re.compile(r"^\s{0,3}(#{1,6})\s+(.+?)\s*#*$").match
+_question = re.compile(r"^\s*(?:问|Q|q)[：:]\s*(.+)$").match
+_answer = re.compile(r"^\s*(?:答|A|a)[：:]\s*(.+)$").match
+_rule_cell = re.compile(r"^:?-+:?$").match
 
 
 def boundaries(text: str) -> list[int]:
@@ -64,53 +67,48 @@ def chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
     return [c for c in out if c]
 
 
+def _by_number(numbers: Iterable[int], lines: list) -> Iterator[tuple[int, list]]:
+    """Neighbouring lines of one number."""
+    for number, run in groupby(zip(numbers, lines, strict=True), key=lambda x: x[0]):
+        yield number, [line for _, line in run]
+
+
 def table_chunks(header: str, rule: str, rows: list[str], size: int = CHUNK) -> list[str]:
-    """K4: rows packed greedily, header and rule repeated in each chunk."""
+    """K4: rows packed greedily, header and rule repeated in each chunk; a row that alone is too long has a chunk of its own."""
     head = f"{header}\n{rule}"
-    held: list[list[str]] = [[]]
-    length = len(head)
-    for r in rows:
-        if held[-1] and length + len(r) + 1 > size and len(head) + sum(len(x) + 1 for x in rows) > size:
-            held.append([])
-            length = len(head)
-        held[-1].append(r)
-        length += len(r) + 1
-    return ["\n".join([head, *h]) for h in held]
+
+    def place(last: tuple[int, int], row: str) -> tuple[int, int]:
+        chunk, used = last
+        more = len(row) + 1
+        return (chunk + 1, len(head) + more) if used > len(head) and used + more > size else (chunk, used + more)
+
+    places = list(accumulate(rows, place, initial=(0, len(head))))[1:]
+    return ["\n".join([head, *run]) for _, run in _by_number((c for c, _ in places), rows)] or [head]
 
 
 def faq_pairs(lines: list[str]) -> tuple[list[str], list[tuple[str, str]]]:
-    """K5: (lines before the first question, question-answer pairs)."""
-    intro: list[str] = []
-    pairs: list[tuple[str, list[str]]] = []
-    for line in lines:
-        if q := _question(line):
-            pairs.append((q[1].strip(), []))
-        elif pairs:
-            a = _answer(line)
-            pairs[-1][1].append(a[1].strip() if a else line)
-        else:
-            intro.append(line)
-    return intro, [(q, "\n".join(a).strip()) for q, a in pairs]
+    """K5: (lines before the first question, question-answer pairs): each question begins a group of lines."""
+    asked = [_question(line) for line in lines]
+    groups = dict(_by_number(accumulate(bool(q) for q in asked), list(zip(asked, lines, strict=True))))
+    intro = [line for _, line in groups.pop(0, [])]
+    said = lambda line: a[1].strip() if (a := _answer(line)) else line
+    return intro, [(own[0][0][1].strip(), "\n".join(said(line) for _, line in own[1:]).strip()) for own in groups.values()]
 
 
 def _sections(text: str) -> Iterator[tuple[list[str], list[str]]]:
-    """(titles from the outermost, lines) of each stretch under a heading; headings in fences are text."""
-    stack: list[tuple[int, str]] = []
-    held: list[str] = []
-    fenced = False
-    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
-        if line.strip().startswith(("```", "~~~")):
-            fenced = not fenced
-        elif not fenced and (h := _heading(line)):
-            if any(map(str.strip, held)):
-                yield [t for _, t in stack], held
-                held = []
-            stack = [s for s in stack if s[0] < len(h[1])] if stack else []
-            stack.append((len(h[1]), h[2].strip()))
-            continue
-        held.append(line)
-    if any(map(str.strip, held)):
-        yield [t for _, t in stack], held
+    """(titles from the outermost, lines) of each stretch under a heading that holds text; headings in fences are text."""
+    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    fences = accumulate((line.strip().startswith(("```", "~~~")) for line in lines), initial=0)
+    heads = [None if n % 2 else _heading(line) for n, line in zip(fences, lines)]  # noqa: B905
+    titles: dict[int, str] = {}  # by level
+    for _, own in _by_number(accumulate(bool(h) for h in heads), list(zip(heads, lines, strict=True))):
+        head = own[0][0]
+        if head:
+            level = len(head[1])
+            titles = {k: t for k, t in titles.items() if k < level} | {level: head[2].strip()}
+        body = [line for h, line in own if not h]
+        if any(map(str.strip, body)):
+            yield list(titles.values()), body
 
 
 def _is_rule(line: str) -> bool:
@@ -119,22 +117,16 @@ def _is_rule(line: str) -> bool:
 
 
 def _blocks(lines: list[str], size: int) -> Iterator[list[str]]:
-    """Tables and the text between them, cut into chunks."""
+    """Tables and the text between them, cut into chunks. A table is the rest of a run of lines with bars from the one above a rule."""
     text: list[str] = []
-    rest = iter(range(len(lines)))
-    skip = 0
-    for i in rest:
-        if i < skip:
-            continue
-        if "|" in lines[i] and i + 1 < len(lines) and _is_rule(lines[i + 1]):
+    for barred, run in groupby(lines, key=lambda line: "|" in line):
+        own = list(run)
+        at = next((i for i in range(len(own) - 1) if _is_rule(own[i + 1])), None) if barred else None
+        text += own[:at]
+        if at is not None:
             yield chunks("\n".join(text), size)
             text = []
-            skip = i + 2
-            while skip < len(lines) and "|" in lines[skip]:
-                skip += 1
-            yield table_chunks(lines[i].strip(), lines[i + 1].strip(), [x.strip() for x in lines[i + 2 : skip]], size)
-        else:
-            text.append(lines[i])
+            yield table_chunks(*(x.strip() for x in own[at : at + 2]), [x.strip() for x in own[at + 2 :]], size)
     yield chunks("\n".join(text), size)
 
 
@@ -283,6 +275,12 @@ def reindex(store: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
     return store.select("id", text.alias("chunk_text"), embed(text).alias("vector"))
 
 
+def rebuilt(store: DataFrame, embed: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """(all chunks with index text and vector, the postings of their index texts): what a full reindex writes."""
+    rows = reindex(store, embed)
+    return rows, bm25_index(rows, "id", "chunk_text")
+
+
 def stats(store: DataFrame, index: DataFrame) -> DataFrame:
     """One row: chunks by status, rows of the index, and whether both agree."""
     n = lambda s: F.count_if(F.col("vectorize_status") == s).cast("long").alias(s)
@@ -304,9 +302,10 @@ def with_category(rows: DataFrame, category: str | None) -> DataFrame:
     return rows.withColumn("category", F.when(own | F.lit(not category), F.col("category")).otherwise(F.lit(category)))
 
 
-def direct_entry(rows: DataFrame, synced: bool) -> DataFrame:
-    """Entered chunks: done and linked if they went to the index at once, else pending, without links and vector."""
+def direct_entry(rows: DataFrame, doc: str, order: str, synced: bool, first_id: int = 1) -> DataFrame:
+    """Entered chunks with ids from first_id: done and linked if they went to the index at once, else pending, without links and vector."""
     if synced:
-        return rows.withColumn("vectorize_status", F.lit("done")).withColumn("vector_id", F.col("id").cast("string"))
+        return linked(rows, doc, order, first_id).withColumn("vectorize_status", F.lit("done")).withColumn("vector_id", F.col("id").cast("string"))
     none = F.lit(None).cast("long")
-    return rows.withColumn("vectorize_status", F.lit("pending")).withColumn("vector_id", F.lit(None).cast("string")).withColumn("prev_chunk_id", none).withColumn("next_chunk_id", none)
+    entered = numbered(rows, [doc, order], "_at").withColumn("id", F.col("_at") + first_id).drop("_at")
+    return entered.withColumn("vectorize_status", F.lit("pending")).withColumn("vector_id", F.lit(None).cast("string")).withColumn("prev_chunk_id", none).withColumn("next_chunk_id", none)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vocab import MISSED, MISSED_ERRORS, STATUS
+from ..functions.vocab import MISSED, MISSED_ERRORS, STATUS, STATUS_KEYS
 
 #: Parameters: USD for a million prompt and completion tokens.
 PROMPT_PRICE, COMPLETION_PRICE = 2.5, 10.0
@@ -50,14 +53,36 @@ def translated(code: Column, status_key: bool = False) -> Column:
     return F.coalesce(known, one, code)
 
 
-def translated_json(raw: Column, status_keys: tuple[str, ...] = ("status", "order_status", "state")) -> Column:
-    """A JSON object of plain values with its values translated; text that is no object stays.
+def translated_json(raw: Column) -> Column:
+    """JSON objects and lists with the codes in their text values in words, however deep; under a status key 1 and "1" are 已发货.
 
-    The object is a map of text to text; numbers that aren't translated are written as text.
+    Numbers stay numbers and names stay as written; a text that is neither object nor list stays as it is.
     """
-    m = F.from_json(raw, "map<string,string>")
-    said = F.transform_values(m, lambda k, v: F.when(F.lower(k).isin(*status_keys), translated(v, True)).otherwise(translated(v)))
-    return F.when(m.isNull() | ~T.strip(raw).startswith("{"), raw).otherwise(F.to_json(said))
+
+    def said(value: Any, key: str = "") -> Any:
+        if isinstance(value, list):
+            return [said(x, key) for x in value]
+        text = value.strip() if isinstance(value, str) else value
+        if isinstance(value, str) and text.upper() in STATUS:
+            return STATUS[text.upper()]
+        return "已发货" if key.lower() in STATUS_KEYS and (text == "1" or (isinstance(value, int) and value == 1)) else value
+
+    def load(text: str) -> Any:  # objects are translated as they close, so an inner one is done before its outer one
+        return json.loads(text, object_pairs_hook=lambda pairs: {k: said(v, k) for k, v in pairs})
+
+    def one(text: str | None) -> str | None:
+        if text is None or text.strip()[:1] + text.strip()[-1:] not in ("{}", "[]"):
+            return text
+        try:
+            return json.dumps(said(load(text.strip())), ensure_ascii=False)
+        except ValueError:
+            return text
+
+    @F.pandas_udf("string")
+    def translate(s: pd.Series) -> pd.Series:
+        return s.map(one, na_action=None)
+
+    return translate(raw)
 
 
 def missed(raw: Column) -> Column:

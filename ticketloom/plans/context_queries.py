@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vocab import BUDGET, COLLOQUIAL, GREETING_STARTS, GREETINGS, INTENT_ROUTES
+from ..functions.vocab import BUDGET, COLLOQUIAL, GREETING_STARTS, GREETINGS, INTENT_ROUTES, REWRITE_PREFIXES
 from ..operators import context as C
 from .label_queries import strip_sql
 from .tables import Registry, read
@@ -74,6 +74,19 @@ def c5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.layer1_anchor(messages(spark, sf_dir), "conv_id", "turn", T.estimated_tokens(F.col("text")), F.lit(200))
 
 
+@add(
+    "c5_moved_anchor",
+    f"""with t as (select conv_id, turn, {tokens_sql('text')} as tok, case when conv_id % 3 > 0 then conv_id % 3 end as was from conversations), s as (select *, sum(tok) over (partition by conv_id order by turn desc) as suffix from t where was is null or turn > was),
+    a as (select conv_id, max(turn) filter (suffix > 200) as last, max(suffix) filter (suffix <= 200) as kept from s group by 1) select conv_id as conversation, coalesce(any_value(a.last), max(was))::bigint as anchor, coalesce(any_value(a.kept), 0)::bigint as kept_tokens from t left join a using (conv_id) group by 1""",
+)
+def c5m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three conversations have an anchor already."""
+    m = messages(spark, sf_dir)
+    was = m.filter("conv_id % 3 > 0").select(F.col("conv_id").alias("conversation"), (F.col("conv_id") % 3).cast("long").alias("layer1_from")).distinct()
+    got = C.layer1_anchor(m, "conv_id", "turn", T.estimated_tokens(F.col("text")), F.lit(200), was)
+    return got.withColumn("anchor", F.col("anchor").cast("long"))
+
+
 @add("c6_layer2_text", "select conv_id, turn, case when role = 'assistant' and length(text) > 60 then substr(text, 1, 60) || '...' else text end as shown from conversations")
 def c6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).select("conv_id", "turn", C.layer2_text(F.col("role"), F.col("text")).alias("shown"))
@@ -134,20 +147,28 @@ def c11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = messages(spark, sf_dir).filter("role = 'assistant'").select(F.col("conv_id").alias("conversation"), F.col("turn").alias("from_id"), F.col("turn").alias("upto_id"), F.substring("text", 1, 20).alias("content"))
+    a = messages(spark, sf_dir).filter("role = 'assistant'").select(F.col("conv_id").alias("conversation"), F.col("turn").alias("from_id"), F.col("turn").alias("upto_id"), F.col("text").alias("content"))
     none = a.filter("false").withColumn("seq", F.lit(0).cast("long"))
     first = C.append_summaries(none, a.filter("from_id < 3"))
     return C.append_summaries(first, a.filter("from_id >= 3"))
 
 
-@add("c12_summaries", "select conv_id as conversation, string_agg(substr(text, 1, 20), chr(10) || chr(10) order by turn) as summary, max(turn) as upto from conversations where role = 'assistant' group by 1")
+@add("c12_summaries", "select conv_id as conversation, string_agg(text, chr(10) || chr(10) order by turn) as summary, max(turn) as upto from conversations where role = 'assistant' group by 1")
 def c12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.summary_text(summaries(spark, sf_dir))
 
 
-@add("c13_conversation_list", "select conv_id as conversation, count(*) as messages, coalesce(nullif(substr(arg_min(text, turn) filter (role = 'user'), 1, 25), ''), '新会话') as title, max(turn) as last from conversations group by 1")
+@add(
+    "c13_conversation_list",
+    f"""with m as (select conv_id, count(*) as messages, max(turn) as updated, arg_min(text, turn) filter (role = 'user') as first from conversations group by 1)
+    select conv_id % 7 as "user", conv_id as conversation, case conv_id % 4 when 0 then '已结束' when 1 then '已转人工' else '进行中' end as status, messages, coalesce(nullif(substr({strip_sql('first')}, 1, 25), ''), '新会话') as title, conv_id % 3 = 0 or conv_id % 5 = 0 as has_summary, updated from m""",
+)
 def c13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.conversation_list(messages(spark, sf_dir), "conv_id", "turn", "role", "text")
+    m, i = messages(spark, sf_dir), F.col("conversation")
+    status = F.when(i % 4 == 0, "已结束").when(i % 4 == 1, "已转人工").when(i % 4 == 2, "进行中")
+    rows = m.groupBy(F.col("conv_id").alias("conversation")).agg(F.max("turn").alias("updated"))
+    rows = rows.select("conversation", (i % 7).alias("user"), status.alias("status"), F.when(i % 3 == 0, "s").when(i % 3 == 1, " ").alias("summary"), F.when(i % 5 == 0, 4).when(i % 5 == 1, 0).alias("summary_upto"), "updated")
+    return C.conversation_list(rows, m, "conv_id", "turn", "role", "text")
 
 
 @add("c14_timeline", "select conv_id, turn, case when role = 'assistant' then 'query_faq' end as tool from conversations")
@@ -188,10 +209,19 @@ def c16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked(spark, sf_dir).select("conv_id", "turn", C.is_greeting(F.col("q")).alias("greeting"), C.needs_rewrite(F.col("q")).alias("rewrite"))
 
 
-@add("c17_clean_rewrite", f"select conv_id, turn, {strip_sql('text')} as clean from conversations")
+# A model's wording: a prefix, quotes of either kind, a fence around quotes, or a prefix before quotes, which then stay.
+@add(
+    "c17_clean_rewrite",
+    f"""with x as (select conv_id, turn, {strip_sql('text')} as t, (conv_id + turn) % 5 as n from conversations where not regexp_matches({strip_sql('text')}, '^["''“‘]|["''”’]$'))
+    select conv_id, turn, case when n = 4 then '“' || t || '”' else t end as clean from x""",
+)
 def c17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("改写后："), T.strip(F.col("text")))).otherwise(F.concat(F.lit('"'), F.col("text"), F.lit('"')))
-    return messages(spark, sf_dir).select("conv_id", "turn", C.clean_rewrite(said).alias("clean"))
+    t, n, turn = T.strip(F.col("text")), (F.col("conv_id") + F.col("turn")) % 5, F.col("turn")
+    prefix = F.element_at(F.array(*map(F.lit, REWRITE_PREFIXES)), (turn % len(REWRITE_PREFIXES) + 1).cast("int"))
+    wrap = lambda a, b: F.concat(F.lit(a), t, F.lit(b))
+    said = F.when(n == 0, F.concat(prefix, F.lit(" "), t)).when(n == 1, wrap(' "', '" ')).when(n == 2, wrap("“", "”")).when(n == 3, wrap('```\n"', '"\n```')).otherwise(F.concat(prefix, wrap("“", "”")))
+    rows = messages(spark, sf_dir).filter(~t.rlike("^[\"'“‘]|[\"'”’]$"))
+    return rows.select("conv_id", "turn", C.clean_rewrite(said).alias("clean"))
 
 
 _INTENT = "case event_type when 'click' then '物流' when 'view' then '售后' when 'error' then '坏' else '闲聊' end"
@@ -233,20 +263,56 @@ def c20o(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.order_of(state, m)
 
 
-@add("c21_product_lookup", "with a as (select distinct p_type as asked from part), p as (select p_partkey as id, p_name || ' ' || p_type as name from part) select asked, min(id) as id from a join p on contains(name, asked) or contains(asked, name) group by 1")
+@add(
+    "c21_product_lookup",
+    """with a as (select distinct asked from (select p_type as asked from part union all select p_partkey::varchar from part where p_partkey % 3 = 0 union all select 'see ' || p_name || ' ' || p_type || ' please' from part where p_partkey % 5 = 0)), p as (select p_partkey as id, p_name || ' ' || p_type as name from part)
+    select asked, min(id) as id from a join p on contains(name, asked) or contains(asked, name) or lower(asked) = id::varchar group by 1""",
+)
 def c21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "part")
-    return C.product_lookup(p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("name")), p.select(F.col("p_type").alias("asked")))
+    p, k = read(spark, sf_dir, "part"), F.col("p_partkey")
+    name = F.concat_ws(" ", "p_name", "p_type")
+    asked = F.array_compact(F.array(F.col("p_type"), F.when(k % 3 == 0, k.cast("string")), F.when(k % 5 == 0, F.concat(F.lit("see "), name, F.lit(" please")))))
+    return C.product_lookup(p.select(k.alias("id"), name.alias("name")), p.select(F.explode(asked).alias("asked")))
 
 
-_VERDICT = ["经核实，该订单不支持退款。", "您好，可点击下方“申请退款”按钮提交。", "**支持退款**", "本商品不属于不支持退货的品类。可以退货。"]
+@add(
+    "c21_order_lookup",
+    "select case o_orderkey % 3 when 0 then ' ' || o_orderkey || ' ' when 1 then 'x' || o_orderkey else ' ' end as asked, case when o_orderkey % 3 = 0 then o_orderkey end as order_id, case when o_orderkey % 3 = 0 then o_orderstatus end as status, case when o_orderkey % 3 = 2 then '订单号不能为空' end as error from orders",
+)
+def c21o(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    asked = F.when(k % 3 == 0, F.concat(F.lit(" "), k, F.lit(" "))).when(k % 3 == 1, F.concat(F.lit("x"), k)).otherwise(" ")
+    return C.order_lookup(o.select(k.alias("order_id"), F.col("o_orderstatus").alias("status")), o.select(asked.alias("asked")))
+
+
+_VERDICTS = ["经核实，该订单不支持退款。", "您好，可点击下方“申请退款”按钮提交。", "**支持退款**。", "本商品不属于不支持退货的品类。可以退货。", "您好。", "超过7天。", "该商品已超出退换时效；", "您的商品在7天内！", "我们允许退换。", "不能退换。但可以退款。", "订单1002无法退货，但支持退款。", "可退。", "定制商品除外，并非无法退货。", "不支持七天。", "商品不予退换，抱歉。", ""]
+
+
+def _any(c: str, patterns: list[str]) -> str:
+    return "(" + " or ".join(f"regexp_matches({c}, '{p}')" for p in patterns) + ")"
+
 
+def _holds(c: str, words: list[str]) -> str:
+    return "(" + " or ".join(f"contains({c}, '{w}')" for w in words) + ")"
 
-@add("c22_refund_verdict", "select conv_id, turn, turn % 5 in (1, 2, 3) as supported from conversations where role = 'assistant'")
+
+_EXEMPT = f"((contains(x, '{C.NOT_OF}') and {_holds('x', C.REFUSED)}) or ({_holds('x', C.EXCEPTIONS)} and {_holds('x', C.DENIED)}))"
+
+
+@add(
+    "c22_refund_verdict",
+    f"""with r as (select conv_id, turn, {strip_sql(f"[{_quoted(_VERDICTS)}][(conv_id * 7 + turn) % {len(_VERDICTS)} + 1] || case when turn % 3 = 0 then text else '' end || case when turn % 2 = 0 then [{_quoted(_VERDICTS)}][(conv_id + turn * 5) % {len(_VERDICTS)} + 1] else '' end")} as t from conversations where role = 'assistant'),
+    s as (select *, list_filter(string_split_regex(t, '{C.SENTENCE_BREAK}'), lambda x: {strip_sql('x')} <> '' and not {_EXEMPT}) as parts from r),
+    v as (select *, coalesce(list_bool_or(list_transform(parts, lambda x: {_any('x', C.SENTENCE_NO)})), false) as no, coalesce(list_bool_or(list_transform(parts, lambda x: {_any('x', C.SENTENCE_YES)} and not {_any('x', [C.SENTENCE_NEGATED])})), false) as yes from s)
+    select conv_id, turn, case when t = '' or {_any('t', C.REJECT_FIRST)} then false when {_any('t', [C.GUIDE.replace("'", "''")])} or {_any('t', C.APPROVE_FIRST)} then true when no <> yes then yes when {_holds('t', C.PHRASES_NO)} then false else {_holds('t', C.PHRASES_YES)} end as supported from v""",
+)
 def c22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.element_at(F.array(*map(F.lit, [*_VERDICT, "您好。"])), (F.col("turn") % 5 + 1).cast("int"))
+    """One reply of the list, every third with the message behind it, every second with another reply at its end."""
+    said = lambda i: F.element_at(F.array(*map(F.lit, _VERDICTS)), (i % len(_VERDICTS) + 1).cast("int"))
+    c, turn = F.col("conv_id"), F.col("turn")
+    reply = F.concat(said(c * 7 + turn), F.when(turn % 3 == 0, F.col("text")).otherwise(""), F.when(turn % 2 == 0, said(c + turn * 5)).otherwise(""))
     m = messages(spark, sf_dir).filter("role = 'assistant'")
-    return m.select("conv_id", "turn", C.refund_supported(said).alias("supported"))
+    return m.select("conv_id", "turn", C.refund_supported(reply).alias("supported"))
 
 
 @add(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vocab import BOUNDARIES
 from ..operators import classifier as V
 from ..operators import dataprep as D
 from ..operators import flywheel as Y
@@ -49,13 +50,13 @@ def split_of(id: str) -> Column:
     return F.when(F.col(id) % 10 < 8, "train").when(F.col(id) % 10 == 8, "val").otherwise("test")
 
 
-@add(
-    "d4_leakage_gate",
-    f"""with t as (select {strip_sql('text')} as t, case when doc_id % 10 < 8 then 'train' when doc_id % 10 = 8 then 'val' else 'test' end as s from documents),
+_LEAK = f"""with t as (select {strip_sql('text')} as t, case when doc_id % 10 < 8 then 'train' when doc_id % 10 = 8 then 'val' else 'test' end as s from documents),
     g as (select t, max(s = 'train') as a, max(s = 'val') as b, max(s = 'test') as c from t where t <> '' group by t)
     select count_if(a)::bigint as train, count_if(b)::bigint as val, count_if(c)::bigint as test, count_if(a and b)::bigint as train_val, count_if(a and c)::bigint as train_test, count_if(b and c)::bigint as val_test,
-    count_if((a and b) or (a and c) or (b and c)) = 0 as passed from g""",
-)
+    count_if((a and b) or (a and c) or (b and c)) = 0 as passed from g"""
+
+
+@add("d4_leakage_gate", _LEAK)
 def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.leakage(read(spark, sf_dir, "documents").withColumn("split", split_of("doc_id")), "text")
 
@@ -76,7 +77,12 @@ def d6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.positive_weights(labelled(spark, sf_dir), "labels").withColumn("weight", F.round("weight", 6))
 
 
-@add("d7_dataset_inventory", "select case when doc_id % 10 < 8 then 'train' when doc_id % 10 = 8 then 'val' else 'test' end as split, count(*) as n, sum(length(text))::bigint as chars from documents group by 1")
+@add(
+    "d7_dataset_inventory",
+    f"""with x as (select text, {strip_sql('text')} as t, case when doc_id % 10 < 8 then 'train' when doc_id % 10 = 8 then 'val' else 'test' end as split from documents),
+    g as (select t, split, count(*) over (partition by t) as k from (select distinct t, split from x where t <> '')), o as (select split, sum((select count(*) from g h where h.t = g.t and h.split <> g.split))::bigint as leaked from g where k > 1 group by 1)
+    select split, count(*) as n, sum(length(text))::bigint as chars, sum(octet_length(encode(text)))::bigint as bytes, coalesce(any_value(leaked), 0) as leaked, (select count(*) from o) = 0 as passed from x left join o using (split) group by 1""",
+)
 def d7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.inventory(read(spark, sf_dir, "documents").withColumn("split", split_of("doc_id")), "text")
 
@@ -100,13 +106,13 @@ def v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.averages(V.confusion(scored(spark, sf_dir), 0.35, ["class", "ord"]), F.col("ord"))
 
 
-@add(
-    "v3_threshold_sweep",
-    f"""with {SCORED_SQL}, lines as (select (x * 5)::double / 100 as t from range(6, 15) r(x)),
+_SWEEP = """with lines as (select (x * 5)::double / 100 as t from range(6, 15) r(x)),
     c as (select t, class, count_if(score >= t and truth) as tp, count_if(score >= t and not truth) as fp, count_if(score < t and truth) as fn from scored, lines group by 1, 2),
     m as (select t as threshold, round(avg(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end), 4) as macro_f1, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 4) as micro_f1 from c group by 1)
-    select *, row_number() over (order by micro_f1 desc, threshold) = 1 as best from m""",
-)
+    select *, row_number() over (order by micro_f1 desc, threshold) = 1 as best from m"""
+
+
+@add("v3_threshold_sweep", f"with {SCORED_SQL}, v3 as ({_SWEEP}) select * from v3")
 def v3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.threshold_sweep(scored(spark, sf_dir))
 
@@ -128,16 +134,19 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ERR = """pred as (select id, coalesce(list(class order by ord) filter (truth), []) as t, coalesce(list(class order by ord) filter (score >= 0.35), []) as p from scored group by id),
-e as (select id, len(list_filter(t, lambda x: not list_contains(p, x))) as m, len(list_filter(p, lambda x: not list_contains(t, x))) as x from pred)"""
+es as (select id, list_sort(list_filter(t, lambda x: not list_contains(p, x))) as ms, list_sort(list_filter(p, lambda x: not list_contains(t, x))) as xs from pred), e as (select id, len(ms) as m, len(xs) as x from es)"""
+_KNOWN = ", ".join(f"('{a}', '{b}', '{note}')" for (a, b), note in BOUNDARIES.items())
+_NOTES = f"""kn(a, b, note) as (values {_KNOWN}), pn as (select id, string_agg(a || ' ↔ ' || b || ': ' || note, '；' order by a, b) as note from (select id, unnest(ms) as a, xs from es) join kn using (a) where list_contains(xs, b) group by 1),
+an as (select id, string_agg(a || ': ' || note, '；' order by a) as note from (select id, unnest(ms) as a from es) join (select distinct a, note from kn) using (a) group by 1)"""
 
 
 @add(
     "v5_error_accounting",
-    f"with {SCORED_SQL}, {_ERR} select id, least(m, x)::bigint as displaced, (m - least(m, x))::bigint as under, (x - least(m, x))::bigint as over, (m + x)::bigint as penalty from e where m + x > 0",
+    f"with {SCORED_SQL}, {_ERR}, {_NOTES} select id, least(m, x)::bigint as displaced, (m - least(m, x))::bigint as under, (x - least(m, x))::bigint as over, (m + x)::bigint as penalty, coalesce(pn.note, an.note, '—') as note from e left join pn using (id) left join an using (id) where m + x > 0",
 )
 def v5(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = lambda n: F.col(n).cast("long").alias(n)
-    return V.errors(predictions(spark, sf_dir)).select("id", c("displaced"), c("under"), c("over"), c("penalty"))
+    return V.errors(predictions(spark, sf_dir)).select("id", c("displaced"), c("under"), c("over"), c("penalty"), "note")
 
 
 @add(
@@ -198,7 +207,16 @@ def o4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v9(spark, sf_dir).filter("recommended").select(F.col("threshold").alias("recommended"), drifted(F.col("threshold"), F.lit(0.4)).alias("drifted"))
 
 
-@add("v10_acceptance_gates")
+_SAY = "case when ok is null then 'missing' when ok then 'pass' else 'fail' end as status"
+
+
+@add(
+    "v10_acceptance_gates",
+    f"""with {SCORED_SQL}, {_ERR}, {_CONF.format(t=0.35)}, {_RATES}, {_TIERS}, d4 as ({_LEAK}), v3 as ({_SWEEP}),
+    g as (select 'leakage' as gate, bool_and(passed) as ok from d4 union all select 'redlines', bool_and(line is null or round(f1, 4) >= line) from rates join tiers using (class)
+    union all select 'accounting', (select sum(m + x) from e) = (select sum(fp + fn) from conf) union all select 'threshold', bool_and(abs(threshold - 0.35) <= 1e-4) from v3 where best union all select 'classified', count(*) > 0 from labelled)
+    select gate, {_SAY} from g""",
+)
 def v10(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = V.confusion(scored(spark, sf_dir), 0.35)
     return V.acceptance(d4(spark, sf_dir), V.redlines(c), V.balanced(V.errors(predictions(spark, sf_dir)), c), V.threshold_sweep(scored(spark, sf_dir)), 0.35, labelled(spark, sf_dir))
@@ -224,10 +242,13 @@ def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("id", F.array_join(Y.labels_of(F.col("m"), 0.35), ",").alias("labels"))
 
 
-@add("f12_insert_new", f"with {LABELLED_SQL}, o as (select id from labelled where id % 2 = 0), n as (select id from labelled where id % 3 = 0) select (select count(*) from o) + count(*) as n from n where id not in (select id from o)")
+@add("f12_insert_new", f"with {LABELLED_SQL} select id as question_id, case when quality = 1 then array_to_string(labels, ',') else '其他' end as labels from labelled where quality = 1 or toxic = 0 or id % 3 = 0")
 def f12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = labelled(spark, sf_dir).select(F.col("id").alias("question_id"), "labels")
-    return Y.insert_new(rows.filter("question_id % 2 = 0"), rows.filter("question_id % 3 = 0")).agg(F.count("*").alias("n"))
+    """Good questions are classified already; a run classifies those that aren't toxic anew, and every third one twice."""
+    rows = labelled(spark, sf_dir).select(F.col("id").alias("question_id"), "labels", "quality", "toxic")
+    new = rows.filter("toxic = 0").unionByName(rows.filter("question_id % 3 = 0")).select("question_id", F.array(F.lit("其他")).alias("labels"))
+    got = Y.insert_new(rows.filter("quality = 1").select("question_id", "labels"), new)
+    return got.select("question_id", F.array_join("labels", ",").alias("labels"))
 
 
 @add(

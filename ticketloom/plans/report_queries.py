@@ -62,11 +62,19 @@ def o5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", O.translated(code, True).alias("said"))
 
 
-@add("o5_status_json", """select o_orderkey, '{"id":"' || o_orderkey || '","status":"' || case when o_orderkey % 2 = 0 then '已发货' else '处理中' end || '"}' as said from orders""")
+@add(
+    "o5_status_json",
+    f"""with o as (select o_orderkey as k, o_orderkey % 22 as n, o_custkey as c, o_orderstatus as s from orders)
+    select k as o_orderkey, case n % 3 when 0 then '{{"id": ' || k || ', "order": {{"Status": ' || case when n < 11 then '"已发货"' else '2' end || ', "count": 1, "log": [{{"state": ["已发货", "' || s || '"]}}, "' || {_WORDS_SQL}[least(n, 19) + 1] || '"]}}}}'
+     when 1 then '["' || {_WORDS_SQL}[least(n, 19) + 1] || '", 1, ' || c || '.5, null, true]' else ' {{broken ' || k end as said from o""",
+)
 def o5j(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit('{"id":'), F.col("o_orderkey") , F.lit(',"status":'), F.when(F.col("o_orderkey") % 2 == 0, "1").otherwise('"processing"'), F.lit("}"))
-    safe = F.when(F.col("o_orderkey") >= 0, raw)
-    return read(spark, sf_dir, "orders").select("o_orderkey", O.translated_json(safe).alias("said"))
+    k, n = F.col("o_orderkey"), F.col("o_orderkey") % 22
+    code = F.lower(F.element_at(F.array(*map(F.lit, _CODES)), (F.least(n, F.lit(19)) + 1).cast("int")))
+    deep = F.concat(F.lit('{"id":'), k, F.lit(',"order":{"Status":'), F.when(n < 11, F.when(n % 2 == 0, "1").otherwise('" 1"')).otherwise("2"), F.lit(',"count":1,"log":[{"state":[1,"'), F.col("o_orderstatus"), F.lit('"]}, " '), code, F.lit(' "]}}'))
+    flat = F.concat(F.lit('["'), code, F.lit('",1,'), F.col("o_custkey"), F.lit(".5,null,true]"))
+    raw = F.when(n % 3 == 0, deep).when(n % 3 == 1, flat).otherwise(F.concat(F.lit(" {broken "), k))
+    return read(spark, sf_dir, "orders").select("o_orderkey", O.translated_json(raw).alias("said"))
 
 
 @add("o6_missed_results", f"""select event_id, event_id % 5 in (0, 1, 2) or (event_id % 5 = 4 and ({' or '.join(f"contains(props, '{m}')" for m in MISSED)})) as missed from events""")

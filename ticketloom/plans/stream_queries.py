@@ -32,7 +32,7 @@ def x1(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _folder(spark)
     pool = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("question"))
     jobs.gap_counters(_stream(pool, "id"), store, _folder(spark)).awaitTermination()
-    return jobs.read_store(spark, store, "gap string, question string, first_id long, occurrence_count long").drop("question")
+    return jobs.read_gaps(spark, store).drop("question")
 
 
 @add(
@@ -61,4 +61,4 @@ def x3(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _folder(spark)
     chunks = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"), F.when(F.col("doc_id") % 5 == 0, "pending").otherwise("done").alias("vectorize_status"))
     jobs.index_pending(_stream(chunks, "id"), K.embedder(), F.col("answer"), store, _folder(spark)).awaitTermination()
-    return jobs.read_store(spark, store, "id long, vector_id string, vectorize_status string, vector array<float>, version long").select("id", "vector_id", "vectorize_status")
+    return jobs.read_index(spark, store).select("id", "vector_id", "vectorize_status")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vocab import TAXONOMY
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,7 +28,7 @@ class Registry(dict):
 
 
 #: Classes of the label tables' rows, made from ids: every third row has a second class; scores fall with the distance.
-CLASSES = ["退换货", "物流", "尺码", "发票", "质量问题", "运费", "优惠活动", "价保", "支付", "订单修改", "库存补货", "商品信息", "保修维修", "账号", "会员积分", "评价", "其他"]
+CLASSES = TAXONOMY
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

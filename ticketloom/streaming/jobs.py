@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,45 +13,69 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.flywheel import gap_key
 from ..operators.kb import embed_pending
-from ..sources.io import upserted
 
 
-def _current(spark: SparkSession, store: str, schema: str) -> tuple[DataFrame, int]:
-    """(the store's newest version, its number): versions are folders v=0, 1, ...; an empty frame before the first."""
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import AnalysisException
+#: Micro-batches whose changes are merged into one base.
+COMPACT = 16
+GAPS = "gap string, question string, first_id long, occurrence_count long"
+INDEX = "id long, vector_id string, vectorize_status string, vector array<float>, version long"
+Merge = Callable[[DataFrame], DataFrame]
 
+
+def _state(spark: SparkSession, store: str, last: int, schema: str, merge: Merge, compact: int) -> DataFrame:
+    """The store after batch `last`: the newest base and the changes behind it, merged."""
+    base = (last + 1) // compact * compact - 1
+    paths = [f"{store}/bases/n={base}"] * (base >= 0) + [f"{store}/changes/n={k}" for k in range(base + 1, last + 1)]
+    return merge(spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema))
+
+
+def append_changes(store: str, number: int, changes: DataFrame, schema: str, merge: Merge, compact: int = COMPACT) -> None:
+    """Write a micro-batch's merged changes under its number; each `compact`-th batch also merges base and changes into the next base.
+
+    A batch costs what it holds, not what the store holds. One that runs again after a failure overwrites its own folders
+    and reads only those of batches before it, so nothing counts twice.
+    """
+    spark = changes.sparkSession
+    merge(changes).write.mode("overwrite").parquet(f"{store}/changes/n={number}")
+    if (number + 1) % compact == 0:
+        base = number - compact
+        paths = [f"{store}/bases/n={base}"] * (base >= 0) + [f"{store}/changes/n={k}" for k in range(base + 1, number + 1)]
+        merge(spark.read.schema(schema).parquet(*paths)).write.mode("overwrite").parquet(f"{store}/bases/n={number}")
+
+
+def read_store(spark: SparkSession, store: str, schema: str, merge: Merge, compact: int = COMPACT) -> DataFrame:
+    """A store as it stands; empty before its first batch."""
     try:
-        rows = spark.read.schema(f"{schema}, v long").parquet(store)
-        last = rows.agg(F.max("v")).first()[0]
-    except (AnalysisException, Py4JJavaError):
+        last = spark.read.schema(f"{schema}, n long").parquet(f"{store}/changes").agg(F.max("n")).first()[0]
+    except AnalysisException:  # nothing was written yet
         last = None
-    if last is None:
-        return spark.createDataFrame([], schema), -1
-    return rows.filter(F.col("v") == last).drop("v"), last
+    # A batch may hold no rows and so no number of its own; the batches behind it do, and before it nothing is missing.
+    return _state(spark, store, -1 if last is None else last, schema, merge, compact)
 
 
-def gap_counters(pool: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """A stream of questions (id, question) into gaps (gap, question, occurrence_count, batch) by key.
+def merged_gaps(rows: DataFrame) -> DataFrame:
+    """Counts of each gap's key, with the question of its first id."""
+    return rows.groupBy("gap").agg(F.min_by("question", "first_id").alias("question"), F.min("first_id").alias("first_id"), F.sum("occurrence_count").alias("occurrence_count"))
+
+
+def merged_index(rows: DataFrame) -> DataFrame:
+    """The row of the highest version of each id."""
+    row = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.groupBy("id").agg(F.max_by(row, "version").alias("r")).select("r.*")
 
-    Each micro-batch writes the store's next version, under its own number: a batch that is run again after a failure
-    overwrites its own version and reads the one before it, so nothing is counted twice.
-    """
-    schema = "gap string, question string, first_id long, occurrence_count long"
+
+def gap_counters(pool: DataFrame, store: str, checkpoint: str, compact: int = COMPACT) -> StreamingQuery:
+    """A stream of questions (id, question) into gaps (gap, question, first_id, occurrence_count) by key; read by `read_gaps`."""
 
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.schema(schema).parquet(f"{store}/v={number - 1}") if number else spark.createDataFrame([], schema)
-        new = batch.groupBy(gap_key(F.col("question")).alias("gap")).agg(F.min_by("question", "id").alias("question"), F.min("id").alias("first_id"), F.count("*").alias("occurrence_count"))
-        both = old.unionByName(new).groupBy("gap").agg(F.min_by("question", "first_id").alias("question"), F.min("first_id").alias("first_id"), F.sum("occurrence_count").alias("occurrence_count"))
-        both.write.mode("overwrite").parquet(f"{store}/v={number}")
+        new = batch.select(gap_key(F.col("question")).alias("gap"), "question", F.col("id").alias("first_id"), F.lit(1).cast("long").alias("occurrence_count"))
+        append_changes(store, number, new, GAPS, merged_gaps, compact)
 
     return pool.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_store(spark: SparkSession, store: str, schema: str) -> DataFrame:
-    """The newest version of a store."""
-    return _current(spark, store, schema)[0]
+def read_gaps(spark: SparkSession, store: str, compact: int = COMPACT) -> DataFrame:
+    return read_store(spark, store, GAPS, merged_gaps, compact)
 
 
 def summary_triggers(messages: DataFrame, most: int, idle_ms: int | None = 1_800_000) -> DataFrame:
@@ -84,14 +109,15 @@ def summary_triggers(messages: DataFrame, most: int, idle_ms: int | None = 1_800
     return messages.groupBy("conversation").applyInPandasWithState(fold, "conversation long, anchor long, kept_tokens long", "anchor long, ids array<long>, tokens array<long>", "update", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def index_pending(chunks: DataFrame, embed: Callable[[Column], Column], text: Column, store: str, checkpoint: str) -> StreamingQuery:
-    """A stream of chunks; the pending ones are embedded and upserted by id, a version of the store for each batch."""
+def index_pending(chunks: DataFrame, embed: Callable[[Column], Column], text: Column, store: str, checkpoint: str, compact: int = COMPACT) -> StreamingQuery:
+    """A stream of chunks; the pending ones are embedded and upserted by id, a later batch's row in place of an earlier one's; read by `read_index`."""
 
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = embed_pending(batch, embed, text).select("id", "vector_id", "vectorize_status", "vector").withColumn("version", F.lit(number).cast("long"))
-        new = new.dropDuplicates(["id"])
-        old = spark.read.schema(new.schema).parquet(f"{store}/v={number - 1}") if number else new.limit(0)
-        upserted(old, new, "id", "version").write.mode("overwrite").parquet(f"{store}/v={number}")
+        new = embed_pending(batch, embed, text).withColumn("version", F.lit(number).cast("long"))
+        append_changes(store, number, new.select(*[c.split()[0] for c in INDEX.split(", ")]), INDEX, merged_index, compact)
 
     return chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_index(spark: SparkSession, store: str, compact: int = COMPACT) -> DataFrame:
+    return read_store(spark, store, INDEX, merged_index, compact)
