@@ -253,6 +253,25 @@ def f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.pool_rows(c, hits, c.select("query", F.concat(F.lit("user "), F.col("query")).alias("text"))).select("query", "raw_question", "source")
 
 
+_POOLED = f"""{_reranked_sql(20)}, sc as (select query, rerank_score as score from rr where rank <= 10), g as (select query, max(score) as s0, count_if(score >= 0.25) as n, count(score) as c, list_sort(list(score), 'DESC') as l from sc group by 1),
+cf as (select query, greatest(0, least(1, 0.60 * s0 + 0.25 * least(n / 3.0, 1) + 0.15 * case when c > 1 then greatest(l[1] - l[2], 0) else 0.5 * s0 end)) as confidence from g)"""
+
+
+@add(
+    "f1_pool_chunks",
+    f"with {_POOLED} select query, b.text as raw_question, rr.rank::int as place, substr(d.text, 1, 300) as chunk, rerank_score as score, source as section from cf join rr using (query) join benchmark b on b.item_id = query join documents d on d.doc_id = doc where confidence < 0.8 and rr.rank <= 5",
+)
+def f1c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages whose reranked documents are weak evidence, with the snapshot of the best five, each cut to 300 characters as the pool asks."""
+    r = stored(reranked(spark, sf_dir), "reranked")
+    c = R.confidence(r.select("query", F.col("rerank_score").alias("score")))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("section"))
+    hits = r.join(d, "doc").select("query", "rank", "text", F.col("rerank_score").alias("score"), "section")
+    got = Y.pool_rows(c, hits, questions(spark, sf_dir), 0.8)
+    each = got.select("query", "raw_question", F.posexplode("chunks").alias("place", "c"))
+    return each.select("query", "raw_question", (F.col("place") + 1).alias("place"), F.col("c.text").alias("chunk"), F.col("c.score").alias("score"), F.col("c.section").alias("section"))
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two targets for each passage: a source and another one, or a language."""
     i = F.col("item_id")
