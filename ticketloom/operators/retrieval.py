@@ -30,7 +30,8 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "
 def bm25_index(docs: DataFrame, doc: str, text: str, only: DataFrame | None = None) -> DataFrame:
     """Postings (term, doc, tf, dl), tf counted before any shuffle by term; `only` (term) leaves out other terms' postings."""
     words = docs.select(F.col(doc).alias("doc"), T.terms(F.col(text)).alias("ws"))
-    each = words.select("doc", F.size("ws").cast("long").alias("dl"), F.explode("ws").alias("term"))
+    # An outer explode: before an inner one Spark filters by the size of the array, and splits each text twice.
+    each = words.select("doc", F.size("ws").cast("long").alias("dl"), F.explode_outer("ws").alias("term")).filter("term is not null")
     each = each if only is None else each.join(only.select("term").distinct(), "term", "left_semi")
     return each.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 

@@ -49,7 +49,8 @@ en as (select doc_id, sum(h + p) over (partition by doc_id order by i)::int as b
 
 @add("k2_sentence_ends", f'with {_ENDS} select doc_id, b as "end" from en')
 def k2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.explode(K.sentence_ends(F.col("text"))).alias("end"))
+    ends = docs(spark, sf_dir).select("doc_id", F.explode_outer(K.sentence_ends(F.col("text"))).alias("end"))
+    return ends.filter(F.col("end").isNotNull())  # an inner explode would look for the ends twice
 
 
 @add("k3_sentence_chunks")
