@@ -280,7 +280,8 @@ def test_vectors(spark, tile):
     x = np.concatenate([base, base[:20] + 0.15 * rng.standard_normal((20, 24)), base[:20] * 3, np.repeat(base[:1], 30, 0) + 0.05 * rng.standard_normal((30, 24))])
     rows = [(i, v.tolist(), int(i % 2) if i < 100 else 0) for i, v in enumerate(x)]
     odd = [(500, None, 0), (501, [0.0] * 24, 0), (502, [float("nan")] + [1.0] * 23, 0), (503, [None] + [1.0] * 23, 0), (504, x[0].tolist(), None), (505, [], 0), (506, [1.0, 2.0], 0), (507, [1.0, 2.0], 0), (508, [float("inf")] * 24, 0)]
-    got = {r["vec_id"]: r for r in vector_dedup.dedup(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int"), tile=tile).collect()}
+    clashing = {c: F.lit(1) for c in ("id", "v", "rep", "l", "w", "a", "links", "ok", "component", "node")}
+    got = {r["vec_id"]: r for r in vector_dedup.dedup(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int").withColumns(clashing), tile=tile).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T >= 0.93
     lab = np.array([r[2] for r in rows])
@@ -383,7 +384,8 @@ def test_jaccard(spark, monkeypatch, small):
         monkeypatch.setattr(jaccard_join, k, v)
     rows = near_copies()
     extra = [(1000, None), (1001, ""), (1002, " \n"), (1003, "a b"), (1004, "A  b"), (1005, "a b c"), (None, "a b"), (1006, "x " * 5000)]
-    got = jaccard_join.join(spark.createDataFrame(rows + extra, "doc_id long, text string")).collect()
+    clashing = {c: F.lit(1) for c in ("rep", "t", "n", "name", "check", "node", "cluster", "group", "i", "j", "bits")}
+    got = jaccard_join.join(spark.createDataFrame(rows + extra, "doc_id long, text string").withColumns(clashing)).collect()
     sets, want = jaccard_by_hand(rows + [e for e in extra if e[0] is not None])
     for r in got:
         if r["doc_id"] is not None:

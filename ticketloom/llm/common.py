@@ -1,4 +1,4 @@
-"""Shared helpers: batch size, connected components; tables in the shared folder come from `sources.io`."""
+"""Shared helpers: connected components, batch sizes for some jobs; tables in the shared folder come from `sources.io`."""
 
 from __future__ import annotations
 
@@ -8,21 +8,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.io import new_path, shared_dir  # noqa: F401
+from ..sources.io import bounded_batches, new_path, shared_dir  # noqa: F401
 from ..sources.io import stored as table
 
-#: Rows handed to Python at once. Texts may be long, so batches stay small.
-BATCH_ROWS = 256
-
-
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower Spark's Arrow batch size to at most `rows`; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
-
-
 @contextlib.contextmanager
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Another Arrow batch size for the jobs that run inside; the session's own comes back after."""

@@ -2,8 +2,11 @@
 
 Anchors: `@` (email), `.` after a digit (ip), pairs of digits with at most one blank or hyphen between (card), `+` and a
 digit (phone), URL schemes (url) and words that announce an account number (account). Each parser looks only at the
-characters next to its anchor, so long texts take linear time. Null and empty texts give no span; a repeated row is
-scanned once per row; overlapping spans of different kinds all stay. Other columns of the input are ignored.
+characters next to its anchor, so long texts take linear time.
+
+Cases: null and empty texts give no span; a null id is kept; a repeated row is scanned once per row; of one kind the
+leftmost span stands, overlapping spans of different kinds all stay; an empty table gives no row. Other columns of the
+input, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ whose whole texts the regex verifies. A rule without mandatory trigrams scans al
 
 Cases: null and empty texts have no span; a null doc_id isn't indexed, so its text is verified against all rules; rows
 that share a doc_id share postings and are verified one by one; a repeated row is scanned once per row; spans that start
-alike are ordered by kind. Other columns of the input are ignored.
+alike are ordered by kind; an empty table gives no row. Other columns of the input, whatever their names, are ignored by
+`scan` and kept by `redacted`.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ of chunks is a task of its own, so a hot cell spreads; nothing is dropped.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite numbers, and null labels, link with nothing; vectors
 of different length link with nothing; rows that repeat a vec_id count as vectors of their own and give one row each; an empty table
-gives none. Other columns are ignored.
+gives none. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
