@@ -132,3 +132,33 @@ def test_routes_merge_whole_texts(spark, table):
     folder = table("documents", [(97 * i, HEAD + f"part {i % 3}", "en", "s") for i in range(12)], DOCUMENTS)
     got = run(spark, "r12_route_merge", folder)
     assert sorted(r["doc"] // 97 % 3 for r in got) == [0, 1, 2]
+
+
+NAN, INF = float("nan"), float("inf")
+
+
+def test_odd_vectors(spark):
+    """Null, empty, non-finite, ragged and zero vectors on either side."""
+    from ticketloom.operators import retrieval as R
+
+    chunks = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, []), (5, [NAN, 1.0]), (6, [INF, 1.0]), (7, [0.0, 0.0]), (8, [1.0, 0.0, 0.0]), (9, [None, 1.0]), (10, [1.0, 0.0])]
+    queries = [(20, [1.0, 0.0]), (21, None), (22, [NAN, 0.0]), (23, [1.0, 0.0, 0.0]), (24, [0.0, 0.0]), (25, []), (None, [1.0, 0.0])]
+    c = spark.createDataFrame(chunks, "id long, v array<double>")
+    q = spark.createDataFrame(queries, "query long, vector array<double>")
+    for rows in (20_000, 2):
+        got = {(r["query"], r["rank"], r["doc"]) for r in R.dense_search(c, q, "id", "v", 2, 0.35, rows).collect()}
+        assert got == {(20, 1, 1), (20, 2, 10), (23, 1, 8)}
+    assert R.dense_search(c, q.limit(0), "id", "v").count() == 0 and R.dense_search(c.limit(0), q, "id", "v").count() == 0
+    kept = M.semantic_dedup(c.select("id", F.col("id").alias("place"), F.col("v").alias("vector"))).filter("status = 'kept'").collect()
+    assert sorted(r["id"] for r in kept) == [1, 3, 4, 5, 6, 7, 8, 9]
+
+
+def test_keywords_in_blocks(spark):
+    from ticketloom.operators import retrieval as R
+
+    texts = spark.createDataFrame([(1, "abc bcd"), (2, "bcd"), (3, None), (4, ""), (5, "xbcdabc")], "id long, text string")
+    keys = spark.createDataFrame([("abc",), ("bcd",), ("",), (None,), ("b",), ("zz",), ("abc",)], "keyword string")
+    want = {("abc", 1), ("abc", 5), ("bcd", 1), ("bcd", 2), ("bcd", 5), ("b", 1), ("b", 2), ("b", 5)}
+    for block in (500_000, 3):
+        assert {tuple(r) for r in R.keyword_hits(texts, keys, block=block).collect()} == want
+    assert R.keyword_hits(texts, keys.limit(0)).count() == 0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.io import stored
+from .retrieval import sound
 
 #: Parameters: conversations of a batch, cosine from which an answer repeats another, vectors of a block.
 BATCH, SIMILAR, BLOCK = 20, 0.92, 2000
@@ -73,8 +74,10 @@ def similar_pairs(rows: DataFrame, least: float = SIMILAR, by: str | None = None
     """(id, other) with cosine >= least, other before id in `place`, by matrix products of blocks.
 
     rows (id, place, vector, more). Blocks hold about `block` vectors; each pair of blocks is a task, so the work spreads
-    evenly and only pairs that pass leave it. `by` limits pairs to rows that agree in that column.
+    evenly and only pairs that pass leave it. `by` limits pairs to rows that agree in that column. Vectors that are null,
+    empty or hold null or non-finite numbers, and vectors of different lengths, make no pair.
     """
+    rows = rows.filter(sound("vector"))
     n = max(1, -(-rows.count() // block))
     key = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     own = rows.select("id", "place", "vector", (F.col(by) if by else F.lit(0)).alias("by"), key.alias("c")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -92,7 +95,7 @@ def similar_pairs(rows: DataFrame, least: float = SIMILAR, by: str | None = None
         late = place[a] > place[b]
         return pd.DataFrame({"id": np.where(late, ids[a], ids[b]), "other": np.where(late, ids[b], ids[a])})
 
-    return own.groupBy("i", "j").applyInPandas(run, "id long, other long")
+    return own.groupBy("i", "j", F.size("vector")).applyInPandas(run, "id long, other long")
 
 
 def semantic_dedup(rows: DataFrame, least: float = SIMILAR, by: str | None = None) -> DataFrame:

@@ -62,7 +62,8 @@ def bm25_search(index: DataFrame, size: DataFrame, terms: DataFrame, k: int = 50
     return top(scored, ["query"], [F.desc("score"), F.col("doc")], k)
 
 
-def _sound(vector: str) -> Column:
+def sound(vector: str) -> Column:
+    """A vector that isn't null or empty and holds finite numbers only."""
     return F.expr(f"coalesce(size({vector}) > 0 and not exists({vector}, x -> x is null or isnan(x) or abs(x) = double('infinity')), false)")
 
 
@@ -76,7 +77,7 @@ def dense_search(chunks: DataFrame, queries: DataFrame, doc: str, vector: str, k
     """
     spark = chunks.sparkSession
     bounded_batches(spark)
-    asked = queries.select("query", "vector").filter(_sound("vector") & F.col("query").isNotNull())
+    asked = queries.select("query", "vector").filter(sound("vector") & F.col("query").isNotNull())
     parts = max(1, -(-asked.count() // broadcast_rows))
     out = []
     for part in range(parts):
@@ -102,7 +103,7 @@ def dense_search(chunks: DataFrame, queries: DataFrame, doc: str, vector: str, k
                     r, c = np.nonzero(s >= max(least, -1.5))
                     yield pd.DataFrame({"query": ids[r], "doc": docs[c], "score": s[r, c]})
 
-        found = chunks.select(F.col(doc).alias("doc"), F.col(vector).alias("vector")).filter(_sound("vector")).mapInPandas(search, "query long, doc long, score double")
+        found = chunks.select(F.col(doc).alias("doc"), F.col(vector).alias("vector")).filter(sound("vector")).mapInPandas(search, "query long, doc long, score double")
         if parts > 1:
             found = stored(top(found, ["query"], [F.desc("score"), F.col("doc")], k).drop("rank"), "dense")
             sent.unpersist()
