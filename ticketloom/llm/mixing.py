@@ -102,7 +102,8 @@ def _placed(rows: DataFrame, counts: DataFrame, plan: DataFrame, block_rows: int
     runs = runs.withColumn("before", F.col("earlier") + ahead("source", "pass", "range", ["h", "block"]))
     runs = runs.filter((F.col("pass") < F.col("passes")) | (F.col("before") < F.col("part")))
     runs = runs.groupBy("source", "block").agg(F.collect_list(F.struct("pass", "before")).alias("runs"))  # as many as passes
-    runs = runs.select(F.col("source").alias("src"), F.col("block").alias("blk"), "runs")
+    # Written too: a row for each block is broadcast while that is small, and then texts are shuffled once, for their window.
+    runs = table(runs.select(F.col("source").alias("src"), F.col("block").alias("blk"), "runs"), "runs")
     own = dealt(rows)
     taken = own.join(runs, own["source"].eqNullSafe(runs["src"]) & (own["block"] == runs["blk"])).drop("src", "blk")
     taken = taken.withColumn("run", F.explode("runs")).withColumn("pass", F.col("run.pass")).withColumn("before", F.col("run.before")).drop("run", "runs")
@@ -120,7 +121,8 @@ def _plan(counts: DataFrame, budget: float, entropy: float, repetition: float) -
     # A source without tokens goes with one pass, if there is any other source.
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     silent = sizes.filter("tokens = 0").crossJoin(F.broadcast(shares.limit(1).select(F.lit(True).alias("any"))))  # one row
-    return own.unionByName(silent.select("source", "docs", "tokens", F.lit(0.0).alias("weight"), zero.alias("quota"), one.alias("passes"), zero.alias("part")))
+    # Written, as a row for each source: Spark then knows that it is small and doesn't shuffle texts by their source.
+    return table(own.unionByName(silent.select("source", "docs", "tokens", F.lit(0.0).alias("weight"), zero.alias("quota"), one.alias("passes"), zero.alias("part"))), "plan")
 
 
 def _counted(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
