@@ -7,7 +7,6 @@ import re
 import zlib
 
 import duckdb
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,23 +145,25 @@ def test_language_model(spark, order, bucket, ranges):
 
 
 def test_language_model_adds_up(spark):
-    """From each context, the probabilities of all words and an unknown one are 1."""
-    rows = [(i, t, None, None) for i, t in enumerate(["a b a b c", "b a a c", "c c b"] * 5)]
-    b = lm_score.texts(spark.createDataFrame(rows, SCHEMA).coalesce(1)).first()
-    own = lm_score.Bucket(bytes(b["blob"]), [False] * len(rows), 3)
-    words, (_, keys) = own.word_counts(), own.keys()
-    a = lm_score.Automaton(own, words, keys, int(words.sum()), len(own.words))
-    unknown = 0.5 / (words.sum() + 0.5 * (len(own.words) + 1))
-    place, key = own.grams[0]
-    closing = {1 + a.v + i for i, at in enumerate(np.unique(key, return_index=True)[1]) if own.at[place[at]] == 0}  # two words, of which the end is the last: no text goes on
-    for state in sorted(set(range(len(a.back))) - closing):
-        total, s, left = sum(10 ** a.weight[a.arcs[state * a.v + w]] for w in range(a.v) if state * a.v + w in a.arcs), state, 0.0
-        for w in [*(x for x in range(a.v) if state * a.v + x not in a.arcs), None]:
-            s, left = state, 0.0
-            while s and (w is None or s * a.v + w not in a.arcs):
-                left, s = left + a.back[s], a.fail[s]
-            total += unknown * 10**left if w is None else 10 ** (left + (a.weight[a.arcs[s * a.v + w]] if s else a.root[w]))
-        assert math.isclose(total, 1, rel_tol=1e-9), state
+    """From each context, the probabilities of all words and an unknown one are 1: texts that end in each word after each context."""
+    taught = ["a b a b c", "b a a c", "c c b"] * 5
+    one = collections.Counter(" ".join([*taught, *["."] * 15]).split())
+    contexts = ["", "a", "a b", "b a", "c c", "b c", "q", "a q", "q a"]
+    asked = [f"{c} {w}" for c in contexts for w in ("a", "b", "c", "zz")] + contexts
+    b = lm_score.texts(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(taught + asked)], SCHEMA).coalesce(1)).first()
+    own = lm_score.Bucket(bytes(b["blob"]), [i >= 15 for i in range(len(taught + asked))], 3)
+    n, v = sum(one.values()), len(one)
+    a = lm_score.Automaton(own, own.word_counts(), own.keys()[1], n, v)
+    def last(i):  # of the word before the end, and of the end
+        places = range(own.ends[i] - own.lengths[i] + 1, own.ends[i] + 1)
+        until = [a.walk(places[0], places[0] + k) for k in range(-1, len(places))]
+        return until[-2] - until[-3], until[-1] - until[-2]
+
+    for k, c in enumerate(contexts):
+        first = 15 + 4 * k
+        words = [10 ** last(first + j)[0] for j in range(4)]
+        closing = 10 ** (last(15 + 36 + k)[1] if c else a.walk(own.ends[15 + 36], own.ends[15 + 36]))
+        assert math.isclose(sum(words) + closing, 1, rel_tol=1e-9), c
 
 
 def test_language_model_of_nothing(spark):

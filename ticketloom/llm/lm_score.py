@@ -39,7 +39,7 @@ from .common import batch_rows, table
 from .hashing import _BASE, mixed
 
 #: Parameters: words of an n-gram; strength and power of the prior; bytes of a bucket's texts, and of the texts behind a range.
-ORDER, PRIOR, POWER, BUCKET_BYTES, RANGE_BYTES = 2, 1.0, 0.85, 8 << 20, 8 << 20
+ORDER, PRIOR, POWER, BUCKET_BYTES, RANGE_BYTES = 2, 1.0, 0.85, 6 << 20, 6 << 20
 #: The end of a text, as a word that no text holds; it stands before a text's first word, too, as its context.
 END = b"\xff"
 
@@ -180,39 +180,32 @@ def answered(p: pd.DataFrame) -> pd.DataFrame:
 class Automaton:
     """The states and arcs that a bucket's texts can reach; counts are those of all training documents.
 
-    tokens and known: N and V. State 0 is the root, 1 + w the context of word w, further ones the longer contexts.
+    tokens and known: N and V. A state is a context: the last k words before a place, k from 0 (the root) to order - 1. Of
+    each order, `arc[k]` has the weight of the arc that the word at a place takes from the context of k words before it,
+    NaN where there is none, and `fail[k]` the weight of the failure arc of the context of k words that ends at a place,
+    which leads to its last k - 1 words. Both are looked up for all places at once, so the walk reads them in order.
     """
 
     def __init__(self, b: Bucket, word_counts: np.ndarray, key_counts: np.ndarray, tokens: int, known: int, prior: float = PRIOR, power: float = POWER) -> None:
-        v = self.v = len(b.words)
         keys, _ = b.keys()
         probability = (word_counts + 0.5) / (tokens + 0.5 * (known + 1))
-        self.root = np.log10(probability)
-        # Of the order below: its n-gram at each place, their counts, probabilities, states and failure states.
-        low, count, p, state = b.at, word_counts, probability, 1 + np.arange(v)
-        back, fail, states = [np.zeros(1), self._left(word_counts, prior, power)], [np.zeros(v + 1, np.int64)], v + 1
-        arcs: dict[int, int] = {}
-        weight, target = [], []
-        for k, (place, key) in enumerate(b.grams, 2):
-            numbers, first, here = np.unique(np.searchsorted(keys, key), return_index=True, return_inverse=True)
-            c, end = key_counts[numbers], place[first]
+        self.base = np.log10(probability)[b.at]
+        arc, fail = [self.base], [np.zeros(len(b.at))]
+        low, count, p = b.at, word_counts, probability  # of the order below: its n-gram at each place, their counts and probabilities
+        for place, key in b.grams:
+            fail.append(self._left(count, prior, power)[low])
+            unique, first, here = np.unique(key, return_index=True, return_inverse=True)
+            c, end = key_counts[np.searchsorted(keys, unique)], place[first]
             before, suffix = low[end - 1], low[end]  # the context, and the n-gram without its first word
             m = prior * count[before].astype(float) ** power
             q = np.where(count[before] > 0, (c + m * p[suffix]) / np.maximum(count[before] + m, 1e-300), p[suffix])
-            own = states + np.arange(len(numbers)) if k <= len(b.grams) else state[suffix]
-            seen = np.flatnonzero(c > 0)
-            arcs.update(zip((state[before[seen]] * v + b.at[end[seen]]).tolist(), range(len(weight), len(weight) + len(seen)), strict=True))
-            weight += np.log10(q[seen]).tolist()
-            target += own[seen].tolist()
-            if k <= len(b.grams):
-                back.append(self._left(c, prior, power))
-                fail.append(state[suffix])
-                states += len(numbers)
-                low = np.full(len(b.at), -1)
-                low[place] = here
-                count, p, state = c, q, own
-        self.arcs, self.weight, self.target = arcs, weight, target
-        self.back, self.fail = np.concatenate(back).tolist(), np.concatenate(fail).tolist()
+            weight = np.full(len(b.at), np.nan)
+            weight[place] = np.where(c > 0, np.log10(q), np.nan)[here]
+            arc.append(weight)
+            low = np.full(len(b.at), -1)  # no n-gram of this order ends at a place that is too near to a text's begin
+            low[place] = here
+            count, p = c, q
+        self.arc, self.fail = [x.tolist() for x in arc], [x.tolist() for x in fail]
 
     @staticmethod
     def _left(count: np.ndarray, prior: float, power: float) -> np.ndarray:
@@ -220,30 +213,20 @@ class Automaton:
         m = prior * count.astype(float) ** power
         return np.where(count > 0, np.log10(np.where(count > 0, m, 1) / np.where(count > 0, count + m, 1)), 0.0)
 
-    def walk(self, words: list[int]) -> float:
-        """log10 of the probability of a text's words, its end included."""
-        v, arc, weight, target, back, fail, root = self.v, self.arcs.get, self.weight, self.target, self.back, self.fail, self._root
-        state, total = 1, 0.0  # the context of word 0, the end
-        for w in words:
-            at = arc(state * v + w)
-            while at is None and state:
-                total += back[state]
-                state = fail[state]
-                at = arc(state * v + w) if state else None
-            if at is None:
-                total += root[w]
-                state = 1 + w
-            else:
-                total += weight[at]
-                state = target[at]
+    def walk(self, start: int, end: int) -> float:
+        """log10 of the probability of the words from place `start` to place `end`; it begins in the context of an end."""
+        arc, fail, most = self.arc, self.fail, len(self.arc) - 1
+        state, total = 1, 0.0
+        for at in range(start, end + 1):
+            weight = arc[state][at]
+            while weight != weight:  # NaN: the state has no arc for this word
+                total += fail[state][at - 1]
+                state -= 1
+                weight = arc[state][at]
+            total += weight
+            state = state + 1 if state < most else most
         return total
 
-    @property
-    def _root(self) -> list[float]:
-        if not hasattr(self, "_roots"):
-            self._roots = self.root.tolist()
-        return self._roots
-
 
 def scored(mine: pd.DataFrame, replies: pd.DataFrame, tokens: int, known: int, order: int, ranges: int) -> pd.DataFrame:
     """The rows of a bucket's texts."""
@@ -255,10 +238,9 @@ def scored(mine: pd.DataFrame, replies: pd.DataFrame, tokens: int, known: int, o
     words[by_range] = np.concatenate([unpacked(w, np.int64) for w in replies["words"]])
     a = Automaton(b, words, np.concatenate([unpacked(k, np.int64) for k in replies["keys"]]), tokens, known)
     starts = b.ends - b.lengths + 1
-    said = b.at.tolist()
     return pd.DataFrame({
         "doc_id": ids, "held_out": held, "n_tokens": b.lengths, "n_known": np.add.reduceat((words[b.at] > 0).astype(np.int64), starts), "train_tokens": tokens,
-        "base_score": np.add.reduceat(a.root[b.at], starts), "score": [a.walk(said[i : j + 1]) for i, j in zip(starts, b.ends, strict=True)],
+        "base_score": np.add.reduceat(a.base, starts), "score": [a.walk(i, j) for i, j in zip(starts.tolist(), b.ends.tolist(), strict=True)],
     })
 
 
