@@ -21,7 +21,7 @@ joined by spaces are told apart. Other columns, whatever their names, are ignore
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import count as steps_from
 
 import numpy as np
@@ -36,7 +36,7 @@ from .hashing import _BASE, mixed
 
 #: Parameters: words of a phrase, occurrences that make one frequent, share of a longer phrase that drops a shorter one (in
 #: hundredths), phrases reported of a language; shards, words counted at once, cells and hashes of the table of steps.
-LONGEST, LEAST, CONTAINED, TOP, SHARDS, BLOCK_WORDS, CELLS, PROBES = 3, 10, 50, 2000, 4, 1 << 20, 1 << 22, 2
+LONGEST, LEAST, CONTAINED, TOP, SHARDS, BLOCK_WORDS, CELLS, PROBES = 3, 10, 50, 2000, 3, 1 << 20, 1 << 22, 2
 #: What ends a piece; the byte that stands for it between words, which no text has.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _BREAK = b"\xff"
@@ -54,8 +54,13 @@ def _cells(h: np.ndarray, cells: int) -> list[np.ndarray]:
     return [(mixed(h + np.uint64(k)) % np.uint64(cells)).astype(np.int64) for k in range(PROBES)]
 
 
-def _word_hash(lang: bytes, word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word, xxhash.xxh3_64_intdigest(lang))
+def _word_hashes(langs: Iterable[bytes], words: Iterable[bytes]) -> np.ndarray:
+    """Hashes of words, apart for each language."""
+    seeds: dict[bytes, int] = {}
+    for lang in (langs := list(langs)):
+        if lang not in seeds:
+            seeds[lang] = xxhash.xxh3_64_intdigest(lang)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words, map(seeds.__getitem__, langs)), np.uint64, len(langs))
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -70,7 +75,7 @@ def _steps(seen: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _phrases(at: np.ndarray, names: list[tuple[bytes, bytes]], seen: list[np.ndarray], step: int, shards: int, longest: int) -> Iterator[pd.DataFrame]:
     """Counts of the active phrases of a block. at: word numbers, 0 where a piece ends; names: (lang, word) of each number."""
-    h = np.array([_word_hash(*x) for x in names], np.uint64)
+    h = _word_hashes(*zip(*names, strict=True))
     if step < shards:
         n = np.bincount(at, minlength=len(names))
         some = np.flatnonzero(n)
@@ -132,30 +137,24 @@ def counted(shard: DataFrame, seen: list[np.ndarray], step: int, shards: int, lo
 
 
 def _reached(frequent: DataFrame, cells: int) -> np.ndarray:
-    """Cells of the hashes of frequent phrases (lang, phrase); at most `cells` bits come back."""
+    """Cells of the hashes of frequent phrases of one length (lang, phrase); at most `cells` numbers come back."""
     width = min(cells, 1 << 16)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            h = []
-            for lang, phrase in zip(p["lang"], p["phrase"], strict=True):
-                first, *rest = (np.uint64(_word_hash(lang.encode(), w)) for w in phrase.encode("utf-8", "surrogatepass").split(b" "))
-                own = np.array([first], np.uint64)
-                for w in rest:
-                    own = _joined(own, np.array([w], np.uint64))
-                h.append(own[0])
-            c = np.unique(np.concatenate(_cells(np.array(h, np.uint64), cells)))
+        for p in filter(len, parts):
+            langs = [x.encode() for x in p["lang"]]
+            first, *rest = zip(*(x.encode("utf-8", "surrogatepass").split(b" ") for x in p["phrase"]), strict=True)
+            h = _word_hashes(langs, first)
+            for w in rest:
+                h = _joined(h, _word_hashes(langs, w))
+            c = np.unique(np.concatenate(_cells(h, cells)))
             yield pd.DataFrame({"block": c // width, "cell": (c % width).astype(np.int32)})
 
-    def bits(p: pd.DataFrame) -> pd.DataFrame:
-        on = np.zeros(width, bool)
-        on[p["cell"]] = True
-        return pd.DataFrame({"block": [p["block"].iloc[0]], "bits": [np.packbits(on).tobytes()]})
-
-    rows = frequent.select("lang", "phrase").mapInPandas(run, "block long, cell int").distinct().groupBy("block").applyInPandas(bits, "block long, bits binary").collect()
+    # At most `width` cells of a block, four bytes each.
+    rows = frequent.select("lang", "phrase").mapInPandas(run, "block long, cell int").groupBy("block").agg(F.collect_set("cell").alias("cells")).toArrow()
     out = np.zeros(-(-cells // width) * width, bool)
-    for r in rows:
-        out[r["block"] * width : (r["block"] + 1) * width] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))[:width]
+    for block, own in zip(rows["block"].to_pylist(), rows["cells"], strict=True):
+        out[block * width + own.values.to_numpy()] = True
     return out[:cells]
 
 
