@@ -55,11 +55,40 @@ def test_budget(spark, window, want):
 def test_ranks_and_recall(spark):
     samples = spark.createDataFrame([(1, [["甲"]]), (2, [["甲"], ["乙", "丙"]])], "sample long, targets array<array<string>>")
     hits = [(s, "hybrid", k, x, None, None) for s, names in ((1, "abc甲d"), (2, "a甲bc丙")) for k, x in enumerate(names, 1)]
-    got = {r["sample"]: r for r in E.recall_mrr(E.hit_ranks(samples, spark.createDataFrame(hits, "sample long, strategy string, rank long, section_path string, question string, category string"))).collect()}
+    got = {r["sample"]: r for r in E.recall_mrr(E.hit_ranks(samples, spark.createDataFrame(hits, "sample long, strategy string, rank long, section_path string, question string, category string"), ["hybrid"])).collect()}
     assert (got[1]["recall_3"], got[1]["recall_5"], got[1]["mrr"]) == (0.0, 1.0, 0.25)
     assert (got[2]["recall_3"], got[2]["recall_5"], got[2]["mrr"]) == (0.5, 1.0, 0.35)
 
 
+def test_samples_without_hits_count(spark):
+    """A strategy that found nothing for a sample, a blank question and a sample without targets have rank 0 and count in all means."""
+    samples = spark.createDataFrame([(1, [["甲"]]), (2, [["甲"], ["乙"]]), (3, None), (4, [])], "sample long, targets array<array<string>>")
+    hits = spark.createDataFrame([(1, "hybrid", 1, "甲", None, None), (2, "bm25_only", 2, None, "乙", None), (1, "other", 1, "甲", None, None)], "sample long, strategy string, rank long, section_path string, question string, category string")
+    ranks = E.hit_ranks(samples, hits, ["hybrid", "bm25_only"])
+    assert {(r["sample"], r["strategy"], r["target"]): r["rank"] for r in ranks.collect()} == {(1, "hybrid", 0): 1, (1, "bm25_only", 0): 0, (2, "hybrid", 0): 0, (2, "hybrid", 1): 0, (2, "bm25_only", 0): 0, (2, "bm25_only", 1): 2, (3, "hybrid", 0): 0, (3, "bm25_only", 0): 0, (4, "hybrid", 0): 0, (4, "bm25_only", 0): 0}
+    m = E.recall_mrr(ranks).withColumns({"bucket": F.lit("A_policy"), "faithful": F.lit(1.0), "refused": F.lit(0.0)})
+    got = {r["strategy"]: r for r in E.by_bucket(m).filter("bucket = 'overall'").collect()}
+    assert (got["hybrid"]["n"], got["hybrid"]["mrr"], got["bm25_only"]["mrr"], got["bm25_only"]["recall_3"]) == (4, 0.25, 0.0625, 0.125)
+    queries = spark.createDataFrame([(1, "甲"), (2, " \n")], "query long, text string")
+    route = spark.createDataFrame([(1, 5, 1, 0.9), (2, 5, 1, 0.9)], "query long, doc long, rank long, score double")
+    found = R.by_strategy(["vector_only"], queries, route, route, spark.createDataFrame([(5, "甲")], "doc long, text string"))
+    assert [r["query"] for r in found.collect()] == [1]
+
+
+def test_means_round_halves_up(spark):
+    rows = spark.createDataFrame([("s", "A_policy", x, x, x, x, 1.0, 0.0) for x in (0.1234, 0.1235)] + [("s", "D_absent", 0.9, 0.9, 0.9, 0.9, 0.0, 1.0)], "strategy string, bucket string, recall_3 double, recall_5 double, recall_10 double, mrr double, faithful double, refused double")
+    got = {r["bucket"]: r for r in E.by_bucket(rows).collect()}
+    assert (got["overall"]["mrr"], got["overall"]["n"], got["D_absent"]["mrr"], got["D_absent"]["refusal_rate"]) == (0.1235, 3, None, 1.0)
+
+
+def test_confidence_of_odd_scores(spark):
+    """Null and NaN scores are 0; equal best scores have no margin."""
+    nan = float("nan")
+    rows = [(1, 0.9), (1, None), (2, nan), (2, 0.5), (3, 0.7), (3, 0.7), (4, None), (5, nan), (None, 0.6), (6, 2.0), (7, -1.0)]
+    got = {r["query"]: round(r["confidence"], 6) for r in R.confidence(spark.createDataFrame(rows, "query long, score double")).collect()}
+    assert got == {1: 0.758333, 2: 0.458333, 3: 0.586667, 4: 0.0, 5: 0.0, None: 0.488333, 6: 1.0, 7: 0.0}
+
+
 def test_edges_first(spark):
     for n in range(12):
         got = {r["place"]: r["rank"] for r in R.edges_first(spark.createDataFrame([(1, i) for i in range(1, n + 1)], "query long, rank long")).collect()}

@@ -87,9 +87,9 @@ def test_confidence_takes_all_events(spark, table):
     folder = table("events", rows, "event_id long, user_id long, value double, event_type string, props string")
     want = {}
     for u in {r[1] for r in rows}:
-        s = sorted((r[2] / 200 for r in rows if r[1] == u and r[2] is not None), reverse=True)
-        margin = s[0] - s[1] if len(s) > 1 else 0.5 * s[0] if s else 0
-        want[u] = round(min(1, 0.6 * s[0] + 0.25 * min(sum(x >= 0.25 for x in s) / 3, 1) + 0.15 * margin), 6) if s else 0.0
+        s = sorted(((r[2] or 0) / 200 for r in rows if r[1] == u), reverse=True)
+        margin = s[0] - s[1] if len(s) > 1 else 0.5 * s[0]
+        want[u] = round(min(1, 0.6 * s[0] + 0.25 * min(sum(x >= 0.25 for x in s) / 3, 1) + 0.15 * margin), 9)
     assert {r["query"]: r["confidence"] for r in run(spark, "r18_confidence", folder)} == want
     assert {r["query"]: r["gate"] for r in run(spark, "r19_gate", folder)} == {u: "pass" if c >= 0.4 else "fallback" for u, c in want.items()}
     assert {r["query"] for r in run(spark, "f1_pool_rows", folder)} == {u for u, c in want.items() if c < 0.4 and u is not None}

@@ -10,14 +10,16 @@ from ..functions import text as T
 from ..functions.vocab import BUCKETS, OUT_OF_SCOPE, REFUSALS, STOPWORDS, TRIGGERS
 
 
-def hit_ranks(samples: DataFrame, hits: DataFrame) -> DataFrame:
+def hit_ranks(samples: DataFrame, hits: DataFrame, strategies: list[str]) -> DataFrame:
     """(sample, strategy, target, rank): the first hit that names any alias of a target, 0 if none.
 
-    samples (sample, targets array<array<string>>); hits (sample, strategy, rank, section_path, question, category).
+    samples (sample, targets array<array<string>>); hits (sample, strategy, rank, section_path, question, category);
+    strategies: those that were run. A strategy that found nothing for a sample ranks all its targets 0, and so does
+    a sample without targets, as one that no hit names; hits of other strategies are ignored.
     """
     where = F.concat_ws(" ", F.coalesce("section_path", F.lit("")), F.coalesce("question", F.lit("")), F.coalesce("category", F.lit("")))
-    each = samples.select("sample", F.posexplode("targets").alias("target", "aliases"))
-    met = each.join(hits.select("sample", "strategy", "rank", where.alias("where")), "sample")
+    each = samples.select("sample", F.posexplode_outer("targets").alias("target", "aliases")).withColumn("target", F.coalesce("target", F.lit(0))).withColumn("strategy", F.explode(F.array(*map(F.lit, strategies))))
+    met = each.join(hits.select("sample", "strategy", "rank", where.alias("where")), ["sample", "strategy"], "left")
     found = F.exists("aliases", lambda a: F.col("where").contains(a))
     return met.groupBy("sample", "strategy", "target").agg(F.coalesce(F.min(F.when(found, F.col("rank"))), F.lit(0)).cast("long").alias("rank"))
 
@@ -61,8 +63,9 @@ def by_bucket(scores: DataFrame) -> DataFrame:
     scores (strategy, bucket, recall_3, recall_5, recall_10, mrr, faithful, refused); D_absent is judged by refusals alone.
     """
     graded = F.col("bucket") != BUCKETS[-1]
-    # Means of four-digit numbers often end on a half; the small addition rounds all of them up.
-    mean = lambda c: F.round(F.avg(F.when(graded, F.col(c))) + 1e-9, 4).alias(c)
+    # Metrics have four digits: their sums in ten-thousandths are exact, and a mean that ends on a half is rounded up.
+    units, n = lambda c: F.sum(F.when(graded, F.round(F.col(c) * 10000).cast("long"))), F.sum(graded.cast("long"))
+    mean = lambda c: F.when(n > 0, F.call_function("div", 2 * units(c) + n, 2 * n) / 10000.0).alias(c)
     g = scores.withColumn("own", F.col("bucket")).groupingSets([["strategy", "own"], ["strategy"]], "strategy", "own").agg(
         F.count("*").alias("n"), mean("recall_3"), mean("recall_5"), mean("recall_10"), mean("mrr"), mean("faithful"), F.round(F.avg(F.when(~graded, F.col("refused"))), 4).alias("refusal_rate")
     )

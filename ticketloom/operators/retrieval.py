@@ -279,16 +279,19 @@ def faq_search(faq: DataFrame, keywords: DataFrame, limit: int = 3) -> DataFrame
 
 
 def confidence(scores: DataFrame, least: float = 0.25) -> DataFrame:
-    """(query, confidence): 0.60 best + 0.25 share of three scores at `least` + 0.15 margin, in [0, 1]; no score: 0.
+    """(query, confidence): 0.60 best + 0.25 share of three scores at `least` + 0.15 margin, in [0, 1]; no row of a query: no row.
 
-    The second score is that of a ranking to two, which each task cuts before the shuffle: no array holds a query's scores.
+    A score that is null or not a number is 0. The two best come from maxima that each task takes before the shuffle: no
+    array holds a query's scores.
     """
-    g = scores.groupBy("query").agg(F.max("score").alias("s0"), F.sum((F.col("score") >= least).cast("int")).alias("n"), F.count("score").alias("all"))
-    second = top(scores.select(F.col("query").alias("q"), F.col("score").alias("s1")).filter("s1 is not null"), ["q"], [F.desc("s1")], 2).filter("rank = 2")
+    known = F.coalesce(F.nanvl(F.col("score").cast("double"), F.lit(0.0)), F.lit(0.0))
+    by_score = scores.select("query", known.alias("score")).groupBy("query", "score").agg(F.count("*").alias("k"))
+    g = by_score.groupBy("query").agg(F.max("score").alias("s0"), F.max_by("k", "score").alias("top"), F.sum(F.when(F.col("score") >= least, F.col("k")).otherwise(0)).alias("n"), F.sum("k").alias("all"))
+    second = top(by_score.select(F.col("query").alias("q"), F.col("score").alias("s1")), ["q"], [F.desc("s1")], 2).filter("rank = 2")
     g = g.join(second, F.col("query").eqNullSafe(F.col("q")), "left")
-    margin = F.when(F.col("all") > 1, F.greatest(F.col("s0") - F.col("s1"), F.lit(0.0))).otherwise(0.5 * F.col("s0"))
+    margin = F.when(F.col("all") == 1, 0.5 * F.col("s0")).when(F.col("top") > 1, 0.0).otherwise(F.col("s0") - F.col("s1"))
     value = 0.60 * F.col("s0") + 0.25 * F.least(F.col("n") / 3.0, F.lit(1.0)) + 0.15 * margin
-    return g.select("query", F.when(F.col("s0").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).alias("confidence"))
+    return g.select("query", F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).alias("confidence"))
 
 
 def gate(confident: Column, least: float = GATE) -> Column:

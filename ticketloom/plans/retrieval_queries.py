@@ -227,8 +227,9 @@ def r17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.faq_search(faq, read(spark, sf_dir, "benchmark").select(F.col("text").alias("keyword")))
 
 
-_SCORES = "sc as (select user_id as query, value / 200 as score from events)"
-_CONF = f"{_SCORES}, g as (select query, max(score) as s0, count_if(score >= 0.25) as n, count(score) as c, list_sort(list(score), 'DESC') as l from sc group by 1), cf as (select query, greatest(0, least(1, 0.60 * s0 + 0.25 * least(n / 3.0, 1) + 0.15 * case when c > 1 then greatest(l[1] - l[2], 0) else 0.5 * s0 end)) as confidence from g)"
+_SCORES = "sc as (select user_id as query, coalesce(value / 200, 0) as score from events)"
+_CONFIDENCE = "greatest(0, least(1, 0.60 * s0 + 0.25 * least(n / 3.0, 1) + 0.15 * case when c > 1 then greatest(l[1] - l[2], 0) else 0.5 * s0 end)) as confidence"
+_CONF = f"{_SCORES}, g as (select query, max(score) as s0, count_if(score >= 0.25) as n, count(*) as c, list_sort(list(score), 'DESC') as l from sc group by 1), cf as (select query, {_CONFIDENCE} from g)"
 
 
 def confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,9 +237,10 @@ def confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.confidence(read(spark, sf_dir, "events").select(F.col("user_id").alias("query"), (F.col("value") / 200).alias("score")))
 
 
-@add("r18_confidence", f"with {_CONF} select query, round(confidence, 6) as confidence from cf")
+# Scores here have four digits at most, so values have seven or repeat thirds: none ends on a half at the ninth.
+@add("r18_confidence", f"with {_CONF} select query, round(confidence, 9) as confidence from cf")
 def r18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return confidences(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
+    return confidences(spark, sf_dir).withColumn("confidence", F.round("confidence", 9))
 
 
 @add("r19_gate", f"with {_CONF} select query, case when confidence >= 0.40 then 'pass' else 'fallback' end as gate from cf")
@@ -254,7 +256,7 @@ def f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _POOLED = f"""{_reranked_sql(20)}, sc as (select query, rerank_score as score from rr where rank <= 10), g as (select query, max(score) as s0, count_if(score >= 0.25) as n, count(score) as c, list_sort(list(score), 'DESC') as l from sc group by 1),
-cf as (select query, greatest(0, least(1, 0.60 * s0 + 0.25 * least(n / 3.0, 1) + 0.15 * case when c > 1 then greatest(l[1] - l[2], 0) else 0.5 * s0 end)) as confidence from g)"""
+cf as (select query, {_CONFIDENCE} from g)"""
 
 
 @add(
@@ -285,18 +287,19 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HITS = f"{_STRATEGIES}, hi as (select strategy, query as sample, rank, source, lang from sg join documents on doc = doc_id)"
-_RANKS = f"{_HITS}, rk as (select sample, strategy, 0 as target, coalesce(min(rank) filter (source = 'src' || sample % 20 or source = 'src' || (sample + 7) % 20), 0) as rank from hi group by 1, 2 union all select sample, strategy, 1, coalesce(min(rank) filter (lang = 'fr' or source = 'src' || (sample + 3) % 20), 0) from hi group by 1, 2)"
+_RANKS = f"""{_HITS}, sm as (select item_id as sample, unnest({list(R.STRATEGIES)}) as strategy from benchmark), rk as (select sample, strategy, 0 as target, coalesce(min(rank) filter (source = 'src' || sample % 20 or source = 'src' || (sample + 7) % 20), 0) as rank from sm left join hi using (sample, strategy) group by 1, 2
+union all select sample, strategy, 1, coalesce(min(rank) filter (lang = 'fr' or source = 'src' || (sample + 3) % 20), 0) from sm left join hi using (sample, strategy) group by 1, 2)"""
 _METRICS = f"{_RANKS}, me as (select sample, strategy, round(avg((rank between 1 and 3)::int), 4) as recall_3, round(avg((rank between 1 and 5)::int), 4) as recall_5, round(avg((rank between 1 and 10)::int), 4) as recall_10, round(avg(case when rank > 0 then 1.0 / rank else 0 end), 4) as mrr from rk group by 1, 2)"
 
 
 @add("e1_hit_ranks", f"with {_RANKS} select sample, strategy, target::bigint as target, rank::bigint as rank from rk")
 def e1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.hit_ranks(samples(spark, sf_dir), hits(spark, sf_dir)).withColumn("target", F.col("target").cast("long"))
+    return E.hit_ranks(samples(spark, sf_dir), hits(spark, sf_dir), list(R.STRATEGIES)).withColumn("target", F.col("target").cast("long"))
 
 
 @add("e2_recall_mrr", f"with {_METRICS} select * from me")
 def e2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.recall_mrr(E.hit_ranks(samples(spark, sf_dir), hits(spark, sf_dir)))
+    return E.recall_mrr(E.hit_ranks(samples(spark, sf_dir), hits(spark, sf_dir), list(R.STRATEGIES)))
 
 
 def _answer(i: Column) -> Column:
@@ -344,7 +347,7 @@ def bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BUCKETED = f"{_METRICS}, bu as (select strategy, ['A_policy', 'B_model', 'C_colloquial', 'E_multi', 'D_absent'][sample % 5 + 1] as bucket, recall_3, recall_5, recall_10, mrr, 1.0::double as faithful, (sample % 2)::double as refused from me)"
-_AVG = ", ".join(f"round(avg({c}) filter (bucket <> 'D_absent') + 1e-9, 4) as {c}" for c in ("recall_3", "recall_5", "recall_10", "mrr", "faithful"))
+_AVG = ", ".join(f"((2 * sum(round({c} * 10000)::bigint) filter (bucket <> 'D_absent') + count(*) filter (bucket <> 'D_absent')) // (2 * count(*) filter (bucket <> 'D_absent')))::bigint / 10000.0::double as {c}" for c in ("recall_3", "recall_5", "recall_10", "mrr", "faithful"))
 _BY = f"{_BUCKETED}, by_b as (select strategy, bucket, count(*) as n, {_AVG}, round(avg(refused) filter (bucket = 'D_absent'), 4) as refusal_rate from bu group by 1, 2 union all select strategy, 'overall', count(*), {_AVG}, round(avg(refused) filter (bucket = 'D_absent'), 4) from bu group by 1)"
 
 
