@@ -70,7 +70,8 @@ COLUMNS = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 @pytest.mark.parametrize(("seed", "shards", "cells", "block", "longest"), [(1, 4, 1 << 22, 1 << 20, 3), (2, 2, 8, 50, 3), (3, 1, 97, 500, 4)])
 def test_collocations(spark, monkeypatch, seed, shards, cells, block, longest):
-    monkeypatch.setattr(collocations.counted, "__defaults__", (3, block))
+    monkeypatch.setattr(collocations.counted, "__defaults__", (block,))
+    monkeypatch.setattr(collocations.frequencies, "__defaults__", (*collocations.frequencies.__defaults__[:-1], 5000))
     rows = made(seed, 400)
     got = collocations.mine(frame(spark, rows), longest=longest, shards=shards, cells=cells).collect()
     want = collocations_by_hand(rows, longest=longest)
@@ -91,7 +92,7 @@ def test_collocations_count_one_cycle(spark, monkeypatch):
 
 def test_collocations_exact_beyond_64_bits(spark, monkeypatch):
     big = 3_000_000_000
-    rows = [("en", 1, "a", big), ("en", 1, "b", big + 1), ("en", 2, "a b", big - 1)]
+    rows = [("en", 0, "", 9 * big), ("en", 1, "a", big), ("en", 1, "b", big + 1), ("en", 2, "a b", big - 1)]
     monkeypatch.setattr(collocations, "frequencies", lambda *a: spark.createDataFrame(rows, "lang string, words int, phrase string, n long"))
     r = collocations.mine(spark.createDataFrame([], SCHEMA)).first()
     assert r["score"] == 1_000_000 * (big - 1) ** 2 // (big * (big + 1))

@@ -12,7 +12,8 @@ its cells. Cells are never changed again, so that every task at every time deriv
 that phrases share can only make a phrase active early, or one that needn't be: its count is then of another full cycle,
 and as exact. So the table's size bounds what is sent and decides on speed, never on results.
 
-Each step writes its shard's counts; counts that add up to a phrase's frequency are summed over the steps.
+Counts are packed by ranges of the phrases' hashes: a task packs what it counted into a row for each range, and a range
+adds its rows to what it had from earlier steps. Phrases are told apart by their words, never by hashes.
 
 Cases: null text is empty and null lang `und`; ties are ranked by count, then by the phrase's bytes; repeated rows count
 once per row; fewer documents than shards leave shards empty; an empty table gives no row. Words hold no space, so phrases
@@ -21,22 +22,27 @@ joined by spaces are told apart. Other columns, whatever their names, are ignore
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import count as steps_from
 
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import batch_rows, new_path, table
 from .hashing import _BASE, mixed
+from .lm_score import _range, packed, unpacked
 
 #: Parameters: words of a phrase, occurrences that make one frequent, share of a longer phrase that drops a shorter one (in
-#: hundredths), phrases reported of a language; shards, words counted at once, cells and hashes of the table of steps.
-LONGEST, LEAST, CONTAINED, TOP, SHARDS, BLOCK_WORDS, CELLS, PROBES = 3, 10, 50, 2000, 3, 1 << 20, 1 << 22, 2
+#: hundredths), phrases reported of a language; shards, words counted at once, cells and hashes of the table of steps,
+#: bytes of the texts behind a range.
+LONGEST, LEAST, CONTAINED, TOP, SHARDS, BLOCK_WORDS, CELLS, PROBES, RANGE_BYTES = 3, 10, 50, 2000, 3, 1 << 20, 1 << 22, 2, 8 << 20
 #: What ends a piece; the byte that stands for it between words, which no text has.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _BREAK = b"\xff"
@@ -47,7 +53,7 @@ _to_breaks = bytes(255 if i in _ENDS else i + 32 if 65 <= i <= 90 else 32 if i =
 def words(text: str | None) -> list[bytes]:
     """Lower-case words; a break stands where a piece ends."""
     b = (text or "").encode("utf-8", "surrogatepass").translate(_to_breaks).replace(_BREAK, b" \xff ")
-    return [w for w in b.split(b" ") if w]
+    return b.split()  # at spaces: the other blanks are breaks by now
 
 
 def _cells(h: np.ndarray, cells: int) -> list[np.ndarray]:
@@ -73,15 +79,30 @@ def _steps(seen: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.max([seen[c] for c in _cells(h, len(seen))], axis=0)
 
 
-def _phrases(at: np.ndarray, names: list[tuple[bytes, bytes]], seen: list[np.ndarray], step: int, shards: int, longest: int) -> Iterator[pd.DataFrame]:
-    """Counts of the active phrases of a block. at: word numbers, 0 where a piece ends; names: (lang, word) of each number."""
-    h = _word_hashes(*zip(*names, strict=True))
+def _packed(length: int, keys: np.ndarray, h: np.ndarray, n: np.ndarray, ranges: int) -> pd.DataFrame:
+    """A row for each range of hashes: keys (language, tab, phrase) in order of their bytes, and counts."""
+    order = np.argsort(keys, kind="stable")
+    r = _range(h, ranges)[order]
+    by_range = np.argsort(r, kind="stable")
+    order, r = order[by_range], r[by_range]
+    cut = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])).tolist() + [len(r)]
+    rows = [(length, int(r[i]), zstandard.compress(b"\n".join(keys[order[i:j]]), 3), packed(n[order[i:j]])) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    return pd.DataFrame(rows, columns=["words", "range", "phrases", "counts"])
+
+
+_ROW = "words int, range long, phrases binary, counts binary"
+
+
+def _phrases(at: np.ndarray, names: list[tuple[bytes, bytes]], seen: list[np.ndarray], step: int, shards: int, longest: int, ranges: int) -> Iterator[pd.DataFrame]:
+    """Counts of the active phrases of a block. at: word numbers, 0 where a piece ends; names: (language, word) of each number."""
+    langs, own_words = (np.array(x, object) for x in zip(*names, strict=True))
+    h = _word_hashes(langs, own_words)
     if step < shards:
         n = np.bincount(at, minlength=len(names))
         some = np.flatnonzero(n)
         some = some[some > 0]
         if len(some):
-            yield pd.DataFrame({"lang": [names[i][0].decode() for i in some], "words": 1, "phrase": [names[i][1].decode("utf-8", "surrogatepass") for i in some], "n": n[some]})
+            yield _packed(1, langs[some] + b"\t" + own_words[some], h[some], n[some], ranges)
     # Of the length below: where its phrases end, their hashes and the steps in which they were found often enough.
     end, own, number = np.flatnonzero(at), h[at], at
     found = np.full(len(at), _NEVER, np.int64)
@@ -100,8 +121,10 @@ def _phrases(at: np.ndarray, names: list[tuple[bytes, bytes]], seen: list[np.nda
             order = np.argsort(own_key, kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], own_key[order][1:] != own_key[order][:-1]]))
             first, n = place[order[cut]], np.diff(np.append(cut, len(own_key)))
-            said = [b" ".join([names[at[i - j]][1] for j in range(k - 1, -1, -1)]).decode("utf-8", "surrogatepass") for i in first.tolist()]
-            yield pd.DataFrame({"lang": [names[at[i]][0].decode() for i in first.tolist()], "words": k, "phrase": said, "n": n})
+            said = langs[at[first]] + b"\t" + own_words[at[first - k + 1]]
+            for j in range(k - 2, -1, -1):
+                said = said + b" " + own_words[at[first - j]]
+            yield _packed(k, said, longer[first], n, ranges)
         if k < longest:
             found = np.full(len(at), _NEVER, np.int64)
             found[reached] = _steps(seen[k - 1], longer[reached])
@@ -109,8 +132,8 @@ def _phrases(at: np.ndarray, names: list[tuple[bytes, bytes]], seen: list[np.nda
             number[reached] = np.unique(key[reached], return_inverse=True)[1]
 
 
-def counted(shard: DataFrame, seen: list[np.ndarray], step: int, shards: int, longest: int = LONGEST, block: int = BLOCK_WORDS) -> DataFrame:
-    """(lang, words, phrase, n) of the phrases active in this step; shard (lang, text)."""
+def counted(shard: DataFrame, seen: list[np.ndarray], step: int, shards: int, longest: int, ranges: int, block: int = BLOCK_WORDS) -> DataFrame:
+    """Packed counts of the phrases active in this step, in parts that add up; shard (lang, text)."""
     sent = shard.sparkSession.sparkContext.broadcast(seen)  # (longest - 1) * CELLS bytes
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,76 +143,110 @@ def counted(shard: DataFrame, seen: list[np.ndarray], step: int, shards: int, lo
             for lang, text in zip(p["lang"], p["text"], strict=True):
                 own = words(text)
                 of = numbers.setdefault(lang, {_BREAK: 0})
-                for w in dict.fromkeys(own):
-                    if w not in of:
-                        of[w] = len(names)
-                        names.append((lang.encode(), w))
+                new = [w for w in dict.fromkeys(own) if w not in of]
+                of.update(zip(new, range(len(names), len(names) + len(new)), strict=True))
+                lang_name = json.dumps(lang).encode()  # without tab or line break
+                names.extend((lang_name, w) for w in new)
                 at.append(np.fromiter(map(of.__getitem__, own), np.int64, len(own)))
                 at.append(np.zeros(1, np.int64))
                 held += len(own) + 1
                 if held >= block:
-                    yield from _phrases(np.concatenate(at), names, sent.value, step, shards, longest)
+                    yield from _phrases(np.concatenate(at), names, sent.value, step, shards, longest, ranges)
                     at, numbers, names, held = [np.zeros(1, np.int64)], {}, [(b"", b"")], 0
         if held:
-            yield from _phrases(np.concatenate(at), names, sent.value, step, shards, longest)
+            yield from _phrases(np.concatenate(at), names, sent.value, step, shards, longest, ranges)
 
-    return shard.mapInPandas(run, "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    return shard.mapInPandas(run, _ROW)
 
 
-def _reached(frequent: DataFrame, cells: int) -> np.ndarray:
-    """Cells of the hashes of frequent phrases of one length (lang, phrase); at most `cells` numbers come back."""
-    width = min(cells, 1 << 16)
+def _keys(phrases: bytes) -> list[bytes]:
+    return zstandard.decompress(phrases).split(b"\n")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in filter(len, parts):
-            langs = [x.encode() for x in p["lang"]]
-            first, *rest = zip(*(x.encode("utf-8", "surrogatepass").split(b" ") for x in p["phrase"]), strict=True)
-            h = _word_hashes(langs, first)
-            for w in rest:
-                h = _joined(h, _word_hashes(langs, w))
-            c = np.unique(np.concatenate(_cells(h, cells)))
-            yield pd.DataFrame({"block": c // width, "cell": (c % width).astype(np.int32)})
 
+def _hashes(keys: list[bytes], length: int) -> np.ndarray:
+    langs, said = zip(*(k.split(b"\t") for k in keys), strict=True)
+    first, *rest = zip(*(x.split(b" ") for x in said), strict=True)
+    h = _word_hashes(langs, first)
+    for w in rest:
+        h = _joined(h, _word_hashes(langs, w))
+    return h
+
+
+def merged(p: pd.DataFrame, least: int, cells: int) -> pd.DataFrame:
+    """Of one length and range: the sums of all parts, and the cells of what is frequent."""
+    total: dict[bytes, int] = {}
+    for phrases, counts in zip(p["phrases"], p["counts"], strict=True):
+        keys, n = _keys(phrases), unpacked(counts, np.int64).tolist()
+        if total:
+            get = total.get
+            total.update([(k, get(k, 0) + x) for k, x in zip(keys, n, strict=True)])  # a part has each key once
+        else:
+            total = dict(zip(keys, n, strict=True))
+    keys = sorted(total)
+    frequent = [k for k in keys if total[k] >= least]
+    found = np.unique(np.concatenate(_cells(_hashes(frequent, p["words"].iloc[0]), cells))) if frequent else np.zeros(0, np.int64)
+    n = np.fromiter(map(total.__getitem__, keys), np.int64, len(keys))
+    return pd.DataFrame({"words": p["words"].iloc[:1], "range": p["range"].iloc[:1], "phrases": [zstandard.compress(b"\n".join(keys), 3)], "counts": [packed(n)], "cells": [found]})
+
+
+def _reached(sums: DataFrame, cells: int) -> dict[int, np.ndarray]:
+    """Of each length the cells that its frequent phrases have; at most `cells` numbers come back of a length."""
+    width = min(cells, 1 << 16)
+    each = sums.select("words", F.explode("cells").alias("cell"))
     # At most `width` cells of a block, four bytes each.
-    rows = frequent.select("lang", "phrase").mapInPandas(run, "block long, cell int").groupBy("block").agg(F.collect_set("cell").alias("cells")).toArrow()
-    out = np.zeros(-(-cells // width) * width, bool)
-    for block, own in zip(rows["block"].to_pylist(), rows["cells"], strict=True):
-        out[block * width + own.values.to_numpy()] = True
-    return out[:cells]
+    rows = each.groupBy("words", F.expr(f"cell div {width}").alias("block")).agg(F.collect_set(F.expr(f"cast(cell % {width} as int)")).alias("cells")).toArrow()
+    out: dict[int, np.ndarray] = {}
+    for length, block, own in zip(rows["words"].to_pylist(), rows["block"].to_pylist(), rows["cells"], strict=True):
+        out.setdefault(length, np.zeros(-(-cells // width) * width, bool))[block * width + own.values.to_numpy()] = True
+    return {k: v[:cells] for k, v in out.items()}
 
 
-def frequencies(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, cells: int = CELLS) -> DataFrame:
-    """(lang, words, phrase, n): counts by step that add up; whole for every word and every phrase found `least` times."""
+def frequencies(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, cells: int = CELLS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(lang, words, phrase, n): every word and phrase found `least` times; words 0: all words of the language."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     path = new_path(spark, "shards")
     # Equal texts are told apart by their place, so that a large group of copies doesn't make one shard large.
     rows.withColumn("shard", F.expr(f"cast(pmod(xxhash64(text, monotonically_increasing_id()), {shards}) as int)")).write.partitionBy("shard").parquet(path)
     kept = spark.read.schema("lang string, text string, shard int").parquet(path)
+    ranges = max(1, -(-(kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // range_bytes))
     seen = [np.full(cells, _NEVER, np.uint8) for _ in range(longest - 1)]
-    counts: list[DataFrame] = []
+    sums: dict[int, DataFrame] = {}
     last = [-1] * (longest - 1)  # the last step in which a cell of each length was written
     for step in steps_from():
         if step >= shards and step > max(last) + shards:
             break
-        with batch_rows(spark, 256):
-            counts.append(table(counted(kept.filter(F.col("shard") == step % shards).select("lang", "text"), seen, step, shards, longest), "phrase-counts"))
-        for k in range(1, longest):
-            # Words are found in the first cycle; longer phrases while those of their subphrases' last activation are counted.
-            if step < shards if k == 1 else step <= last[k - 2] + shards:
-                so_far = _summed(counts, f"words = {k}").filter(F.col("n") >= least)
-                new = _reached(so_far, cells) & (seen[k - 1] == _NEVER)
-                if new.any():
-                    seen[k - 1] = np.where(new, np.uint8(step), seen[k - 1])
-                    last[k - 1] = step
-    return _summed(counts, "true")
-
-
-def _summed(counts: list[DataFrame], which: str) -> DataFrame:
-    every = counts[0]
-    for c in counts[1:]:
-        every = every.unionByName(c)
-    return every.filter(which).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+        # Words are counted in the first cycle, longer phrases until a cycle after the last activation by their subphrases.
+        open_ = [k for k in range(1, longest + 1) if (step < shards if k == 1 else step <= last[k - 2] + shards)]
+        with batch_rows(spark, 64):  # packed rows are large
+            parts = counted(kept.filter(F.col("shard") == step % shards).select("lang", "text"), seen, step, shards, longest, ranges)
+            for k in open_:
+                parts = parts.unionByName(sums[k].select("words", "range", "phrases", "counts")) if k in sums else parts
+            now = table(parts.groupBy("words", "range").applyInPandas(lambda p: merged(p, least, cells), f"{_ROW}, cells array<long>"), "phrase-counts")
+        sums |= {k: now.filter(F.col("words") == k) for k in open_}
+        for k, own in _reached(now.filter(F.col("words") < longest), cells).items():
+            new = own & (seen[k - 1] == _NEVER)
+            if new.any():
+                seen[k - 1] = np.where(new, np.uint8(step), seen[k - 1])
+                last[k - 1] = step
+
+    def told(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for length, phrases, counts in zip(p["words"], p["phrases"], p["counts"], strict=True):
+                n = unpacked(counts, np.int64)
+                langs, said = zip(*(k.split(b"\t") for k in _keys(phrases)), strict=True)
+                some = np.flatnonzero(n >= least).tolist()
+                out = [(json.loads(langs[i]), length, said[i].decode("utf-8", "surrogatepass"), int(n[i])) for i in some]
+                if length == 1:
+                    every: dict[bytes, int] = {}
+                    for x, c in zip(langs, n.tolist(), strict=True):
+                        every[x] = every.get(x, 0) + c
+                    out += [(json.loads(x), 0, "", c) for x, c in every.items()]
+                yield pd.DataFrame(out, columns=["lang", "words", "phrase", "n"])
+
+    whole = reduce(DataFrame.unionByName, sums.values()).mapInPandas(told, "lang string, words int, phrase string, n long")
+    with batch_rows(spark, 16):
+        return table(whole.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")), "phrases")
 
 
 def _part(first: Column, n: Column) -> Column:
@@ -198,9 +255,9 @@ def _part(first: Column, n: Column) -> Column:
 
 def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, contained: int = CONTAINED, top: int = TOP, shards: int = SHARDS, cells: int = CELLS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases by their weakest cut."""
-    sums = table(frequencies(docs, text, lang, least, longest, shards, cells), "phrases")
-    total = sums.filter("words = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-    found = sums.filter(F.col("n") >= least)
+    sums = frequencies(docs, text, lang, least, longest, shards, cells)
+    total = sums.filter("words = 0").select("lang", F.col("n").alias("total"))
+    found = sums.filter("words > 0")
     phrases = found.filter("words > 1").withColumnRenamed("n", "a")
     cuts = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
     cuts = cuts.withColumn("left", _part(F.lit(1), F.col("k"))).withColumn("right", _part(F.col("k") + 1, F.col("words") - F.col("k")))
