@@ -29,6 +29,8 @@ from itertools import count as steps_from
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -79,15 +81,25 @@ def _steps(seen: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.max([seen[c] for c in _cells(h, len(seen))], axis=0)
 
 
-def _packed(length: int, keys: np.ndarray, h: np.ndarray, n: np.ndarray, ranges: int) -> pd.DataFrame:
+def _packed(length: int, keys: pa.Array, h: np.ndarray, n: np.ndarray, ranges: int) -> pd.DataFrame:
     """A row for each range of hashes: keys (language, tab, phrase) in order of their bytes, and counts."""
-    order = np.argsort(keys, kind="stable")
-    r = _range(h, ranges)[order]
-    by_range = np.argsort(r, kind="stable")
-    order, r = order[by_range], r[by_range]
-    cut = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])).tolist() + [len(r)]
-    rows = [(length, int(r[i]), zstandard.compress(b"\n".join(keys[order[i:j]]), 3), packed(n[order[i:j]])) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-    return pd.DataFrame(rows, columns=["words", "range", "phrases", "counts"])
+    r = _range(h, ranges)
+    order = pc.sort_indices(pa.table({"r": r, "k": keys}), sort_keys=[("r", "ascending"), ("k", "ascending")]).to_numpy()
+    r, n = r[order], n[order]
+    cut = np.append(np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])), len(r))
+    joined = _lines(keys.take(pa.array(order)), cut)
+    return pd.DataFrame({"words": length, "range": r[cut[:-1]], "phrases": [zstandard.compress(x, 3) for x in joined], "counts": [packed(n[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]})
+
+
+def _lines(keys: pa.Array, cut: np.ndarray) -> list[bytes]:
+    """Keys between neighbouring cuts, joined by line breaks."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), keys), b"\n").to_pylist()
+
+
+def _named(parts: list[pa.Array]) -> pa.Array:
+    """Language, tab, words with spaces between."""
+    said = pc.binary_join_element_wise(*parts[1:], b" ") if len(parts) > 2 else parts[1]
+    return pc.binary_join_element_wise(parts[0], said, b"\t")
 
 
 _ROW = "words int, range long, phrases binary, counts binary"
@@ -95,14 +107,15 @@ _ROW = "words int, range long, phrases binary, counts binary"
 
 def _phrases(at: np.ndarray, names: list[tuple[bytes, bytes]], seen: list[np.ndarray], step: int, shards: int, longest: int, ranges: int) -> Iterator[pd.DataFrame]:
     """Counts of the active phrases of a block. at: word numbers, 0 where a piece ends; names: (language, word) of each number."""
-    langs, own_words = (np.array(x, object) for x in zip(*names, strict=True))
+    langs, own_words = (list(x) for x in zip(*names, strict=True))
     h = _word_hashes(langs, own_words)
+    langs, own_words = pa.array(langs, pa.binary()), pa.array(own_words, pa.binary())
     if step < shards:
         n = np.bincount(at, minlength=len(names))
         some = np.flatnonzero(n)
         some = some[some > 0]
         if len(some):
-            yield _packed(1, langs[some] + b"\t" + own_words[some], h[some], n[some], ranges)
+            yield _packed(1, _named([langs.take(pa.array(some)), own_words.take(pa.array(some))]), h[some], n[some], ranges)
     # Of the length below: where its phrases end, their hashes and the steps in which they were found often enough.
     end, own, number = np.flatnonzero(at), h[at], at
     found = np.full(len(at), _NEVER, np.int64)
@@ -111,8 +124,10 @@ def _phrases(at: np.ndarray, names: list[tuple[bytes, bytes]], seen: list[np.nda
         start = np.maximum(found[:-1], found[1:])  # of (i - 1, i): both subphrases
         active = (start < step) & (step <= start + shards)  # active from start + 1 on
         place = np.flatnonzero(active & (at[1:] != 0)) + 1
-        longer = np.zeros(len(at), np.uint64)
         reached = np.flatnonzero((start != _NEVER) & (at[1:] != 0)) + 1
+        if not len(reached):
+            return
+        longer = np.zeros(len(at), np.uint64)
         longer[reached] = _joined(own[reached - 1], h[at[reached]])
         key = np.full(len(at), -1)
         key[1:] = number[:-1] * len(names) + at[1:]  # numbers of this block, so that no two phrases are taken for one
@@ -121,10 +136,8 @@ def _phrases(at: np.ndarray, names: list[tuple[bytes, bytes]], seen: list[np.nda
             order = np.argsort(own_key, kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], own_key[order][1:] != own_key[order][:-1]]))
             first, n = place[order[cut]], np.diff(np.append(cut, len(own_key)))
-            said = langs[at[first]] + b"\t" + own_words[at[first - k + 1]]
-            for j in range(k - 2, -1, -1):
-                said = said + b" " + own_words[at[first - j]]
-            yield _packed(k, said, longer[first], n, ranges)
+            said = [langs.take(pa.array(at[first])), *(own_words.take(pa.array(at[first - j])) for j in range(k - 1, -1, -1))]
+            yield _packed(k, _named(said), longer[first], n, ranges)
         if k < longest:
             found = np.full(len(at), _NEVER, np.int64)
             found[reached] = _steps(seen[k - 1], longer[reached])
@@ -159,8 +172,8 @@ def counted(shard: DataFrame, seen: list[np.ndarray], step: int, shards: int, lo
     return shard.mapInPandas(run, _ROW)
 
 
-def _keys(phrases: bytes) -> list[bytes]:
-    return zstandard.decompress(phrases).split(b"\n")
+def _keys(phrases: bytes) -> pa.Array:
+    return pc.list_flatten(pc.split_pattern(pa.array([zstandard.decompress(phrases)], pa.binary()), b"\n"))
 
 
 def _hashes(keys: list[bytes], length: int) -> np.ndarray:
@@ -174,19 +187,12 @@ def _hashes(keys: list[bytes], length: int) -> np.ndarray:
 
 def merged(p: pd.DataFrame, least: int, cells: int) -> pd.DataFrame:
     """Of one length and range: the sums of all parts, and the cells of what is frequent."""
-    total: dict[bytes, int] = {}
-    for phrases, counts in zip(p["phrases"], p["counts"], strict=True):
-        keys, n = _keys(phrases), unpacked(counts, np.int64).tolist()
-        if total:
-            get = total.get
-            total.update([(k, get(k, 0) + x) for k, x in zip(keys, n, strict=True)])  # a part has each key once
-        else:
-            total = dict(zip(keys, n, strict=True))
-    keys = sorted(total)
-    frequent = [k for k in keys if total[k] >= least]
+    parts = [pa.table({"k": _keys(phrases), "n": unpacked(counts, np.int64)}) for phrases, counts in zip(p["phrases"], p["counts"], strict=True)]
+    total = pa.concat_tables(parts).group_by("k", use_threads=False).aggregate([("n", "sum")]).sort_by("k")
+    keys, n = total["k"].combine_chunks(), total["n_sum"].to_numpy()
+    frequent = keys.filter(pa.array(n >= least)).to_pylist()
     found = np.unique(np.concatenate(_cells(_hashes(frequent, p["words"].iloc[0]), cells))) if frequent else np.zeros(0, np.int64)
-    n = np.fromiter(map(total.__getitem__, keys), np.int64, len(keys))
-    return pd.DataFrame({"words": p["words"].iloc[:1], "range": p["range"].iloc[:1], "phrases": [zstandard.compress(b"\n".join(keys), 3)], "counts": [packed(n)], "cells": [found]})
+    return pd.DataFrame({"words": p["words"].iloc[:1], "range": p["range"].iloc[:1], "phrases": [zstandard.compress(x, 3) for x in _lines(keys, np.array([0, len(keys)]))], "counts": [packed(n)], "cells": [found]})
 
 
 def _reached(sums: DataFrame, cells: int) -> dict[int, np.ndarray]:
@@ -233,15 +239,13 @@ def frequencies(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     def told(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             for length, phrases, counts in zip(p["words"], p["phrases"], p["counts"], strict=True):
-                n = unpacked(counts, np.int64)
-                langs, said = zip(*(k.split(b"\t") for k in _keys(phrases)), strict=True)
-                some = np.flatnonzero(n >= least).tolist()
-                out = [(json.loads(langs[i]), length, said[i].decode("utf-8", "surrogatepass"), int(n[i])) for i in some]
+                keys, n = _keys(phrases), unpacked(counts, np.int64)
+                some = n >= least
+                said = (k.split(b"\t") for k in keys.filter(pa.array(some)).to_pylist())
+                out = [(json.loads(x), length, y.decode("utf-8", "surrogatepass"), c) for (x, y), c in zip(said, n[some].tolist(), strict=True)]
                 if length == 1:
-                    every: dict[bytes, int] = {}
-                    for x, c in zip(langs, n.tolist(), strict=True):
-                        every[x] = every.get(x, 0) + c
-                    out += [(json.loads(x), 0, "", c) for x, c in every.items()]
+                    own = pa.table({"lang": pc.list_element(pc.split_pattern(keys, b"\t"), 0), "n": n}).group_by("lang", use_threads=False).aggregate([("n", "sum")])
+                    out += [(json.loads(x), 0, "", c) for x, c in zip(own["lang"].to_pylist(), own["n_sum"].to_pylist(), strict=True)]
                 yield pd.DataFrame(out, columns=["lang", "words", "phrase", "n"])
 
     whole = reduce(DataFrame.unionByName, sums.values()).mapInPandas(told, "lang string, words int, phrase string, n long")
