@@ -11,8 +11,8 @@ Equal vectors of a label are one vector with a weight. A cell of more than TILE
 of chunks is a task of its own, so a hot cell spreads; nothing is dropped.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite numbers, and null labels, link with nothing; vectors
-of different length link with nothing; rows that repeat a vec_id count as vectors of their own and give one row each; an empty table
-gives none. Other columns, whatever their names, are ignored.
+of different length link with nothing; rows that repeat a vec_id are vectors of their own: links are between vectors, and ids
+only name components; an empty table gives none. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -149,14 +149,18 @@ def dedup(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
     bad = "exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
     linkable = F.expr(f"coalesce(id is not null and label is not null and size(v) > 0 and not {bad} and exists(v, x -> x <> 0), false)")
+    # A different vector of a label is a node; its number has nothing to do with the ids, which may repeat.
     same = rows.filter(linkable).groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
-    placed = table(cells(same.select("label", F.col("rep").alias("id"), "weight", "v"), least, blocks), "cells")
+    same = table(same.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    placed = table(cells(same.select("label", F.col("node").alias("id"), "weight", "v"), least, blocks), "cells")
     found = tiles(placed, tile).groupBy(*_TILE_KEY, "i", "j").applyInPandas(lambda p: compare(p, least, blocks), "a long, b long, links long")
     found = table(found, "vector-links")
     counts = found.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     groups = components(found.filter("b is not null").select("a", "b"))
-    facts = same.join(counts, F.col("rep") == F.col("a"), "left").drop("a").join(groups, F.col("rep") == F.col("node"), "left")
-    facts = facts.select(F.col("label").alias("l"), F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    groups = same.select("node", "rep").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = groups.groupBy("component").agg(F.min("rep").alias("component_id"))
+    facts = same.select("label", "v", "node", "weight").join(groups.select("node", "component").join(names, "component"), "node").join(counts, F.col("node") == F.col("a"), "left")
+    facts = facts.select(F.col("label").alias("l"), F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
     out = rows.withColumn("ok", linkable).join(facts, F.col("ok") & (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")), "left")
     out = out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
