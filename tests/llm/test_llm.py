@@ -86,7 +86,7 @@ def test_language_by_hand(spark, docs, rows, monkeypatch, sent):
     pieces = {l: [language_id.plain(r["text"]) for r in rows if r["lang"] == l and r["text"] is not None and zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 4 != 2] for l in d}
     for l in d:
         held = [e for e in map(language_id.excerpt, pieces[l]) if e in d[l]]
-        assert len(held) > 3 and len(d[l]) <= language_id.DICTIONARY_BYTES and sum(map(len, held)) >= len(d[l])
+        assert len(held) > 3 and len(d[l]) <= language_id.SAMPLE_TEXTS * language_id.EXCERPT and sum(map(len, held)) >= len(d[l])
     long = bytes(range(256)) * 100
     assert language_id.excerpt(long)[-320:] == long[-320:] and len(language_id.excerpt(long)) == 1280 and language_id.excerpt(b"short") == b"short"
 
@@ -294,6 +294,25 @@ def test_vectors(spark, tile):
     assert vector_dedup.dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_vectors_of_repeated_ids(spark):
+    """Rows that repeat an id are vectors of their own, linked or not; ids only name components."""
+    schema = "vec_id long, embedding array<double>, label int"
+
+    def got(rows):
+        return sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup.dedup(spark.createDataFrame(rows, schema)).collect())
+
+    assert got([(5, [1.0, 0.0], 0), (5, [0.0, 1.0], 0), (9, [1.0, 0.01], 0)]) == [(5, 0, 5, True), (5, 1, 5, True), (9, 1, 5, False)]
+    assert got([(5, [1.0, 0.0], 0), (5, [1.0, 0.01], 0)]) == [(5, 1, 5, True)] * 2
+    assert got([(7, [1.0, 0.0], 0), (7, [1.0, 0.0], 0), (7, [1.0, 0.0], 1), (3, [0.0, 1.0], 1), (7, [0.0, 1.0], 1)]) == [(3, 1, 3, True), (7, 0, 7, True), (7, 1, 3, False), (7, 1, 7, True), (7, 1, 7, True)]
+
+
+def test_language_learns_all_that_it_picks(spark):
+    """A dictionary is what the picked rows give, all of it; a language of fewer than 8 bytes isn't learned."""
+    rows = [(i, f"word{chr(97 + i % 26)} " * 400, "xx") for i in range(400)] + [(1000 + i, "ab", "yy") for i in range(2)]
+    d = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(d) == {"xx"} and len(d["xx"]) % language_id.EXCERPT == 0 and 60 * language_id.EXCERPT <= len(d["xx"]) <= language_id.SAMPLE_TEXTS * language_id.EXCERPT
+
+
 def test_packing(docs, rows, empty):
     got = packing.pack_documents(docs, group_rows=60).collect()
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())

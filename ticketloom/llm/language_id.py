@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, table
 
 UNKNOWN = "und"
-#: Parameters: bytes of each dictionary, labelled rows that a language is learned from at most, bytes that each of them
-#: gives and bytes of a piece of those, compression level, bytes compressed at a time, least relative margin, dictionaries
+#: Parameters: labelled rows that a language is learned from at most, bytes that each of them gives and bytes of a piece
+#: of those (so a dictionary has SAMPLE_TEXTS * EXCERPT bytes at most), compression level, bytes compressed at a time, least relative margin, dictionaries
 #: sent to the tasks at once.
-DICTIONARY_BYTES, SAMPLE_TEXTS, EXCERPT, PIECE, LEVEL, CHUNK, MIN_MARGIN, SENT = 100 << 10, 160, 1280, 320, 6, 2048, 0.004, 500
+SAMPLE_TEXTS, EXCERPT, PIECE, LEVEL, CHUNK, MIN_MARGIN, SENT = 80, 1280, 320, 6, 2048, 0.004, 500
+#: zstandard takes a dictionary of 8 bytes or more.
+_LEAST_BYTES = 8
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -48,7 +50,8 @@ def excerpt(text: bytes, room: int = EXCERPT, piece: int = PIECE) -> bytes:
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """A dictionary of raw content for each language, from SAMPLE_TEXTS hash-picked rows that are not held out.
 
-    The bound is on labelled rows: of each, the whole text is read, and a long one gives pieces from all over it.
+    The bound is on labelled rows: of each, the whole text is read, and a long one gives pieces from all over it; all that
+    they give is the dictionary. A language whose rows give less than 8 bytes has none and is never predicted.
     """
     bounded_batches(docs.sparkSession)
     train = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.col(lang).alias("l"), held_out(doc_id).alias("out"))
@@ -65,7 +68,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     content: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["l"], r["h"])):
         content.setdefault(r["l"], []).append(bytes(r["d"]))
-    return {k: b"".join(v)[:DICTIONARY_BYTES] for k, v in content.items() if len(b"".join(v)) >= 8}
+    return {k: d for k, v in content.items() if len(d := b"".join(v)) >= _LEAST_BYTES}
 
 
 def sizes(dictionaries: dict[str, bytes]) -> Callable[[str | None], list[tuple[int, str]]]:
