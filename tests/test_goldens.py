@@ -161,7 +161,7 @@ def test_split_sizes_and_leakage(spark):
     assert {(r["l"], r["split"]): r["count"] for r in s.groupBy(F.coalesce(F.try_element_at("labels", F.lit(1)), F.lit("其他")).alias("l"), "split").count().collect()} == {
         ("物流", "train"): 36, ("物流", "val"): 4, ("物流", "test"): 5, ("发票", "train"): 36, ("发票", "val"): 4, ("发票", "test"): 5, ("其他", "train"): 8, ("其他", "val"): 1, ("其他", "test"): 1,
     }
-    assert D.leakage(rows.withColumn("split", F.when(F.col("id") < 95, "train").otherwise("val")), "text").first()["train_val"] == 5
+    assert D.leakage(rows.withColumn("split", F.when(F.col("id") < 95, "train").otherwise("val")), "text", id="id").first()["train_val"] == 5
 
 
 def test_augmentation_keeps_labels_and_new_texts(spark):

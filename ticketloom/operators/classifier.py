@@ -61,12 +61,20 @@ def threshold_sweep(scores: DataFrame, low: int = 30, high: int = 70, step: int
     return g.withColumn("best", F.row_number().over(W.orderBy(F.desc("micro_f1"), "threshold")) == 1)  # a row for each line
 
 
+#: A status' sign, and what is said of it.
+_SIGNS = {"pass": "✅", "fail": "❌", "none": "—"}
+_REACHED, _MISSED, _NO_LINE = "达标", "先回头搞数据 (F1: %.2f < %.2f)", "不设线（宽档）"
+
+
 def redlines(c: DataFrame) -> DataFrame:
-    """V4: (class, tier, f1, line, status): whether each class reaches its tier's F1; loose classes have no line."""
+    """V4: (class, tier, f1, line, status, symbol, message): whether each class reaches its tier's F1; loose classes have no line."""
     rows = [(x, t, line) for t, (classes, line) in TIERS.items() for x in classes]
     tiers = c.sparkSession.createDataFrame(rows, "class string, tier string, line double")
-    f1 = F.round("f1", 4)
-    return rates(c).join(F.broadcast(tiers), "class").select("class", "tier", f1.alias("f1"), "line", F.when(F.col("line").isNull(), "—").when(f1 >= F.col("line"), "pass").otherwise("fail").alias("status"))
+    f1 = F.col("f1")
+    status = F.when(F.col("line").isNull(), "none").when(f1 >= F.col("line"), "pass").otherwise("fail")
+    signs = F.create_map(*[F.lit(x) for kv in _SIGNS.items() for x in kv])
+    message = F.when(F.col("line").isNull(), _NO_LINE).when(f1 >= F.col("line"), _REACHED).otherwise(F.format_string(_MISSED, f1, "line"))
+    return rates(c).join(F.broadcast(tiers), "class").select("class", "tier", F.round("f1", 4).alias("f1"), "line", status.alias("status"), signs[status].alias("symbol"), message.alias("message"))  # 17 rows
 
 
 def errors(rows: DataFrame, truth: str = "true_labels", predicted: str = "pred_labels") -> DataFrame:

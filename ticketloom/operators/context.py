@@ -12,6 +12,8 @@ from ..functions import text as T
 from ..functions.vocab import COLLOQUIAL, CORE_INTENTS, GREETING_STARTS, GREETINGS, INTENT_ROUTES, REWRITE_PREFIXES
 from .retrieval import keyword_hits
 
+#: Ids of a range of a conversation's messages.
+RANGE_IDS = 4096
 _NAMES = {"user": "用户", "assistant": "客服", "tool": "工具"}
 
 
@@ -43,22 +45,41 @@ def layer(message_id: Column, summary_upto: Column, layer1_from: Column) -> Colu
 def layer1_anchor(messages: DataFrame, conversation: str, order: str, tokens: Column, most: Column, anchors: DataFrame | None = None) -> DataFrame:
     """(conversation, anchor, kept_tokens): the last message that must leave layer 1 for the rest to fit; null if all fit.
 
-    anchors (conversation, layer1_from): what had left before; messages up to there are out already, and the anchor stays
-    where nothing more must leave.
+    anchors (conversation, layer1_from[, summary_upto]): what had left before, or is in a summary; messages up to there are
+    not of layer 1, and the anchor stays where nothing more must leave.
+
+    Sums of ranges of ids come first, then sums within a range, so a conversation is not one task: a window holds the ranges
+    of a conversation, or the messages of a range.
     """
     m = messages.select(F.col(conversation).alias("conversation"), F.col(order).alias("o"), tokens.alias("tok"), most.alias("most"))
+    kind = dict(m.dtypes)["o"]
     if anchors is None:
-        m = m.withColumn("was", F.lit(None).cast(dict(m.dtypes)["o"]))
+        m = m.withColumn("was", F.lit(None).cast(kind)).withColumn("out", F.lit(None).cast(kind))
     else:
-        m = m.join(anchors.select("conversation", F.col("layer1_from").alias("was")), "conversation", "left")
-    here = F.col("was").isNull() | (F.col("o") > F.col("was"))
-    suffix = F.sum(F.when(here, F.col("tok")).otherwise(0)).over(W.partitionBy("conversation").orderBy(F.desc("o")).rowsBetween(W.unboundedPreceding, 0))
-    s = m.withColumn("suffix", suffix).withColumn("here", here)
+        summed = F.col("summary_upto") if "summary_upto" in anchors.columns else F.lit(None).cast(kind)
+        m = m.join(anchors.select("conversation", F.col("layer1_from").alias("was"), F.greatest("layer1_from", summed).alias("out")), "conversation", "left")
+    here = F.col("out").isNull() | (F.col("o") > F.col("out"))
+    s = newer_sums(m.withColumn("here", here), "conversation", "o", F.when(F.col("here"), F.col("tok")).otherwise(0), "suffix")
     last = F.max(F.when(F.col("here") & (F.col("suffix") > F.col("most")), F.col("o")))
     kept = F.max(F.when(F.col("here") & (F.col("suffix") <= F.col("most")), F.col("suffix")))
     return s.groupBy("conversation").agg(F.coalesce(last, F.max("was")).alias("anchor"), F.coalesce(kept, F.lit(0)).alias("kept_tokens"))
 
 
+def newer_sums(rows: DataFrame, conversation: str, order: str, value: Column, name: str, width: int = RANGE_IDS) -> DataFrame:
+    """`rows` with the sum of `value` over each row and all newer ones of its conversation; order: a whole number, different for each.
+
+    Ids are cut into ranges of `width`. A range's own sum is a partial aggregate; a window adds up the sums of a
+    conversation's newer ranges, and another the newer rows within a range.
+    """
+    r = rows.withColumn("_range", F.floor(F.col(order) / width)).withColumn("_value", value)
+    sums = r.groupBy(conversation, "_range").agg(F.sum("_value").alias("_own"))
+    newer = F.sum("_own").over(W.partitionBy(conversation).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select(F.col(conversation).alias("_c"), F.col("_range").alias("_r"), F.coalesce(newer, F.lit(0)).alias("_newer"))
+    both = r.join(sums, F.col(conversation).eqNullSafe(F.col("_c")) & F.col("_range").eqNullSafe(F.col("_r")))
+    within = F.sum("_value").over(W.partitionBy(conversation, "_range").orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0))
+    return both.withColumn(name, within + F.col("_newer")).drop("_range", "_value", "_c", "_r", "_newer")
+
+
 def layer2_text(role: Column, content: Column, tool: Column | None = None) -> Column:
     """A user's words whole, 60 characters of a reply, a fixed line for a tool's result."""
     named = F.lit("[工具查询结果已由客服消化]") if tool is None else F.when(F.coalesce(tool, F.lit("")) != "", F.concat(F.lit("[工具查询: "), tool, F.lit(", 结果已由客服消化]"))).otherwise("[工具查询结果已由客服消化]")
@@ -102,11 +123,11 @@ def fallback_tokens(content: Column) -> Column:
 
 def trimmed(messages: DataFrame, conversation: str, order: str, role: str, tokens: Column, most: int) -> DataFrame:
     """The newest messages that fit, from their first user turn on; system messages stay and aren't counted."""
-    m = messages.withColumn("_t", F.when(F.col(role) == "system", 0).otherwise(tokens))
-    suffix = F.sum("_t").over(W.partitionBy(conversation).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0))
-    m = m.withColumn("_fits", (suffix <= most) & (F.col(role) != "system"))
-    start = F.min(F.when(F.col("_fits") & (F.col(role) == "user"), F.col(order))).over(W.partitionBy(conversation))
-    return m.withColumn("_start", start).filter((F.col(role) == "system") | (F.col("_fits") & (F.col(order) >= F.col("_start")))).drop("_t", "_fits", "_start")
+    m = newer_sums(messages, conversation, order, F.when(F.col(role) == "system", 0).otherwise(tokens), "_newer_sum")
+    m = m.withColumn("_fits", (F.col("_newer_sum") <= most) & (F.col(role) != "system"))
+    start = m.filter(F.col("_fits") & (F.col(role) == "user")).groupBy(F.col(conversation).alias("_c")).agg(F.min(order).alias("_start"))
+    m = m.join(start, F.col(conversation) == F.col("_c"), "left")
+    return m.filter((F.col(role) == "system") | (F.col("_fits") & (F.col(order) >= F.col("_start")))).drop("_c", "_newer_sum", "_fits", "_start")
 
 
 def summary_ranges(messages: DataFrame, states: DataFrame, most: int) -> DataFrame:

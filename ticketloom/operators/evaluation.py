@@ -136,6 +136,15 @@ def ledger_report(ledger: DataFrame, eval_size: Column) -> DataFrame:
     return g.select("*", rate(F.col("total")).alias("judge_rate"), rate(F.col("unresolved")).alias("human_rate"))
 
 
+def ledger_cases(ledger: DataFrame, status: str | None = None, bucket: str | None = None, page: int = 1, size: int = 20, order: str = "eval_id") -> DataFrame:
+    """A page of cases, the newest by `order` first, each with its recurrent flag and the total of all pages."""
+    for c, v in (("status", status), ("bucket", bucket)):
+        ledger = ledger.filter(F.col(c) == v) if v else ledger
+    total = ledger.agg(F.count("*").alias("total"))
+    rows = ledger.orderBy(F.desc(order)).offset((page - 1) * size).limit(size)
+    return rows.withColumn("recurrent", F.coalesce(F.col("seen_count") > 1, F.lit(False))).crossJoin(F.broadcast(total))  # one row
+
+
 def cited_numbers(answer: Column) -> Column:
     """The citation numbers of an answer, distinct, in order."""
     return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[([0-9]{1,9})\]"), F.lit(1)), lambda x: x.cast("long")))

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vocab import GATE, TAXONOMY, TIERS
+from ..sources.io import stored
 from .mining import numbered
+from .textkeys import text_hash, text_keys
+
+
+#: Fixed value: the question of a vote whose conversation has none.
+UNKNOWN_QUESTION = "未知用户问题"
 
 
 def pool_rows(confidences: DataFrame, hits: DataFrame, questions: DataFrame, least: float = GATE, keep: int = 5, chars: int = 300) -> DataFrame:
@@ -19,17 +27,26 @@ def pool_rows(confidences: DataFrame, hits: DataFrame, questions: DataFrame, lea
     return weak.join(questions, "query").join(got, "query", "left").select("query", F.col("text").alias("raw_question"), F.lit("retrieval_low_conf").alias("source"), F.col("confidence"), F.coalesce(F.transform("c", lambda x: F.struct(x["text"], x["score"], x["section"])), F.expr("cast(array() as array<struct<text:string,score:double,section:string>>)")).alias("chunks"))
 
 
-def feedback_rows(votes: DataFrame, messages: DataFrame, audits: DataFrame) -> DataFrame:
-    """down-votes with their question and what the last knowledge tool call found.
+def feedback_rows(votes: DataFrame, messages: DataFrame, audits: DataFrame, chars: int = 300) -> DataFrame:
+    """(conversation, raw_question, source, chunks): down-votes with their question and what the last knowledge tool call found.
 
-    votes (conversation, query); messages (conversation, id, role, content, tool); audits (id, conversation, tool, result JSON).
+    votes (conversation, query); messages (conversation, id, role, content, tool): tool is the first call of a reply;
+    audits (id, conversation, tool, result): JSON, a list of hits or an object with hits. Hits count where the newest reply
+    of the conversation called a knowledge tool; they are those of the newest audit of such a tool. Of a hit, text, content
+    or answer, score or distance, and section or its path are taken, whichever is first and not blank; chunks are null
+    where nothing was found.
     """
-    asked = messages.groupBy("conversation").agg(F.max_by(F.when(F.col("role") == "user", F.col("content")), F.when(F.col("role") == "user", F.col("id"))).alias("last_question"))
-    calls = messages.filter((F.col("role") == "assistant") & F.col("tool").isin("query_faq", "search_knowledge")).groupBy("conversation").agg(F.max_by("tool", "id").alias("tool"))
-    seen = audits.groupBy("conversation", "tool").agg(F.max_by("result", "id").alias("result"))
-    both = votes.join(asked, "conversation", "left").join(calls, "conversation", "left").join(seen, ["conversation", "tool"], "left")
-    hits = F.from_json(F.col("result"), "array<struct<text:string,score:double,section:string>>")
-    return both.select("conversation", F.coalesce(F.nullif(T.strip(F.col("query")), F.lit("")), "last_question").alias("raw_question"), F.lit("user_feedback").alias("source"), hits.alias("chunks"))
+    tools = ["query_faq", "search_knowledge"]
+    asked = messages.groupBy("conversation").agg(F.max_by(F.when(F.col("role") == "user", F.col("content")), F.when(F.col("role") == "user", F.col("id"))).alias("last_question"), F.max_by(F.struct("tool"), F.when(F.col("role") == "assistant", F.col("id"))).alias("call"))
+    seen = audits.filter(F.col("tool").isin(tools)).groupBy("conversation").agg(F.max_by("result", "id").alias("result"))
+    both = votes.join(asked, "conversation", "left").join(seen, "conversation", "left")
+    one = "text string, content string, answer string, score double, distance double, section string, section_path string"
+    found = F.coalesce(F.from_json(F.when(F.col("result").rlike(r"^\s*\["), F.col("result")), "array<struct<" + one.replace(" string", ":string").replace(" double", ":double").replace(", ", ",") + ">>"), F.from_json(F.col("result"), "hits array<struct<" + one.replace(" string", ":string").replace(" double", ":double").replace(", ", ",") + ">>")["hits"])
+    first = lambda h, names, blank: F.coalesce(*[F.nullif(h[n], F.lit(blank)) for n in names], F.lit(blank))
+    hits = F.transform(found, lambda h: F.struct(F.substring(first(h, ("text", "content", "answer"), ""), 1, chars).alias("text"), first(h, ("score", "distance"), 0.0).alias("score"), first(h, ("section", "section_path"), "").alias("section")))
+    chunks = F.when(F.col("call.tool").isin(tools) & (F.size(hits) > 0), hits)
+    question = F.coalesce(F.nullif(T.strip(F.col("query")), F.lit("")), "last_question", F.lit(UNKNOWN_QUESTION))
+    return both.select("conversation", question.alias("raw_question"), F.lit("user_feedback").alias("source"), chunks.alias("chunks"))
 
 
 def normalised(raw: Column, model: Column, fallback: str = "") -> Column:
@@ -44,24 +61,27 @@ def gap_key(c: Column) -> Column:
     return F.lower(T.strip(c))
 
 
-def match_gaps(pool: DataFrame, queue: DataFrame) -> tuple[DataFrame, DataFrame]:
+def match_gaps(pool: DataFrame, queue: DataFrame, hashed: Callable[[Column], Column] = text_hash) -> tuple[DataFrame, DataFrame]:
     """(pool with matched_review_id, queue after it).
 
     pool (id, question, matched_review_id); queue (id, normalized_question, occurrence_count, review_status). A question
     joins the pending gap of its key with the lowest id; the others make a gap for each key, that of the lowest pool id
-    in front; counts grow by the questions. All by key: no order of arrival is needed.
+    in front; counts grow by the questions. All by key: no order of arrival is needed. A null question stays unmatched.
     """
-    open_rows = pool.filter("matched_review_id is null").withColumn("k", gap_key(F.col("question")))
-    pending = queue.filter("review_status = '待审'").groupBy(gap_key(F.col("normalized_question")).alias("k")).agg(F.min("id").alias("gap"))
-    by_key = open_rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min_by("question", "id").alias("question"))
+    # Questions of both tables get a key each, the smallest number of a row with the same text; texts aren't shuffled for it.
+    asked = pool.filter("matched_review_id is null").select(F.struct(F.lit(0).alias("of"), F.col("id")).alias("row"), gap_key(F.col("question")).alias("text"))
+    waiting = queue.filter("review_status = '待审'").select(F.struct(F.lit(1).alias("of"), F.col("id")).alias("row"), gap_key(F.col("normalized_question")).alias("text"))
+    keyed = text_keys(asked.unionByName(waiting), "row", F.col("text"), hashed).select(F.col("first").alias("k"), F.col("id.of").alias("of"), F.col("id.id").alias("id"))
+    by_key = keyed.groupBy("k").agg(F.count_if(F.col("of") == 0).alias("n"), F.min(F.when(F.col("of") == 0, F.col("id"))).alias("first"), F.min(F.when(F.col("of") == 1, F.col("id"))).alias("gap"))
+    known = stored(by_key.filter("n > 0"), "gaps")
     top = queue.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    known = by_key.join(pending, "k", "left")
-    fresh = numbered(known.filter("gap is null"), "first", "at").crossJoin(F.broadcast(top)).select("k", "n", "question", (F.col("top") + F.col("at") + 1).alias("gap"))
+    fresh = numbered(known.filter("gap is null").select("k", "n", "first"), "first", "at").crossJoin(F.broadcast(top)).select("k", "n", "first", (F.col("top") + F.col("at") + 1).alias("gap"))
     old = known.filter("gap is not null").select("k", "n", "gap")
-    ids = old.select("k", "gap").unionByName(fresh.select("k", "gap"))
-    matched = pool.withColumn("k", gap_key(F.col("question"))).join(ids, "k", "left").withColumn("matched_review_id", F.coalesce("matched_review_id", "gap")).select(*pool.columns)
+    ids = keyed.filter("of = 0").select("k", F.col("id").alias("_id")).join(old.select("k", "gap").unionByName(fresh.select("k", "gap")), "k").select("_id", "gap")
+    matched = pool.join(ids, F.col("id") == F.col("_id"), "left").withColumn("matched_review_id", F.coalesce("matched_review_id", "gap")).select(*pool.columns)
     grown = queue.join(old.select(F.col("gap").alias("id"), "n"), "id", "left").withColumn("occurrence_count", (F.col("occurrence_count") + F.coalesce("n", F.lit(0))).cast("long")).select(*queue.columns)
-    added = fresh.select(F.col("gap").alias("id"), F.col("question").alias("normalized_question"), F.col("n").alias("occurrence_count"), F.lit("待审").alias("review_status"))
+    said = pool.select(F.col("id").alias("first"), "question").join(fresh, "first")  # the texts of new gaps alone
+    added = said.select(F.col("gap").alias("id"), F.col("question").alias("normalized_question"), F.col("n").alias("occurrence_count"), F.lit("待审").alias("review_status"))
     return matched, grown.unionByName(added, allowMissingColumns=True)
 
 

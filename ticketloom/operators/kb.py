@@ -187,8 +187,23 @@ def sentence_ends(c: Column) -> Column:
     pattern = f"(?:[{SENTENCE_ENDS}]|(?<![0-9])\\.|\\.(?![0-9]))[{CLOSING.replace(']', chr(92) + ']')}]*"
     hits, gaps = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
     sizes = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.length(g) + F.length(h))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
-    return F.aggregate(sizes, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"] + x)).alias("out")), lambda a: a["out"])
+    return running_sums(sizes)
+
+
+def running_sums(sizes: Column, chunk: int = 64) -> Column:
+    """Sums of an array of ints up to each place, in chunks: adding to an array copies it, so each sum is made from its chunk's slice and the chunks before."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    once = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)  # noqa: E731  what a function's argument is bound to is computed once
+
+    def cut(s: Column) -> Column:
+        numbers = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.floor((F.size(s) - 1) / chunk).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.transform(numbers, lambda k: F.slice(s, k * chunk + 1, F.lit(chunk)))
+
+    def sums(x: Column) -> Column:
+        own = lambda q, k: once(total(F.slice(x["wholes"], F.lit(1), k)), lambda base: F.transform(q, lambda _, i: base + total(F.slice(q, F.lit(1), i + 1))))
+        return F.flatten(F.transform(x["parts"], own))
+
+    return once(once(once(sizes, cut), lambda p: F.struct(p.alias("parts"), F.transform(p, total).alias("wholes"))), sums)
 
 
 def aligned(c: Column, target: Column, window: int = ALIGN) -> Column:
@@ -288,12 +303,24 @@ def stats(store: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def browse(store: DataFrame, status: str | None = None, category: str | None = None, holds: str | None = None, page: int = 1, size: int = 20) -> DataFrame:
-    """A page of chunks, newest first; a substring is looked for in question, answer and path."""
+    """A page of chunks, newest first, each with the total of all pages; a substring is looked for in question, answer and path.
+
+    A page beyond the last has no rows and so no total; `browse_total` has it alone.
+    """
+    found = _browsed(store, status, category, holds)
+    return found.orderBy(F.desc("id")).offset((page - 1) * size).limit(size).crossJoin(F.broadcast(browse_total(store, status, category, holds)))  # one row
+
+
+def _browsed(store: DataFrame, status: str | None, category: str | None, holds: str | None) -> DataFrame:
     for c, v in (("vectorize_status", status), ("category", category)):
         store = store.filter(F.col(c) == v) if v else store
-    if holds:
-        store = store.filter(F.concat_ws("\n", "questions", "answer", "section_path").contains(holds))
-    return store.orderBy(F.desc("id")).offset((page - 1) * size).limit(size)
+    each = [F.coalesce(F.col(c).contains(holds), F.lit(False)) for c in ("questions", "answer", "section_path")] if holds else []
+    return store.filter(each[0] | each[1] | each[2]) if each else store
+
+
+def browse_total(store: DataFrame, status: str | None = None, category: str | None = None, holds: str | None = None) -> DataFrame:
+    """One row: the chunks of all pages."""
+    return _browsed(store, status, category, holds).agg(F.count("*").alias("total"))
 
 
 def with_category(rows: DataFrame, category: str | None) -> DataFrame:

@@ -17,6 +17,8 @@ from ..sources.io import bounded_batches, stored
 
 #: Parameters of BM25 and of rank fusion.
 K1, B, FUSION = 1.2, 0.75, 60
+#: Documents of a block of postings; room below a score's bound for rounding.
+BLOCK_DOCS, SLACK = 64, 2e-6
 #: Characters of keywords that are searched for in one pass.
 KEYWORD_CHARS = 500_000
 STRATEGIES = ("vector_only", "bm25_only", "hybrid", "hybrid_rerank")
@@ -27,38 +29,83 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long")).filter(F.col(rank) <= k)
 
 
-def bm25_index(docs: DataFrame, doc: str, text: str, only: DataFrame | None = None) -> DataFrame:
-    """Postings (term, doc, tf, dl), tf counted before any shuffle by term; `only` (term) leaves out other terms' postings."""
+def bm25_index(docs: DataFrame, doc: str, text: str, only: DataFrame | None = None, marked: bool = False) -> DataFrame:
+    """Postings (term, doc, tf, dl), tf counted before any shuffle by term; `only` (term) leaves out other terms' postings.
+
+    marked: each document that has a term also has a posting of the empty term, of which number and mean length are read.
+    """
     words = docs.select(F.col(doc).alias("doc"), T.terms(F.col(text)).alias("ws"))
+    if marked:
+        mark = F.array(F.lit(""))
+        each = words.select("doc", F.size("ws").cast("long").alias("dl"), F.explode_outer(F.when(F.size("ws") > 0, F.concat("ws", mark))).alias("term")).filter("term is not null")
+        each = each if only is None else each.join(only.select("term").unionByName(only.sparkSession.createDataFrame([("",)], "term string")).distinct(), "term", "left_semi")
+        return each.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     # An outer explode: before an inner one Spark filters by the size of the array, and splits each text twice.
     each = words.select("doc", F.size("ws").cast("long").alias("dl"), F.explode_outer("ws").alias("term")).filter("term is not null")
     each = each if only is None else each.join(only.select("term").distinct(), "term", "left_semi")
     return each.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25_size(docs: DataFrame, text: str) -> DataFrame:
-    """One row (n, avgdl) over the documents that have a term."""
-    n = docs.select(F.size(T.terms(F.col(text))).alias("dl")).filter("dl > 0")
-    return n.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-
-
 def asked_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
     """(query, term): each term of a query once."""
     return queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(T.terms(F.col(text)))).alias("term"))
 
 
-def bm25_search(index: DataFrame, size: DataFrame, terms: DataFrame, k: int = 50) -> DataFrame:
-    """R2: (query, doc, score, rank) of the best k by BM25; idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
+def bm25_blocks(index: DataFrame, block: int = BLOCK_DOCS) -> DataFrame:
+    """R2: stored postings with their scores (term, doc, block, part); idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
 
-    index: all postings of at least the asked terms, stored, as it is read for df and for the scores; size: one row;
-    terms (query, term). Spark broadcasts the terms while they are small and joins by term otherwise.
+    index: marked postings of at least the asked terms, stored. A block has about `block` documents whose lengths are within
+    an eighth of each other, so that its largest scores aren't those of much shorter or longer documents.
     """
-    asked = index.join(terms.select("term").distinct(), "term", "left_semi")
-    df = asked.groupBy("term").agg(F.count("*").alias("df"))
-    known = asked.join(df, "term").crossJoin(F.broadcast(size))  # one row
+    length = F.floor(8 * F.log(F.col("dl")))
+    marks = index.filter("term = ''")
+    size = marks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    parts = marks.groupBy(length.alias("length")).agg(F.ceil(F.count("*") / block).alias("parts"))  # at most 8 ln(2^31) rows
+    words = index.filter("term <> ''")
+    df = words.groupBy("term").agg(F.count("*").alias("df"))
+    known = words.join(df, "term").withColumn("length", length).join(F.broadcast(parts), "length").crossJoin(F.broadcast(size))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = known.withColumn("part", part).join(terms, "term").groupBy("query", "doc").agg(F.round(F.sum("part"), 6).alias("score"))
+    return stored(known.select("term", "doc", (F.shiftleft(F.col("length"), 40) + F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("block"), part.alias("part")), "blocks")
+
+
+def bm25_candidates(postings: DataFrame, terms: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """R2: (candidates (query, doc, block, found, rest), terms left out (query, block, term)); both steps of the search.
+
+    First a lower bound of each query's k-th score: the whole scores of the best documents of its rarest terms. Then, of
+    each block of documents, the terms in order of their largest score there: those whose sum can't reach the bound are
+    left out, and with all of them the block. What is left out can't bring a document among the best by itself, so the
+    candidates are the documents of the other terms that can still reach the bound with what is left out.
+    """
+    best = postings.groupBy("term", "block").agg(F.max("part").alias("best"), F.count("*").alias("df"))
+    best = stored(best.join(terms, "term"), "maxima")
+    by_query = best.groupBy("query", "term").agg(F.sum("df").alias("df"))
+    before = F.sum("df").over(W.partitionBy("query").orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1))  # the terms of a query
+    rare = by_query.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < 8 * k).select("query", "term")
+    seeds = top(postings.join(rare, "term").groupBy("query", "doc", "block").agg(F.sum("part").alias("s")), ["query"], [F.desc("s"), F.col("doc")], 4 * k).select("query", "doc", "block")
+    whole = seeds.join(terms, "query").join(postings, ["doc", "block", "term"]).groupBy("query", "doc").agg(F.sum("part").alias("s"))
+    bound = top(whole, ["query"], [F.desc("s")], k).filter(F.col("rank") == k).select("query", (F.col("s") - SLACK).alias("bound"))
+    reach = F.sum("best").over(W.partitionBy("query", "block").orderBy("best", "term").rowsBetween(W.unboundedPreceding, 0))  # the terms of a query
+    known = stored(best.select("query", "block", "term", "best").withColumn("reach", reach).join(bound, "query", "left"), "reach")
+    out = known.filter("reach < bound").select("query", "block", "term", "reach")
+    rest = out.groupBy("query", "block").agg(F.max("reach").alias("rest"))
+    kept = known.filter("bound is null or reach >= bound").select("query", "block", "term", "bound")
+    found = postings.join(kept, ["term", "block"]).groupBy("query", "doc", "block").agg(F.sum("part").alias("found"), F.first("bound").alias("bound"))
+    found = found.join(rest, ["query", "block"], "left").filter("bound is null or found + coalesce(rest, 0) >= bound")
+    return found.select("query", "doc", "block", "found"), out.select("query", "block", "term")
+
+
+def bm25_search(postings: DataFrame, terms: DataFrame, k: int = 50) -> DataFrame:
+    """R2: (query, doc, score, rank) of the best k by BM25, exactly; postings: `bm25_blocks`, terms (query, term), each once.
+
+    Only candidates are scored whole: what was left out is looked up for them. Equal scores are ranked by document; scores
+    are rounded to six digits first, for which the bounds leave room.
+    """
+    terms = stored(terms.select("query", "term").distinct(), "terms")
+    found, out = bm25_candidates(postings, terms, k)
+    found = stored(found, "candidates")
+    more = found.select("query", "doc", "block").join(out, ["query", "block"]).join(postings, ["doc", "block", "term"]).select("query", "doc", F.col("part").alias("found"))
+    scored = found.select("query", "doc", "found").unionByName(more).groupBy("query", "doc").agg(F.round(F.sum("found"), 6).alias("score"))
     return top(scored, ["query"], [F.desc("score"), F.col("doc")], k)
 
 

@@ -76,13 +76,14 @@ def c5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(
     "c5_moved_anchor",
-    f"""with t as (select conv_id, turn, {tokens_sql('text')} as tok, case when conv_id % 3 > 0 then conv_id % 3 end as was from conversations), s as (select *, sum(tok) over (partition by conv_id order by turn desc) as suffix from t where was is null or turn > was),
+    f"""with t as (select conv_id, turn, {tokens_sql('text')} as tok, case when conv_id % 3 > 0 then conv_id % 3 end as was, case when conv_id % 2 = 0 then 1 + conv_id % 5 end as summed from conversations),
+    s as (select *, sum(tok) over (partition by conv_id order by turn desc) as suffix from t where turn > coalesce(was, 0) and turn > case when was is null then 0 else coalesce(summed, 0) end or was is null),
     a as (select conv_id, max(turn) filter (suffix > 200) as last, max(suffix) filter (suffix <= 200) as kept from s group by 1) select conv_id as conversation, coalesce(any_value(a.last), max(was))::bigint as anchor, coalesce(any_value(a.kept), 0)::bigint as kept_tokens from t left join a using (conv_id) group by 1""",
 )
 def c5m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two of three conversations have an anchor already."""
+    """Two of three conversations have an anchor already, half of them a summary too, up to before or behind it."""
     m = messages(spark, sf_dir)
-    was = m.filter("conv_id % 3 > 0").select(F.col("conv_id").alias("conversation"), (F.col("conv_id") % 3).cast("long").alias("layer1_from")).distinct()
+    was = m.filter("conv_id % 3 > 0").select(F.col("conv_id").alias("conversation"), (F.col("conv_id") % 3).cast("long").alias("layer1_from"), F.when(F.col("conv_id") % 2 == 0, F.col("conv_id") % 5 + 1).cast("long").alias("summary_upto")).distinct()
     got = C.layer1_anchor(m, "conv_id", "turn", T.estimated_tokens(F.col("text")), F.lit(200), was)
     return got.withColumn("anchor", F.col("anchor").cast("long"))
 

@@ -139,9 +139,9 @@ def k13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.stats(s, s.filter("vectorize_status = 'done'"))
 
 
-@add("k14_browse", "select doc_id as id, source as category from documents where doc_id % 5 <> 0 and (contains(lang, 'en') or contains(text, 'en') or contains(source || ' > ' || lang, 'en')) order by doc_id desc limit 20 offset 20")
+@add("k14_browse", "select doc_id as id, source as category, count(*) over () as total from documents where doc_id % 5 <> 0 and (contains(lang, 'en') or contains(text, 'en') or contains(source || ' > ' || lang, 'en')) order by doc_id desc limit 20 offset 20")
 def k14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.browse(store(spark, sf_dir), status="done", holds="en", page=2).select("id", "category")
+    return K.browse(store(spark, sf_dir), status="done", holds="en", page=2).select("id", "category", "total")
 
 
 @add("k15_category_default", "select doc_id as id, case when doc_id % 3 = 0 then 'given' when doc_id % 3 = 1 then 'given' else source end as category from documents")
@@ -222,14 +222,13 @@ def s5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages in a database, read in ranges of the conversation's id. `ticketloom.jdbc.url` names the database; Spark in one process has its own, in memory."""
     url = spark.conf.get("ticketloom.jdbc.url", None)
     if not url:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not io.one_process(spark):
             raise ValueError("set ticketloom.jdbc.url to a database that all executors reach")
         url = f"jdbc:derby:memory:m{uuid.uuid4().hex};create=true"
     table = f"messages_{uuid.uuid4().hex[:12]}"
     m = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     m.write.jdbc(url, table, properties={"createTableColumnTypes": "role VARCHAR(32)"})
-    ids = m.agg(F.min("conv_id").alias("low"), F.max("conv_id").alias("high")).first()
-    got = io.read_relational(spark, url, table, "conv_id", ids["low"] or 0, (ids["high"] or 0) + 1, 4)
+    got = io.read_relational(spark, url, table, io.key_ranges(m, "conv_id", 8, '"conv_id"'))
     got = got.select(*[F.col(c).alias(c.lower()) for c in got.columns])
     return got.filter(F.col("role").isin("user", "assistant"))
 

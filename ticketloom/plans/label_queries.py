@@ -122,7 +122,7 @@ _TIERS = "tiers as (select class, case when ord < 5 then 'strict' when ord < 13
 
 @add(
     "v4_redlines",
-    f"with {SCORED_SQL}, {_CONF.format(t=0.35)}, {_RATES}, {_TIERS} select class, tier, round(f1, 4) as f1, line, case when line is null then '—' when round(f1, 4) >= line then 'pass' else 'fail' end as status from rates join tiers using (class)",
+    f"with {SCORED_SQL}, {_CONF.format(t=0.35)}, {_RATES}, {_TIERS} select class, tier, round(f1, 4) as f1, line, case when line is null then 'none' when f1 >= line then 'pass' else 'fail' end as status, case when line is null then '—' when f1 >= line then '✅' else '❌' end as symbol, case when line is null then '不设线（宽档）' when f1 >= line then '达标' else printf('先回头搞数据 (F1: %.2f < %.2f)', f1, line) end as message from rates join tiers using (class)",
 )
 def v4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.redlines(V.confusion(scored(spark, sf_dir), 0.35))
@@ -213,7 +213,7 @@ _SAY = "case when ok is null then 'missing' when ok then 'pass' else 'fail' end
 @add(
     "v10_acceptance_gates",
     f"""with {SCORED_SQL}, {_ERR}, {_CONF.format(t=0.35)}, {_RATES}, {_TIERS}, d4 as ({_LEAK}), v3 as ({_SWEEP}),
-    g as (select 'leakage' as gate, bool_and(passed) as ok from d4 union all select 'redlines', bool_and(line is null or round(f1, 4) >= line) from rates join tiers using (class)
+    g as (select 'leakage' as gate, bool_and(passed) as ok from d4 union all select 'redlines', bool_and(line is null or f1 >= line) from rates join tiers using (class)
     union all select 'accounting', (select sum(m + x) from e) = (select sum(fp + fn) from conf) union all select 'threshold', bool_and(abs(threshold - 0.35) <= 1e-4) from v3 where best union all select 'classified', count(*) > 0 from labelled)
     select gate, {_SAY} from g""",
 )

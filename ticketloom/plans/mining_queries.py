@@ -168,11 +168,22 @@ def f3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(
     "f2_feedback",
-    f"""with asked as (select conv_id, arg_max(text, turn) filter (role = 'user') as q from conversations group by 1), votes as (select distinct conv_id from conversations where conv_id % 3 = 0)
-    select votes.conv_id as conversation, q as raw_question, 'user_feedback' as source from votes left join asked using (conv_id)""",
+    f"""with r as (select conv_id, turn, text, case turn % 3 when 0 then 'query_faq' when 1 then 'search_knowledge' else 'query_order' end as tool from conversations where role = 'assistant'),
+    asked as (select conv_id, arg_max(text, turn) filter (role = 'user') as q from conversations group by 1), votes as (select distinct conv_id from conversations where conv_id % 3 = 0),
+    call as (select conv_id, arg_max(tool, turn) as tool from r group by 1), hit as (select conv_id, arg_max(text, turn) as text, max(turn) as turn from r where tool <> 'query_order' group by 1)
+    select votes.conv_id as conversation, coalesce(nullif(case when votes.conv_id % 2 = 0 then 'vote ' || votes.conv_id else ' ' end, ' '), q, '未知用户问题') as raw_question, 'user_feedback' as source,
+    case when call.tool <> 'query_order' and hit.turn % 5 < 4 then substr(hit.text, 1, 300) end as first_text, case when call.tool <> 'query_order' and hit.turn % 5 < 4 then hit.turn / 8.0::double + 1 end as first_score, case when call.tool <> 'query_order' and hit.turn % 5 < 4 then 's' || hit.turn end as first_section
+    from votes left join asked using (conv_id) left join call using (conv_id) left join hit using (conv_id)""",
 )
 def f2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conversation"), F.col("turn").alias("id"), "role", F.col("text").alias("content"), F.when(F.col("role") == "assistant", "query_faq").alias("tool"))
-    votes = c.filter("conversation % 3 = 0").select("conversation").distinct().withColumn("query", F.lit(""))
-    audits = c.filter("role = 'assistant'").select("id", "conversation", "tool", F.to_json(F.array(F.struct(F.substring("content", 1, 20).alias("text"), F.lit(0.5).alias("score"), F.lit("s").alias("section")))).alias("result"))
-    return Y.feedback_rows(votes, c, audits).select("conversation", "raw_question", "source")
+    """Replies call one of two knowledge tools or another one; audits name their hits in different ways, and every fifth can't be read."""
+    i = F.col("id")
+    tool = F.when(i % 3 == 0, "query_faq").when(i % 3 == 1, "search_knowledge").otherwise("query_order")
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conversation"), F.col("turn").alias("id"), "role", F.col("text").alias("content")).withColumn("tool", F.when(F.col("role") == "assistant", tool))
+    votes = c.filter("conversation % 3 = 0").select("conversation").distinct().withColumn("query", F.when(F.col("conversation") % 2 == 0, F.concat(F.lit("vote "), F.col("conversation"))).otherwise(" "))
+    plain = F.array(F.struct(F.col("content").alias("text"), (i / 8.0 + 1).alias("score"), F.concat(F.lit("s"), i).alias("section")))
+    other = F.struct(F.array(F.struct(F.lit("").alias("text"), F.col("content").alias("answer"), (i / 8.0 + 1).alias("distance"), F.concat(F.lit("s"), i).alias("section_path"))).alias("hits"))
+    said = F.when(i % 5 == 4, "{not read").when(i % 2 == 0, F.to_json(plain)).otherwise(F.to_json(other))
+    audits = c.filter("role = 'assistant'").select("id", "conversation", "tool", said.alias("result"))
+    got = Y.feedback_rows(votes, c, audits)
+    return got.select("conversation", "raw_question", "source", F.col("chunks")[0]["text"].alias("first_text"), F.col("chunks")[0]["score"].alias("first_score"), F.col("chunks")[0]["section"].alias("first_section"))

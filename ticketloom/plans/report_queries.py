@@ -140,6 +140,17 @@ def e12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.ledger_report(E.ledger_upsert(old, batch), F.lit(300))
 
 
+@add(
+    "e12_ledger_cases",
+    f"with {_LEDGER}, c as (select *, eval_id::bigint as n from after where status = '未解决') select eval_id, seen_count::bigint as seen_count, seen_count > 1 as recurrent, (select count(*) from c) as total from c order by n desc limit 20 offset 20",
+)
+def e12l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of open cases."""
+    old, batch = ledger(spark, sf_dir)
+    cases = E.ledger_upsert(old, batch).withColumn("id", F.col("eval_id").cast("long"))
+    return E.ledger_cases(cases, "未解决", None, 2, 20, "id").select("eval_id", "seen_count", "recurrent", "total")
+
+
 @add("e12_cited_numbers", "select event_id, case when event_id % 2 = 0 then user_id || ',' || (user_id + 1) else user_id::varchar end as cited from events")
 def e12c(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("user_id")

@@ -39,7 +39,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """Passages against documents; the postings of the asked terms are made once and stored."""
     docs, terms = read(spark, sf_dir, "documents"), R.asked_terms(questions(spark, sf_dir), "query", "text")
-    return R.bm25_search(stored(R.bm25_index(docs, "doc_id", "text", terms), "postings"), R.bm25_size(docs, "text"), terms, k)
+    return R.bm25_search(R.bm25_blocks(stored(R.bm25_index(docs, "doc_id", "text", terms, True), "postings")), terms, k)
 
 
 def dense(spark: SparkSession, sf_dir: str, k: int = 3, least: float = 0.35) -> DataFrame:

@@ -15,6 +15,12 @@ SCORES = "samples array<struct<text:string,true_labels:array<string>,scores:map<
 _fallback: list[str] = []
 
 
+def one_process(spark: SparkSession) -> bool:
+    """Driver and executors are one process: master local, not a local cluster."""
+    master = spark.conf.get("spark.master", "")
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, which all executors share.
 
@@ -23,8 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        master = spark.conf.get("spark.master", "")
-        if master != "local" and not master.startswith("local["):
+        if not one_process(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _fallback:
             _fallback.append(tempfile.mkdtemp(prefix="ticketloom-"))
@@ -69,18 +74,32 @@ def read_markdown(spark: SparkSession, folder: str, names: str = "*.md") -> Data
 
 
 def inventory(spark: SparkSession, folder: str, size: int, overlap: int, names: str = "*.md") -> DataFrame:
-    """(file, bytes, modified, chunks) of every file of the given names."""
+    """(file, bytes, modified, chunks) of every file of the given names; files of one name in different folders are apart."""
     from ..operators.kb import split_documents
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder)
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("text"))
-    counts = split_documents(named, "file", "text", size, overlap).groupBy("doc").agg(F.count("*").alias("chunks"))
-    return named.join(counts, F.col("file") == F.col("doc"), "left").select("file", "bytes", "modified", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+    named = files.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("text"))
+    counts = split_documents(named, "path", "text", size, overlap).groupBy("doc").agg(F.count("*").alias("chunks"))
+    return named.join(counts, F.col("path") == F.col("doc"), "left").select("file", "bytes", "modified", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
+def key_ranges(keys: DataFrame, key: str, parts: int, name: str | None = None, error: float = 0.001) -> list[str]:
+    """SQL conditions of at most `parts` ranges of a numeric key that hold about as many rows each, and of null keys.
+
+    Bounds come from a sketch of the key's quantiles, so gaps and hot stretches don't make one range large; a single key
+    is never cut. Together the conditions hold each row once. name: the key as the database writes it.
+    """
+    name = name or key
+    at = [i / parts for i in range(1, parts)]
+    bounds = sorted({int(x) for x in keys.approxQuantile(key, at, error)}) if parts > 1 else []
+    edges = [None, *bounds, None]
+    inside = lambda a, b: " and ".join([f"{name} >= {a}"] * (a is not None) + [f"{name} < {b}"] * (b is not None)) or f"{name} is not null"
+    return [inside(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)] + [f"{name} is null"]
 
 
-def read_relational(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
-    """A JDBC table, read in `parts` ranges of a numeric key."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts), **options).load()
+def read_relational(spark: SparkSession, url: str, table: str, conditions: list[str], **options: str) -> DataFrame:
+    """A JDBC table, a partition for each condition (`key_ranges`)."""
+    return spark.read.jdbc(url, table, predicates=conditions, properties=options)
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
