@@ -75,8 +75,7 @@ def leakage(rows: DataFrame, text: str, split: str = "split", id: str = "doc_id"
 
     Texts are told apart by their hashes, and compared where hashes meet; `id` is unique and not null.
     """
-    t = F.nullif(T.strip(F.col(text)), F.lit(""))
-    keyed = text_keys(rows, id, t, hashed).select(F.col("id").alias("_id"), "first").join(rows.select(F.col(id).alias("_id"), split), "_id")
+    keyed = text_keys(rows, id, T.strip(F.col(text)), hashed, False).select(F.col("id").alias("_id"), "first").join(rows.select(F.col(id).alias("_id"), split), "_id")
     has = lambda s: F.max((F.col(split) == s).cast("int"))
     g = keyed.groupBy("first").agg(has("train").alias("a"), has("val").alias("b"), has("test").alias("c"))
     n = lambda e, name: F.count_if(F.expr(e)).cast("long").alias(name)

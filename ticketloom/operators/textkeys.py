@@ -15,14 +15,15 @@ def text_hash(c: Column) -> Column:
     return F.unhex(F.md5(c))
 
 
-def text_keys(rows: DataFrame, id: str, key: Column, hashed: Callable[[Column], Column] = text_hash) -> DataFrame:
-    """Stored (id, first, n): of each row the smallest id whose key is the same text, and how many rows have it; null keys are left out.
+def text_keys(rows: DataFrame, id: str, key: Column, hashed: Callable[[Column], Column] = text_hash, blank: bool = True) -> DataFrame:
+    """Stored (id, first, n): of each row the smallest id whose key is the same text, and how many rows have it; null keys are left out, and empty ones unless `blank`.
 
     Keys are hashed once and their hashes grouped. Rows that share a hash with another are compared with the text of the
     hash's first row; those that differ, for which there is no need but a collision, are grouped by hash and text. The
     id of a row is unique and not null.
     """
-    all_ = rows.select(F.col(id).alias("id"), key.alias("_key")).filter("_key is not null")
+    # Written once, as keys are costly to make: what follows reads them.
+    all_ = stored(rows.select(F.col(id).alias("id"), key.alias("_key")), "text-keys").filter("_key is not null" if blank else "_key <> ''")
     narrow = stored(all_.select("id", hashed(F.col("_key")).alias("_hash")), "text-hashes")
     groups = narrow.groupBy("_hash").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     known = stored(narrow.join(groups, "_hash"), "text-groups")
