@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vocab import BUCKETS, OUT_OF_SCOPE, REFUSALS, STOPWORDS, TRIGGERS
+from ..sources.store import TURNS, KeyedStore
 
 
 def hit_ranks(samples: DataFrame, hits: DataFrame, strategies: list[str]) -> DataFrame:
@@ -150,11 +151,71 @@ def cited_numbers(answer: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[([0-9]{1,9})\]"), F.lit(1)), lambda x: x.cast("long")))
 
 
+def _decided(decisions: DataFrame) -> DataFrame:
+    """(eval_id, d): the latest legal decision of each case."""
+    legal = F.col("new_status").isin("已解决", "无需解决", "未解决") & (F.coalesce(T.strip(F.col("note")), F.lit("")) != "")
+    return decisions.filter(legal).groupBy("eval_id").agg(F.max(F.struct("at", "new_status", "note")).alias("d"))
+
+
 def resolve(ledger: DataFrame, decisions: DataFrame) -> DataFrame:
     """Apply (eval_id, new_status, note, at); a decision needs a legal status and a note that isn't blank."""
-    legal = F.col("new_status").isin("已解决", "无需解决", "未解决") & (F.coalesce(T.strip(F.col("note")), F.lit("")) != "")
-    d = decisions.filter(legal).groupBy("eval_id").agg(F.max(F.struct("at", "new_status", "note")).alias("d"))
+    d = _decided(decisions)
     got = F.col("d").isNotNull()
     both = ledger.join(d, "eval_id", "left")
     changed = {"status": F.col("d.new_status"), "resolution": T.strip(F.col("d.note")), "resolved_at": F.col("d.at")}
     return both.select(*[F.when(got, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in ledger.columns])
+
+
+#: What a batch brings to a stored ledger: cases as merged (kind 0), sightings (1) and decisions (2).
+_CASE = "reason string, status string, seen_count long, resolution string, first_seen_at timestamp, last_seen_at timestamp, resolved_at timestamp"
+LEDGER = f"eval_id string, kind int, {_CASE}"
+
+
+def _entry(kind: int, **given: Column) -> list[Column]:
+    fields = [c.split() for c in _CASE.split(", ")]
+    return ["eval_id", F.lit(kind).alias("kind"), *[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in fields]]
+
+
+def sightings(batch: DataFrame) -> DataFrame:
+    """(eval_id, reason, seen_at), any number of rows of one eval_id, as one row a case for `ledger_store`; a null eval_id names no case."""
+    new = batch.filter("eval_id is not null").groupBy("eval_id").agg(F.max_by("reason", "seen_at").alias("reason"), F.count("*").alias("k"), F.min("seen_at").alias("a"), F.max("seen_at").alias("z"))
+    return new.select(*_entry(1, reason=F.col("reason"), seen_count=F.col("k"), first_seen_at=F.col("a"), last_seen_at=F.col("z")))
+
+
+def rulings(decisions: DataFrame) -> DataFrame:
+    """(eval_id, new_status, note, at) as one row a case for `ledger_store`; what `resolve` ignores is left out."""
+    return _decided(decisions.filter("eval_id is not null")).select(*_entry(2, status=F.col("d.new_status"), resolution=T.strip(F.col("d.note")), resolved_at=F.col("d.at")))
+
+
+def merged_cases(rows: DataFrame) -> DataFrame:
+    """Each case after its entries in the order of their batches, as `ledger_upsert` and `resolve` change it; a decision on an unknown case is dropped."""
+    names = [c.split()[0] for c in _CASE.split(", ")]
+    state = "struct<" + ",".join(":".join(c.split()) for c in _CASE.replace(" long", " bigint").split(", ")) + ">"
+    fixed = lambda **c: F.struct(*[c[n].alias(n) for n in names]).cast(state)
+
+    def step(a: Column, e: Column) -> Column:
+        was, now = {n: a[n] for n in names}, {n: e[n] for n in names}
+        again = was["status"] == "已解决"
+        opened = fixed(**now | {"status": F.lit("未解决"), "resolution": F.lit(None), "resolved_at": F.lit(None)})
+        seen = fixed(
+            **was
+            | {
+                "reason": F.coalesce(now["reason"], was["reason"]),
+                "status": F.when(again, "未解决").otherwise(was["status"]),
+                "seen_count": was["seen_count"] + now["seen_count"],
+                "resolution": F.when(~again, was["resolution"]),
+                "last_seen_at": F.coalesce(now["last_seen_at"], was["last_seen_at"]),
+            }
+        )
+        ruled = fixed(**was | {n: now[n] for n in ("status", "resolution", "resolved_at")})
+        return F.when(e["kind"] == 0, fixed(**now)).when(e["kind"] == 1, F.when(a.isNull(), opened).otherwise(seen)).otherwise(F.when(a.isNotNull(), ruled))
+
+    # A case has one merged row and at most two entries a batch since.
+    each = rows.groupBy("eval_id").agg(F.sort_array(F.collect_list(F.struct("batch_no", "kind", *names))).alias("entries"))
+    cases = each.select("eval_id", F.aggregate("entries", F.lit(None).cast(state), step).alias("c")).filter("c is not null")
+    return cases.select("eval_id", F.lit(0).alias("kind"), "c.*")
+
+
+def ledger_store(path: str, turns: int = TURNS) -> KeyedStore:
+    """A ledger to which `sightings` and `rulings` are applied by batches."""
+    return KeyedStore(path, LEDGER, "eval_id", merged_cases, turns)

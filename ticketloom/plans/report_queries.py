@@ -10,6 +10,7 @@ from ..functions.vocab import MISSED, STATUS
 from ..operators import evaluation as E
 from ..operators import observability as O
 from ..sources import io
+from ..sources.store import KeyedStore, newest
 from .tables import Registry, read
 
 QUERIES = Registry()
@@ -169,3 +170,34 @@ def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = d.select("doc_id", F.lit(1).alias("version"), F.lit("old").alias("chunk_text"))
     new = d.filter("doc_id % 3 = 0").select("doc_id", F.lit(2).alias("version"), F.lit(None).cast("string").alias("chunk_text"))
     return io.upserted(old, new, "doc_id", "version", F.lit("new")).select("doc_id", "chunk_text")
+
+
+@add("s8_store_batches", "select doc_id, case when doc_id % 3 = 0 then 3 when doc_id % 3 = 1 and doc_id % 5 = 0 then 2 else 1 end::bigint as version, case when doc_id % 3 = 0 then 'third' when doc_id % 3 = 1 and doc_id % 5 = 0 then 'second' else 'first' end as chunk_text from documents")
+def s8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches into a store: all documents, every fifth with a higher version, and every third: with one as high, later, or an older one that loses."""
+    d = read(spark, sf_dir, "documents").select("doc_id")
+    batch = lambda rows, version, text: rows.select("doc_id", version.cast("long").alias("version"), F.lit(text).alias("chunk_text"))
+    kept = KeyedStore(io.new_path(spark, "chunks"), "doc_id long, version long, chunk_text string", "doc_id", newest("doc_id", "version"), 4)
+    batches = [
+        batch(d, F.lit(1), "first"),
+        batch(d.filter("doc_id % 5 = 0"), F.when(F.col("doc_id") % 3 < 2, 2).otherwise(0), "second"),
+        batch(d.filter("doc_id % 3 = 0"), F.lit(3), "third"),
+    ]
+    for k, rows in enumerate(batches):
+        kept.apply(rows, "load", k)
+        kept.apply(rows, "load", k)  # comes again, changes nothing
+    return kept.read(spark)
+
+
+@add("e11_ledger_batches", f"with {_LEDGER} select eval_id, reason, status, seen_count::bigint as seen_count, resolution, epoch_us(first_seen_at) as first_us, epoch_us(last_seen_at) as last_us, epoch_us(resolved_at) as resolved_us from after")
+def e11b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' first half, decisions on its cases, and its second half, as three batches of a stored ledger."""
+    e = events(spark, sf_dir)
+    seen = e.select(F.col("user_id").cast("string").alias("eval_id"), F.concat_ws(":", "event_type", "event_id").alias("reason"), F.col("ts").alias("seen_at"), (F.col("event_id") % 2).alias("half"))
+    store = E.ledger_store(io.new_path(spark, "ledger"), 4)
+    store.apply(E.sightings(seen.filter("half = 0")))
+    n = F.col("eval_id").cast("long") % 3
+    store.apply(E.rulings(store.read(spark).select("eval_id", F.when(n == 0, "已解决").when(n == 1, "无需解决").otherwise("?").alias("new_status"), F.lit("done").alias("note"), F.col("last_seen_at").alias("at"))))
+    store.apply(E.sightings(seen.filter("half = 1")))
+    us = lambda c: F.unix_micros(F.col(c))
+    return store.read(spark).select("eval_id", "reason", "status", "seen_count", "resolution", us("first_seen_at").alias("first_us"), us("last_seen_at").alias("last_us"), us("resolved_at").alias("resolved_us"))

@@ -9,8 +9,9 @@ from ..functions.vocab import OUT_OF_SCOPE, REFUSALS, TRIGGERS
 from ..operators import evaluation as E
 from ..operators import flywheel as Y
 from ..operators import kb as K
+from ..operators import keyword_index as X
 from ..operators import retrieval as R
-from ..sources.io import bounded_batches, stored
+from ..sources.io import bounded_batches, new_path, stored
 from .label_queries import strip_sql
 from .tables import Registry, read
 
@@ -57,6 +58,33 @@ def r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25(spark, sf_dir).withColumn("score", F.round("score", 4))
 
 
+def synced(spark: SparkSession, sf_dir: str) -> X.KeyedStore:
+    """Documents put into an index in two batches: first every second as its first half of text and all others whole, then what was cut, whole, and every seventh removed."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    index, done = X.index_store(new_path(spark, "index"), 4), X.done_store(new_path(spark, "done"), 4)
+    cut = F.when(F.col("id") % 2 == 0, F.left(F.col("text"), (F.length("text") / 2).cast("int"))).otherwise(F.col("text"))
+    encode = K.embedder(K.term_vector, "double")
+    X.sync(d.select("id", cut.alias("text")), index, done, encode)
+    X.sync(d.filter("id % 2 = 0"), index, done, encode, d.filter("id % 7 = 0"))
+    return index
+
+
+_HELD = _INDEX.replace("from documents)", "from documents where doc_id % 7 <> 0)")
+
+
+@add("k11_synced_index", f"with {_HELD} select ws.doc as id, len(ws.ws)::bigint as length, len(list_distinct(ws.ws))::bigint as terms from ws")
+def k11s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synced(spark, sf_dir).read(spark).select("id", "length", F.size("terms").cast("long").alias("terms"))
+
+
+@add("r2_incremental_topk", f"with {_BM25.replace(_INDEX, _HELD)} select query, doc, score, rank from b where rank <= 10")
+def r2i(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2 over an index that grew by batches."""
+    terms = R.asked_terms(questions(spark, sf_dir), "query", "text")
+    held = stored(X.postings(spark, synced(spark, sf_dir), terms), "postings")
+    return R.bm25_search(R.bm25_blocks(held), terms, 10)
+
+
 @add("r3_dense_topk", f"with {_DENSE.format(least=0.35)} select query, doc, round(score, 4) as score, rank from dn where rank <= 3")
 def r3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense(spark, sf_dir).withColumn("score", F.round("score", 4))

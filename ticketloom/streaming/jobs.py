@@ -1,4 +1,4 @@
-"""Streaming forms of the keyed jobs: gap counters, summary triggers, pending chunks."""
+"""Streaming forms of the keyed jobs: gap counters, summary triggers, pending chunks, ledger."""
 
 from __future__ import annotations
 
@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.evaluation import sightings
 from ..operators.flywheel import gap_key
 from ..operators.kb import embed_pending
+from ..sources.store import KeyedStore
 
 
 #: Micro-batches whose changes are merged into one base.
@@ -121,3 +123,16 @@ def index_pending(chunks: DataFrame, embed: Callable[[Column], Column], text: Co
 
 def read_index(spark: SparkSession, store: str, compact: int = COMPACT) -> DataFrame:
     return read_store(spark, store, INDEX, merged_index, compact)
+
+
+def ledger_stream(answers: DataFrame, ledger: KeyedStore, checkpoint: str, source: str = "answers") -> StreamingQuery:
+    """A stream of unfaithful answers (eval_id, reason, seen_at) into a ledger (`ledger_store`), which also takes decisions between its micro-batches.
+
+    The state of a case is its row in the store, so the stream holds none, and a micro-batch that comes again after a
+    restart is known by its number. Reasons and times go by the order of micro-batches, as in `ledger_upsert`.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        ledger.apply(sightings(batch), source, number)
+
+    return answers.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
