@@ -251,7 +251,7 @@ def order_of(state: DataFrame, messages: DataFrame) -> DataFrame:
 def product_lookup(products: DataFrame, asked: DataFrame) -> DataFrame:
     """(asked, id): the first product (id, name) whose id is the text, or whose name holds it or lies in it.
 
-    Names are searched for asked texts and asked texts for names, each in one pass for a block of them; ids are joined.
+    Names are searched for asked texts and asked texts for names, each in one pass or by rarest grams (`keyword_hits`); ids are joined.
     """
     a = asked.select("asked").filter("asked <> ''").distinct()
     within = keyword_hits(products.select("id", F.col("name").alias("text")), a.select(F.col("asked").alias("keyword")), 1).select(F.col("keyword").alias("asked"), "id")

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vocab import GATE
 from ..sources.io import bounded_batches, stored
+from .substrings import keyword_join
 
 #: Parameters of BM25 and of rank fusion.
 K1, B, FUSION = 1.2, 0.75, 60
 #: Documents of a block of postings; room below a score's bound for rounding.
 BLOCK_DOCS, SLACK = 64, 2e-6
-#: Characters of keywords that are searched for in one pass.
+#: Characters of keywords that are broadcast at most; more are joined by their rarest grams.
 KEYWORD_CHARS = 500_000
 STRATEGIES = ("vector_only", "bm25_only", "hybrid", "hybrid_rerank")
 
@@ -280,49 +281,40 @@ def faq_text(hits: DataFrame) -> DataFrame:
 def keyword_hits(texts: DataFrame, keywords: DataFrame, keep: int | None = None, block: int = KEYWORD_CHARS) -> DataFrame:
     """(keyword, id) of each text that holds a keyword; texts (id, text), keywords (keyword), of which empty ones find nothing.
 
-    One pass of an Aho-Corasick automaton over whole texts finds all keywords of a block at once. A block holds about
-    `block` characters of distinct keywords, which bounds its broadcast; with several blocks each one's hits are written
-    before the next is sent. `keep`: only that many smallest ids of a keyword leave a batch.
+    Up to `block` characters of distinct keywords are broadcast, and one pass of an Aho-Corasick automaton over whole texts
+    finds them all; `keep`: only that many smallest ids of a keyword leave a batch. Beyond it: `substrings.keyword_join`.
     """
     spark = texts.sparkSession
+    kw = keywords.select("keyword").filter("keyword <> ''").distinct()
+    if (kw.agg(F.sum(F.length("keyword"))).first()[0] or 0) > block:
+        return keyword_join(texts, kw)
     bounded_batches(spark)
     kinds = dict(texts.dtypes)["id"]
-    kw = keywords.select("keyword").filter("keyword <> ''").distinct()
-    size = kw.agg(F.sum(F.length("keyword"))).first()[0] or 0
-    parts = max(1, -(-size // block))
-    out = []
-    for part in range(parts):
-        own = kw.filter(F.pmod(F.xxhash64("keyword"), F.lit(parts)) == part) if parts > 1 else kw
-        sent = spark.sparkContext.broadcast(sorted(r["keyword"] for r in own.collect()))  # about `block` characters
+    sent = spark.sparkContext.broadcast(sorted(r["keyword"] for r in kw.collect()))  # at most `block` characters
 
-        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            import ahocorasick
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
 
-            automaton = ahocorasick.Automaton()
-            for i, w in enumerate(sent.value):
-                automaton.add_word(w, i)
-            if len(automaton):
-                automaton.make_automaton()
-            for b in batches:
-                rows: dict[int, list] = {}
-                for i, t in zip(b["id"].tolist(), b["text"], strict=True):
-                    for w in {w for _, w in automaton.iter(t)} if len(automaton) and t else ():
-                        rows.setdefault(w, []).append(i)
-                rows = {w: sorted(ids)[:keep] for w, ids in rows.items()} if keep else rows
-                yield pd.DataFrame([(sent.value[w], i) for w, ids in rows.items() for i in ids], columns=["keyword", "id"])
-
-        found = texts.select("id", "text").filter("text is not null").mapInPandas(search, f"keyword string, id {kinds}")
-        if parts > 1:
-            found = stored(found, "keywords")
-            sent.unpersist()
-        out.append(found)
-    return reduce(DataFrame.unionByName, out)
+        automaton = ahocorasick.Automaton()
+        for i, w in enumerate(sent.value):
+            automaton.add_word(w, i)
+        if len(automaton):
+            automaton.make_automaton()
+        for b in batches:
+            rows: dict[int, list] = {}
+            for i, t in zip(b["id"].tolist(), b["text"], strict=True):
+                for w in {w for _, w in automaton.iter(t)} if len(automaton) and t else ():
+                    rows.setdefault(w, []).append(i)
+            rows = {w: sorted(ids)[:keep] for w, ids in rows.items()} if keep else rows
+            yield pd.DataFrame([(sent.value[w], i) for w, ids in rows.items() for i in ids], columns=["keyword", "id"])
+
+    return texts.select("id", "text").filter("text is not null").mapInPandas(search, f"keyword string, id {kinds}")
 
 
-def faq_search(faq: DataFrame, keywords: DataFrame, limit: int = 3) -> DataFrame:
-    """(keyword, id, rank) of the first rows whose question or answer holds the keyword."""
+def faq_search(faq: DataFrame, keywords: DataFrame, limit: int = 3, block: int = KEYWORD_CHARS) -> DataFrame:
+    """(keyword, id, rank) of the first rows whose question or answer holds the keyword; block: see `keyword_hits`."""
     each = faq.select("id", F.explode(F.array("question", "answer")).alias("text"))
-    return top(keyword_hits(each, keywords, 2 * limit).distinct(), ["keyword"], [F.col("id")], limit)
+    return top(keyword_hits(each, keywords, 2 * limit, block).distinct(), ["keyword"], [F.col("id")], limit)
 
 
 def confidence(scores: DataFrame, least: float = 0.25) -> DataFrame:
