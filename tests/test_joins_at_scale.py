@@ -38,3 +38,37 @@ def test_a_gram_of_no_text_settles_a_keyword(spark):
     t = spark.createDataFrame([(i, f"the refund of order {i}") for i in range(50)], "id long, text string")
     k = spark.createDataFrame([("the refund of order 7",), ("the refund of order x7",)], "keyword string")
     assert {tuple(r) for r in R.keyword_hits(t, k, block=0).collect()} == {("the refund of order 7", 7)}
+
+
+def _cosines(chunks, queries, k, least):
+    import numpy as np
+
+    u = lambda v: np.asarray(v) / max(np.linalg.norm(v), 1e-300)
+    want = {}
+    for q, v in queries:
+        s = sorted((-round(float(u(v) @ u(w)), 6), d) for d, w in chunks if len(w) == len(v))
+        want[q] = [(d, -x) for x, d in s if -x >= least][:k]
+    return {(q, d, n) for q, rows in want.items() for n, (d, _) in enumerate(rows, 1)}
+
+
+def test_clustered_search(spark):
+    """Tight clusters, copies that fill a block, zeros, two lengths, fewer than k rows; the bounds leave out most blocks."""
+    import numpy as np
+
+    from ticketloom.operators import clustered as C
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    chunks = [(i, (centres[i % 12] + 0.05 * rng.normal(size=16)).tolist()) for i in range(1200)]
+    chunks += [(2000 + i, centres[0].tolist()) for i in range(300)] + [(3000, [0.0] * 16), (3001, [1.0, 2.0]), (3002, [2.0, 1.0])]
+    queries = [(i, (centres[i % 12] + 0.05 * rng.normal(size=16)).tolist()) for i in range(40)] + [(50, centres[0].tolist()), (51, [0.0] * 16), (52, [1.0, 1.0]), (53, [1.0] * 3)]
+    c = spark.createDataFrame(chunks, "id long, v array<double>").repartition(3)
+    q = spark.createDataFrame(queries, "query long, vector array<double>")
+    for k, least in ((3, 0.35), (5, -1.0)):
+        rows, met = C.clustered_search(c, q, "id", "v", k, least, centroids=24, block=40)
+        ranked = R.top(rows, ["query"], [F.desc("score"), F.col("doc")], k)
+        assert {(r["query"], r["doc"], r["rank"]) for r in ranked.collect()} == _cosines(chunks, queries, k, least)
+        share = met.filter("query < 40").agg(F.sum("met") / F.sum("blocks")).first()[0]
+        assert share < 0.5 if k == 3 else True
+    blocks, bounds, _ = C.vector_blocks(c, "id", "v", 24, 40)
+    assert blocks.count() == len(chunks) and bounds.agg(F.max("n")).first()[0] < 120

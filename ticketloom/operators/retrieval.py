@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vocab import GATE
 from ..sources.io import bounded_batches, stored
+from .clustered import clustered_search, unit
 from .substrings import keyword_join
 
 #: Parameters of BM25 and of rank fusion.
@@ -116,47 +117,39 @@ def sound(vector: str) -> Column:
 
 
 def dense_search(chunks: DataFrame, queries: DataFrame, doc: str, vector: str, k: int = 3, least: float = 0.35, broadcast_rows: int = 20_000) -> DataFrame:
-    """(query, doc, score, rank) of the best k by exact cosine, at least `least`; queries (query, vector).
+    """(query, doc, score, rank) of the best k by exact cosine, at least `least`; queries (query, vector), each number once.
 
-    Query vectors are broadcast in blocks of about `broadcast_rows`; each Arrow batch of chunks meets a block in one matrix
-    product and keeps k rows for each query. Where there are several blocks, each one's best are written before the next
-    is sent, so one block is held at a time. Vectors that are null, empty or hold null or non-finite numbers, on either
-    side, and vectors of different lengths don't meet; a vector of zeros has cosine 0.
+    Up to `broadcast_rows` query vectors are broadcast, and each Arrow batch of chunks meets them in one matrix product and
+    keeps k rows for each query. More queries stay a table and meet blocks of clustered chunks (`clustered_search`). Vectors
+    that are null, empty or hold null or non-finite numbers, on either side, and vectors of different lengths don't meet;
+    a vector of zeros has cosine 0.
     """
     spark = chunks.sparkSession
-    bounded_batches(spark)
+    known = chunks.select(F.col(doc).alias("doc"), F.col(vector).alias("vector")).filter(sound("vector"))
     asked = queries.select("query", "vector").filter(sound("vector") & F.col("query").isNotNull())
-    parts = max(1, -(-asked.count() // broadcast_rows))
-    out = []
-    for part in range(parts):
-        own = asked.filter(F.pmod(F.xxhash64("query"), F.lit(parts)) == part) if parts > 1 else asked
-        rows = own.toPandas()  # about broadcast_rows rows
-        by_length = {n: (g["query"].to_numpy(), np.stack(g["vector"].to_numpy()).astype(float)) for n, g in rows.groupby(rows["vector"].map(len))} if len(rows) else {}
-        sent = spark.sparkContext.broadcast({n: (i, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)) for n, (i, q) in by_length.items()})
-
-        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            for b in batches:
-                for n, same in b.groupby(b["vector"].map(len)):
-                    if n not in sent.value:
-                        continue
-                    ids, unit = sent.value[n]
-                    x = np.stack(same["vector"].to_numpy()).astype(float)
-                    docs = same["doc"].to_numpy()
-                    by_doc = np.argsort(docs, kind="stable")
-                    docs, x = docs[by_doc], x[by_doc]
-                    s = np.round(unit @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, 6)
-                    if s.shape[1] > k:
-                        # The k-th best score of each query; what ties with it stays, and the ranking below decides.
-                        s = np.where(s >= np.partition(s, -k, axis=1)[:, -k][:, None], s, -2.0)
-                    r, c = np.nonzero(s >= max(least, -1.5))
-                    yield pd.DataFrame({"query": ids[r], "doc": docs[c], "score": s[r, c]})
-
-        found = chunks.select(F.col(doc).alias("doc"), F.col(vector).alias("vector")).filter(sound("vector")).mapInPandas(search, "query long, doc long, score double")
-        if parts > 1:
-            found = stored(top(found, ["query"], [F.desc("score"), F.col("doc")], k).drop("rank"), "dense")
-            sent.unpersist()
-        out.append(found)
-    return top(reduce(DataFrame.unionByName, out), ["query"], [F.desc("score"), F.col("doc")], k)
+    if asked.count() > broadcast_rows:
+        return top(clustered_search(known, asked, "doc", "vector", k, least)[0], ["query"], [F.desc("score"), F.col("doc")], k)
+    bounded_batches(spark)
+    rows = asked.toPandas()  # at most broadcast_rows rows
+    by_length = {n: (g["query"].to_numpy(), unit(g["vector"])) for n, g in rows.groupby(rows["vector"].map(len))} if len(rows) else {}
+    sent = spark.sparkContext.broadcast(by_length)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for n, same in b.groupby(b["vector"].map(len)):
+                if n not in sent.value:
+                    continue
+                ids, asked_units = sent.value[n]
+                same = same.sort_values("doc", kind="stable")
+                docs, s = same["doc"].to_numpy(), np.round(asked_units @ unit(same["vector"]).T, 6)
+                if s.shape[1] > k:
+                    # The k-th best score of each query; what ties with it stays, and the ranking below decides.
+                    s = np.where(s >= np.partition(s, -k, axis=1)[:, -k][:, None], s, -2.0)
+                r, c = np.nonzero(s >= max(least, -1.5))
+                yield pd.DataFrame({"query": ids[r], "doc": docs[c], "score": s[r, c]})
+
+    found = known.mapInPandas(search, "query long, doc long, score double")
+    return top(found, ["query"], [F.desc("score"), F.col("doc")], k)
 
 
 def fuse(routes: list[DataFrame], k: int = 50, depth: int = 50) -> DataFrame:

@@ -43,9 +43,9 @@ def bm25(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     return R.bm25_search(R.bm25_blocks(stored(R.bm25_index(docs, "doc_id", "text", terms, True), "postings")), terms, k)
 
 
-def dense(spark: SparkSession, sf_dir: str, k: int = 3, least: float = 0.35) -> DataFrame:
+def dense(spark: SparkSession, sf_dir: str, k: int = 3, least: float = 0.35, broadcast_rows: int = 20_000) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
-    return R.dense_search(e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), "vec_id", "embedding", k, least)
+    return R.dense_search(e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), "vec_id", "embedding", k, least, broadcast_rows)
 
 
 @add("r1_bm25_index", f"with {_INDEX} select doc, term, tf, dl from ix")
@@ -85,11 +85,20 @@ def r2i(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bm25_search(R.bm25_blocks(held), terms, 10)
 
 
-@add("r3_dense_topk", f"with {_DENSE.format(least=0.35)} select query, doc, round(score, 4) as score, rank from dn where rank <= 3")
+_TOP3 = f"with {_DENSE.format(least=0.35)} select query, doc, round(score, 4) as score, rank from dn where rank <= 3"
+
+
+@add("r3_dense_topk", _TOP3)
 def r3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense(spark, sf_dir).withColumn("score", F.round("score", 4))
 
 
+@add("r3_clustered_topk", _TOP3)
+def r3c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over clustered chunks, as for more queries than are broadcast."""
+    return dense(spark, sf_dir, broadcast_rows=0).withColumn("score", F.round("score", 4))
+
+
 @add("r4_filtered_search", f"with {_DENSE.format(least=0.0)}, f as (select query, doc, score, row_number() over (partition by query order by score desc, doc) as rank from ds join embeddings e on e.vec_id = doc where e.label = 1 and score >= 0) select query, doc, round(score, 4) as score, rank from f where rank <= 3")
 def r4(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
