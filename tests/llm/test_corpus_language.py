@@ -90,6 +90,16 @@ def test_collocations_count_one_cycle(spark, monkeypatch):
     assert got == {"rare pair here": 12, "so it goes": 228} and 3 < len(scans) <= 9
 
 
+def test_collocations_found_after_their_cells_are_full(spark):
+    """Rare phrases whose words are found often enough only after common pairs have filled most cells of pairs."""
+    r = random.Random(0)
+    said = [" ".join(f"w{3 * i + k}" for k in range(3)) for i in range(60) for _ in range(r.randint(10, 25))]
+    r.shuffle(said)
+    rows = [(i, " ".join(f"c{r.randrange(20)}" for _ in range(60)) + "." + ". ".join(said[i::300]), "en", "s") for i in range(300)]
+    got = collocations.mine(frame(spark, rows), cells=512).collect()
+    assert sorted(tuple(r[c] for c in COLUMNS) for r in got) == collocations_by_hand(rows)
+
+
 def test_collocations_exact_beyond_64_bits(spark, monkeypatch):
     big = 3_000_000_000
     rows = [("en", 0, "", 9 * big), ("en", 1, "a", big), ("en", 1, "b", big + 1), ("en", 2, "a b", big - 1)]

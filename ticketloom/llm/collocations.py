@@ -8,7 +8,7 @@ active phrase is left.
 
 Which step a subphrase was found often enough in is told to the tasks by a table of fixed size, as in a Bloom filter: a
 frequent phrase writes its step into the cells of its hashes that are empty, and the step of any phrase is the latest of
-its cells. Cells are never changed again, so that every task at every time derives the same activation from it. Cells
+its cells and its subphrases' steps. Cells are never changed again, so that every task at every time derives the same activation from it. Cells
 that phrases share can only make a phrase active early, or one that needn't be: its count is then of another full cycle,
 and as exact. So the table's size bounds what is sent and decides on speed, never on results.
 
@@ -140,7 +140,8 @@ def _phrases(at: np.ndarray, names: list[tuple[bytes, bytes]], seen: list[np.nda
             yield _packed(k, _named(said), longer[first], n, ranges)
         if k < longest:
             found = np.full(len(at), _NEVER, np.int64)
-            found[reached] = _steps(seen[k - 1], longer[reached])
+            # Not before its own start: its cells may have been filled by others while its subphrases weren't found.
+            found[reached] = np.maximum(start[reached - 1], _steps(seen[k - 1], longer[reached]))
             own, number = longer, np.zeros(len(at), np.int64)
             number[reached] = np.unique(key[reached], return_inverse=True)[1]
 
@@ -223,7 +224,7 @@ def frequencies(docs: DataFrame, text: str = "text", lang: str = "lang", least:
         if step >= shards and step > max(last) + shards:
             break
         # Words are counted in the first cycle, longer phrases until a cycle after the last activation by their subphrases.
-        open_ = [k for k in range(1, longest + 1) if (step < shards if k == 1 else step <= last[k - 2] + shards)]
+        open_ = [k for k in range(1, longest + 1) if (step < shards if k == 1 else step <= max(last[: k - 1]) + shards)]
         with batch_rows(spark, 64):  # packed rows are large
             parts = counted(kept.filter(F.col("shard") == step % shards).select("lang", "text"), seen, step, shards, longest, ranges)
             for k in open_:
