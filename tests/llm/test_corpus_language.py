@@ -100,6 +100,53 @@ def test_collocations_found_after_their_cells_are_full(spark):
     assert sorted(tuple(r[c] for c in COLUMNS) for r in got) == collocations_by_hand(rows)
 
 
+def test_collocations_go_no_further_than_their_cycle(spark, monkeypatch):
+    """Counts of a length and step of activation are carried for one cycle; at its end only frequent phrases are left."""
+    steps = []
+    real = collocations.table
+    monkeypatch.setattr(collocations, "table", lambda df, name: real(df, name) if name != "phrase-counts" else steps.append(real(df, name)) or steps[-1])
+    rows = made(4, 200) + [(20_000 + i, "rare pair here", "en", "s") for i in range(12)]
+    got = collocations.mine(frame(spark, rows), shards=2).collect()
+    assert sorted(tuple(r[c] for c in COLUMNS) for r in got) == collocations_by_hand(rows)
+    ended = 0
+    for step, t in enumerate(steps):
+        for r in t.filter("words > 1").collect():
+            assert r["start"] < step <= r["start"] + 2
+            if step == r["start"] + 2:
+                ended += 1
+                assert collocations.unpacked(r["counts"], "int64").min() >= 10
+    assert ended and len(steps) > 4
+
+
+@pytest.mark.parametrize("block", [5, 300, 1 << 20])
+def test_collocations_blocks_hold_all_words(spark, block):
+    """Words by place, of each language and shard, are those of the texts, in pieces."""
+    import json
+
+    import zstandard
+
+    rows = made(5, 60)
+    docs = frame(spark, rows).selectExpr("coalesce(lang, 'und') as lang", "coalesce(text, '') as text", "cast(abs(hash(text)) % 2 as int) as shard")
+    got, want, size = collections.Counter(), collections.Counter(), 0
+    stored = collocations.blocks(docs, 2, block).collect()
+    for b in stored:
+        names = zstandard.decompress(b["names"]).split(b"\n")
+        langs = [x for x, n in json.loads(b["langs"]) for _ in range(n)]
+        at, size = collocations.unpacked(b["at"], "int32").tolist(), size + b["size"]
+        assert at[0] == at[-1] == 0
+        piece = []
+        for i in at:
+            if i == 0 and piece:
+                assert len({langs[j - 1] for j in piece}) == 1
+                got[b["shard"], langs[piece[0] - 1], b" ".join(names[j - 1] for j in piece)] += 1
+            piece = [*piece, i] if i else []
+    for r in docs.collect():
+        pieces = (re.findall("[^ \t]+", x) for x in re.split("[.,;:!?\n-\r]", lower(r["text"])))
+        want.update((r["shard"], r["lang"], " ".join(x).encode()) for x in pieces if x)
+    assert got == want and size >= sum(len((t or "").encode()) for _, t, _, _ in rows)
+    assert (len(stored) > 6) == (block < 1000)
+
+
 def test_collocations_exact_beyond_64_bits(spark, monkeypatch):
     big = 3_000_000_000
     rows = [("en", 0, "", 9 * big), ("en", 1, "a", big), ("en", 1, "b", big + 1), ("en", 2, "a b", big - 1)]
