@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.io import bounded_batches, stored
+from ..functions import text as T
+from ..sources.io import bounded_batches
 from ..sources.store import TURNS, KeyedStore, newest
-from .retrieval import bm25_index
 from .textkeys import text_hash
 
-#: terms: a chunk's words with their counts; length: its words in all.
-ENTRIES = "id long, hash binary, vector array<double>, length long, terms array<struct<term:string,tf:bigint>>, gone boolean"
+#: words: a chunk's different words, sorted and with a blank between them, as none holds one; tfs: their counts; length: its words in all.
+ENTRIES = "id long, hash binary, vector array<double>, length long, words string, tfs array<int>, gone boolean"
 DONE = "id long, hash binary, gone boolean"
 
 
@@ -27,11 +27,20 @@ def done_store(path: str, turns: int = TURNS) -> KeyedStore:
     return KeyedStore(path, DONE, "id", newest("id", gone="gone"), turns)
 
 
+def counted(words: Column) -> Column:
+    """struct<length, words, tfs> of a text's words, counted in its own row: words that are sorted begin anew where they differ from the one before."""
+    starts = lambda ws: F.filter(F.transform(ws, lambda w, i: F.when((i == 0) | (w != F.get(ws, i - 1)), i)), lambda i: i.isNotNull())
+    # Words, then their starts, are bound once by a function over a one-element array.
+    each = F.transform(F.array(F.sort_array(words)), lambda ws: F.struct(ws.alias("ws"), starts(ws).alias("at")))
+    tfs = lambda x: F.transform(x["at"], lambda i, j: F.coalesce(F.get(x["at"], j + 1), F.size(x["ws"])) - i)
+    return F.element_at(F.transform(each, lambda x: F.struct(F.size(x["ws"]).cast("long").alias("length"), F.array_join(F.array_distinct(x["ws"]), " ").alias("words"), tfs(x).alias("tfs"))), 1)
+
+
 def entries(chunks: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
-    """Index rows of chunks (id, text, hash), stored ones, as they are read twice."""
-    words = bm25_index(chunks, "id", "text").groupBy(F.col("doc").alias("id")).agg(F.first("dl").alias("length"), F.collect_list(F.struct("term", "tf")).alias("terms"))  # the words of one chunk
-    made = chunks.select("id", "hash", embed(F.col("text")).cast("array<double>").alias("vector")).join(words, "id", "left")
-    return made.withColumn("length", F.coalesce("length", F.lit(0))).withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<term:string,tf:bigint>>"))).withColumn("gone", F.lit(False))
+    """Index rows of chunks (id, text, hash, gone), made row by row; those that are `gone` have neither vector nor words."""
+    made = chunks.withColumn("_vector", embed(F.col("text")).cast("array<double>")).withColumn("_counted", counted(T.terms(F.col("text"))))
+    some = lambda c: F.when(~F.col("gone"), F.col(c))
+    return made.select("id", some("hash").alias("hash"), some("_vector").alias("vector"), *[some(f"_counted.{c}").alias(c) for c in ("length", "words", "tfs")], "gone")
 
 
 def sync(batch: DataFrame, index: KeyedStore, done: KeyedStore, embed: Callable[[Column], Column], removed: DataFrame | None = None) -> None:
@@ -41,19 +50,22 @@ def sync(batch: DataFrame, index: KeyedStore, done: KeyedStore, embed: Callable[
     with the same rows or others: what the index has already is only recorded, not embedded again. A null id names no
     chunk, a null text is empty, and of rows that repeat an id the one of the greatest text counts. An id in both tables
     is removed.
+
+    Texts are shuffled once, dealt as the index's buckets are and beside the hashes that the index has, and stored
+    nowhere. What is recorded as done is read from the index, for the ids of `batch`, which is read a second time for them.
     """
     spark = batch.sparkSession
     bounded_batches(spark)
-    out = (spark.createDataFrame([], "id long") if removed is None else removed.select(F.col("id").cast("long"))).filter("id is not null").distinct()
-    rows = batch.filter("id is not null").groupBy(F.col("id").cast("long").alias("id")).agg(F.coalesce(F.max("text"), F.lit("")).alias("text"))
-    rows = stored(rows.join(out, "id", "left_anti").withColumn("hash", text_hash(F.col("text"))), "chunks")
-    held = index.read(spark).select("id", "hash")
-    agreed = held.join(done.read(spark).select("id", "hash"), ["id", "hash"])
-    pending = stored(rows.select("id", "hash").join(agreed, ["id", "hash"], "left_anti"), "pending")
-    missing = stored(rows.join(pending.join(held, ["id", "hash"], "left_anti"), ["id", "hash"], "left_semi"), "missing")
-    left = lambda schema: out.select("id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], schema).schema if f.name not in ("id", "gone")], F.lit(True).alias("gone"))
-    index.apply(entries(missing, embed).unionByName(left(ENTRIES)))
-    done.apply(pending.withColumn("gone", F.lit(False)).unionByName(left(DONE)))
+    ids = lambda rows: rows.select(F.col("id").cast("long").alias("id")).filter("id is not null")
+    out = (spark.createDataFrame([], "id long") if removed is None else ids(removed)).distinct()
+    held = lambda store: store.read(spark, ["id", "hash", "gone"]).select("id", "hash")
+    texts = batch.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).filter("id is not null")
+    each = texts.unionByName(held(index), True).unionByName(out.withColumn("gone", F.lit(True)), True)
+    rows = index.dealt(each).groupBy("_bucket", "_share", "id").agg(F.max("text").alias("text"), F.max("hash").alias("indexed"), F.coalesce(F.max("gone"), F.lit(False)).alias("gone"))
+    rows = rows.withColumn("text", F.when(F.col("gone"), "").otherwise(F.col("text"))).withColumn("hash", text_hash(F.col("text"))).filter("gone or text is not null and not hash <=> indexed")
+    index.apply(entries(rows, embed), dealt=True)
+    pending = held(index).join(ids(batch).join(out, "id", "left_anti"), "id", "left_semi").join(held(done), ["id", "hash"], "left_anti")
+    done.apply(pending.withColumn("gone", F.lit(False)).unionByName(out.select("id", F.lit(None).cast("binary").alias("hash"), F.lit(True).alias("gone"))))
 
 
 def postings(spark: SparkSession, index: KeyedStore, only: DataFrame | None = None) -> DataFrame:
@@ -61,7 +73,8 @@ def postings(spark: SparkSession, index: KeyedStore, only: DataFrame | None = No
 
     Number, mean length and document counts are taken from them by the search, so they are those of the chunks held now.
     """
-    mark = F.array(F.struct(F.lit("").alias("term"), F.lit(1).cast("long").alias("tf")))
-    held = index.read(spark).filter("length > 0").select(F.col("id").alias("doc"), F.col("length").alias("dl"), F.explode(F.concat("terms", mark)).alias("t"))
-    rows = held.select("doc", F.col("t.term").alias("term"), F.col("t.tf").alias("tf"), "dl")
+    held = index.read(spark, ["id", "length", "words", "tfs", "gone"]).filter("length > 0")
+    terms = F.arrays_zip(F.concat(F.split("words", " "), F.array(F.lit(""))).alias("term"), F.concat("tfs", F.array(F.lit(1))).alias("tf"))
+    rows = held.select(F.col("id").alias("doc"), F.col("length").alias("dl"), F.explode(terms).alias("t"))
+    rows = rows.select("doc", F.col("t.term").alias("term"), F.col("t.tf").cast("long").alias("tf"), "dl")
     return rows if only is None else rows.join(only.select("term").unionByName(spark.createDataFrame([("",)], "term string")).distinct(), "term", "left_semi")

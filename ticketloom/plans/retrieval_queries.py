@@ -74,7 +74,7 @@ _HELD = _INDEX.replace("from documents)", "from documents where doc_id % 7 <> 0)
 
 @add("k11_synced_index", f"with {_HELD} select ws.doc as id, len(ws.ws)::bigint as length, len(list_distinct(ws.ws))::bigint as terms from ws")
 def k11s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synced(spark, sf_dir).read(spark).select("id", "length", F.size("terms").cast("long").alias("terms"))
+    return synced(spark, sf_dir).read(spark, ["id", "length", F.size("tfs").cast("long").alias("terms"), "gone"]).drop("gone")
 
 
 @add("r2_incremental_topk", f"with {_BM25.replace(_INDEX, _HELD)} select query, doc, score, rank from b where rank <= 10")

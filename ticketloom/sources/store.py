@@ -61,32 +61,53 @@ class KeyedStore:
         rows = spark.read.schema(schema).option("basePath", f"{self.path}/{kind}").parquet(*held)
         return (rows if keep is None else rows.filter(keep)).drop("bucket_no")
 
-    def apply(self, rows: DataFrame, source: str = "", number: int | None = None) -> bool:
-        """Apply a batch; one of a number that the source has reached already changes nothing and gives False."""
+    def bucket(self) -> Column:
+        """The bucket of a row's key."""
+        return F.pmod(F.xxhash64(self.key), F.lit(self.turns)).cast("int")
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows (with the key) in partitions of few buckets each, all rows of a key in one: columns `_bucket` and `_share` are added, by which they are dealt.
+
+        What groups by `_bucket`, `_share` and the key then needs no other shuffle, nor does a batch made of it (`apply`).
+        """
+        shares = -(-4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // self.turns)
+        share = F.pmod(F.xxhash64(self.key, F.lit(1)), F.lit(shares)).cast("int")
+        return rows.withColumn("_bucket", self.bucket()).withColumn("_share", share).repartition("_bucket", "_share")
+
+    def apply(self, rows: DataFrame, source: str = "", number: int | None = None, dealt: bool = False) -> bool:
+        """Apply a batch; one of a number that the source has reached already changes nothing and gives False.
+
+        dealt: the rows are in partitions of few buckets each already and are written from there.
+        """
         spark = rows.sparkSession
         if number is not None and number <= self.applied(spark, source):
             return False
         k = self.last(spark) + 1
         columns = spark.createDataFrame([], self.schema).columns
-        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.turns)).cast("int")
+        own = rows.select(*columns).withColumn("bucket_no", self.bucket())
         # Rebalanced by bucket: a small batch makes few files, and a large one's buckets are split over tasks.
-        own = rows.select(*columns).withColumn("bucket_no", bucket).hint("rebalance", "bucket_no")
-        own.write.mode("overwrite").partitionBy("bucket_no").parquet(f"{self.path}/rows/batch_no={k}")
+        own = own if dealt else own.hint("rebalance", "bucket_no")
+        own.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket_no").parquet(f"{self.path}/rows/batch_no={k}")
         turn = k % self.turns
         before = self._read(spark, "folded", range(k - self.turns, k - self.turns + 1))
         since = self._read(spark, "rows", range(k - self.turns + 1, k + 1), F.col("bucket_no") == turn)
-        self.merge(before.unionByName(since)).select(*columns).write.mode("overwrite").parquet(f"{self.path}/folded/batch_no={k}")
+        self.merge(before.unionByName(since)).select(*columns).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/folded/batch_no={k}")
         commit = spark.range(1).select(F.lit(source).alias("source"), F.lit(number).cast("long").alias("number"))
         commit.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/batch_no={k}")
         return True
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        """The store as it stands: each bucket's folded rows and those that came since, merged."""
+    def read(self, spark: SparkSession, take: list[str | Column] | None = None) -> DataFrame:
+        """The store as it stands: each bucket's folded rows and those that came since, merged.
+
+        take: the columns that are merged and given, for a merge that takes any (`newest`, with its own ones among them):
+        what is left out or made smaller here isn't shuffled.
+        """
         last = self.last(spark)
         recent = range(last - self.turns + 1, last + 1)
         folded_at = F.lit(last) - F.pmod(F.lit(last) - F.col("bucket_no"), F.lit(self.turns))
         rows = self._read(spark, "folded", recent).unionByName(self._read(spark, "rows", recent, F.col("batch_no") > folded_at))
-        return self.merge(rows).select(*spark.createDataFrame([], self.schema).columns)
+        rows = rows if take is None else rows.select(*take, "batch_no")
+        return self.merge(rows).drop("batch_no") if take is not None else self.merge(rows).select(*spark.createDataFrame([], self.schema).columns)
 
 
 def newest(key: str, version: str | None = None, gone: str | None = None) -> Merge:
