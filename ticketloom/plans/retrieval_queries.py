@@ -80,9 +80,7 @@ def k11s(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("r2_incremental_topk", f"with {_BM25.replace(_INDEX, _HELD)} select query, doc, score, rank from b where rank <= 10")
 def r2i(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2 over an index that grew by batches."""
-    terms = R.asked_terms(questions(spark, sf_dir), "query", "text")
-    held = stored(X.postings(spark, synced(spark, sf_dir), terms), "postings")
-    return R.bm25_search(R.bm25_blocks(held), terms, 10)
+    return X.search(spark, synced(spark, sf_dir), R.asked_terms(questions(spark, sf_dir), "query", "text"), 10)
 
 
 _TOP3 = f"with {_DENSE.format(least=0.35)} select query, doc, round(score, 4) as score, rank from dn where rank <= 3"
